@@ -1,0 +1,9 @@
+"""Queries of the library on the test tables."""
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
