@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat_format, exact_topk, token_counts, url_filter
+from . import bpe_codec, chat_format, exact_topk, shuffle_shards, token_counts, url_filter, warc
 
 #: Rules of the URL query (fixed values): verdict, host, path.
 URL_RULES = [
@@ -47,10 +47,32 @@ FROM t GROUP BY conv_id
 """
 
 
+def op2_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shuffle_shards.shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), limit=4096, keep=["doc_id"])
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive(table(spark, sf_dir, "pages"))
+    records = warc.read_warc(spark, folder).where(F.col("record_type").isin("response", "revisit"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL_OP5 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+m AS (SELECT html, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY html)
+SELECT p.page_id, p.n AS payload_bytes, sha1(p.html) AS payload_digest,
+  CASE WHEN m.last IS NOT NULL AND p.page_id IS DISTINCT FROM m.last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN m.last IS NOT NULL AND p.page_id IS DISTINCT FROM m.last THEN m.last END AS refers_to
+FROM p LEFT JOIN m ON p.html = m.html
+"""
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, keep=["page_id"])
 
@@ -94,7 +116,9 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_chat_format": op1_chat_format,
+        "op2_shuffle_shards": op2_shuffle_shards,
         "op4_token_counts": op4_token_counts,
+        "op5_warc": op5_warc,
         "op6_url_filter": op6_url_filter,
         "op8_exact_topk": op8_exact_topk,
         "op10_bpe_codec": op10_bpe_codec,
@@ -102,4 +126,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": SQL_OP1, "op6_url_filter": SQL_OP6, "op8_exact_topk": SQL_OP8}
+    return {"op1_chat_format": SQL_OP1, "op5_warc": SQL_OP5, "op6_url_filter": SQL_OP6, "op8_exact_topk": SQL_OP8}
