@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat_format, exact_topk, shuffle_shards, token_counts, url_filter, warc
+from . import bpe_codec, chat_format, decontaminate, exact_topk, near_dedup, shuffle_shards, token_counts, toxicity, url_filter, warc
 
 #: Rules of the URL query (fixed values): verdict, host, path.
 URL_RULES = [
@@ -53,6 +53,30 @@ def op2_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SQL_OP3 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 4 THEN [array_to_string(t, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(t) - 2), lambda i: array_to_string(t[i:i + 3], ' '))) END AS h FROM w
+), e AS (SELECT doc_id, len(h) AS n, unnest(h) AS x FROM s),
+many AS (SELECT x FROM e GROUP BY x HAVING count(*) > 1),
+f AS (SELECT doc_id, n, x FROM e SEMI JOIN many USING (x)),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM f a JOIN f b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach(u, v) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u
+), c AS (SELECT u AS doc_id, min(v) AS component_id FROM reach GROUP BY u)
+SELECT s.doc_id, len(h) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
+"""
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), limit=4096, keep=["doc_id"])
 
@@ -92,6 +116,13 @@ SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verd
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, model, keep=["doc_id"], located=True)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return exact_topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
@@ -109,6 +140,27 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL_OP9 = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM benchmark),
+m(k, p) AS (VALUES (0, [0, 1, 3, 5, 6, 8, 9]), (1, [0, 1, 2, 5, 7, 8, 9]), (2, [0, 2, 3, 4, 6, 7, 9])),
+bp AS (SELECT item_id, t, unnest(range(0, len(t) - 9)) AS j FROM b), dp AS (SELECT doc_id, unnest(range(0, len(t) - 9)) AS i, t FROM d),
+bs AS (SELECT item_id, j, k, array_to_string(list_transform(p, lambda x: t[j + x + 1]), ' ') AS s FROM bp, m),
+ds AS (SELECT doc_id, i, k, array_to_string(list_transform(p, lambda x: t[i + x + 1]), ' ') AS s FROM dp, m),
+a AS (SELECT DISTINCT doc_id, item_id, i - j AS shift FROM ds JOIN bs USING (k, s)),
+q AS (SELECT doc_id, item_id, shift, unnest(range(greatest(0, -shift), least(len(b.t), len(d.t) - shift))) AS y, b.t AS bt, d.t AS dt FROM a JOIN b USING (item_id) JOIN d USING (doc_id)),
+e AS (SELECT doc_id, item_id, shift, y, len(bt) AS n, (bt[y + 1] = dt[y + shift + 1])::INTEGER AS same FROM q),
+w AS (SELECT *, sum(same) OVER r AS hits, count(*) OVER r AS wide FROM e WINDOW r AS (PARTITION BY doc_id, item_id, shift ORDER BY y ROWS BETWEEN 12 PRECEDING AND CURRENT ROW)),
+g AS (SELECT doc_id, item_id, shift, max(n) AS n, sum(same) AS same FROM w GROUP BY ALL
+  HAVING bool_or(wide = least(13, n) AND hits >= ceil(0.8 * least(13, n))))
+SELECT doc_id, item_id, max(n)::BIGINT AS item_tokens, max(same)::BIGINT AS matched_tokens FROM g GROUP BY ALL
+"""
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode(table(spark, sf_dir, "documents"), keep=["doc_id"], ids=False)
 
@@ -117,13 +169,16 @@ def queries() -> dict:
     return {
         "op1_chat_format": op1_chat_format,
         "op2_shuffle_shards": op2_shuffle_shards,
+        "op3_near_dedup": op3_near_dedup,
         "op4_token_counts": op4_token_counts,
         "op5_warc": op5_warc,
         "op6_url_filter": op6_url_filter,
+        "op7_toxicity": op7_toxicity,
         "op8_exact_topk": op8_exact_topk,
+        "op9_decontaminate": op9_decontaminate,
         "op10_bpe_codec": op10_bpe_codec,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": SQL_OP1, "op5_warc": SQL_OP5, "op6_url_filter": SQL_OP6, "op8_exact_topk": SQL_OP8}
+    return {"op1_chat_format": SQL_OP1, "op3_near_dedup": SQL_OP3, "op5_warc": SQL_OP5, "op6_url_filter": SQL_OP6, "op8_exact_topk": SQL_OP8, "op9_decontaminate": SQL_OP9}
