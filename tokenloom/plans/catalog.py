@@ -1,9 +1,699 @@
-"""Queries of the library on the test tables."""
+"""Queries of the library on the test tables: each loads tables and calls operators; its SQL stands beside it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tokenloom.functions import tokens as K
+from tokenloom.operators import aggregates as A
+from tokenloom.operators import metrics as M
+from tokenloom.operators import relational as R
+from tokenloom.operators import vectors as V
+from tokenloom.sources import text as S
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+#: md5 orders are seeded with this number.
+SEED = 6217
+
+
+def query(*tables: str, sql: str | None = None):
+    """Registers f(*tables) under its name, with its SQL."""
+
+    def add(f):
+        _queries[f.__name__] = lambda spark, sf_dir: f(*[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables])
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def r6(c):
+    """Rounded, so that sums in another order compare equal."""
+    return F.round(c, 6)
+
+
+ATOMS_SQL = r"'(<unk>|\[[^\]]+]|Br?|Cl?|N|O|S|P|F|I|b|c|n|o|s|p|\(|\)|\.|=|#|-|\+|\\|\/|:|~|@|\?|>>?|\*|\$|\%[0-9]{2}|[0-9])'"
+TOKENS_SQL = f"list_filter(string_split(regexp_replace(text, {ATOMS_SQL}, chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
+
+# -- scans, filters, projections
+
+
+@query("lineitem", sql="SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_quantity >= 45 AND l_discount = 0")
+def scan_filter_project(li):
+    return li.where("l_quantity >= 45 AND l_discount = 0").select("l_orderkey", "l_partkey", "l_quantity")
+
+
+@query("orders", sql="SELECT o_orderkey, o_totalprice FROM orders")
+def scan_projection(o):
+    return o.select("o_orderkey", "o_totalprice")
+
+
+@query("events", sql="SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 500")
+def scan_limit_ordered(e):
+    return e.select("event_id", "event_type").orderBy("event_id").limit(500)
+
+
+@query("documents", sql="SELECT doc_id, unnest(range(len(string_split(text, chr(10)))))::INTEGER AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents")
+def lines_source(d):
+    return S.lines(d, "doc_id", "text")
+
+
+@query("events", sql="SELECT event_id, (props::JSON ->> 'k')::INTEGER AS k FROM events")
+def json_props_extract(e):
+    return e.select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+@query("documents", sql=r"""SELECT doc_id, NOT contains(text, 'License') AS ok,
+CASE WHEN NOT contains(text, 'License') THEN coalesce(list_max(list_transform(regexp_extract_all(text, '([0-9]{1,6})', 1), lambda x: x::DOUBLE)), 0.0) END AS most FROM documents""")
+def text_flag_and_max(d):
+    return d.select("doc_id", S.flag_and_max(F.col("text"), "License", "([0-9]{1,6})").alias("f")).select("doc_id", "f.ok", "f.most")
+
+
+@query("customer", sql="SELECT c_custkey, kind FROM customer JOIN (VALUES ('BUILDING', 'b'), ('MACHINERY', 'm')) v(seg, kind) ON c_mktsegment = seg")
+def inline_values_join(c):
+    v = c.sparkSession.createDataFrame([("BUILDING", "b"), ("MACHINERY", "m")], "seg string, kind string")
+    return c.join(F.broadcast(v), c.c_mktsegment == v.seg).select("c_custkey", "kind")  # two rows
+
+
+@query("customer", sql="SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS seg FROM customer WHERE nullif(c_mktsegment, 'BUILDING') IS NOT NULL")
+def drop_nulls(c):
+    return c.select("c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("seg")).na.drop(subset=["seg"])
+
+
+@query("documents", sql="SELECT doc_id FROM documents WHERE length(text) < 512")
+def length_filter(d):
+    return d.where(F.length("text") < 512).select("doc_id")
+
+
+@query("customer", sql="SELECT c_custkey FROM customer WHERE nullif(c_mktsegment, 'BUILDING') IS DISTINCT FROM 'MACHINERY'")
+def not_equal_nullsafe(c):
+    return c.where(~F.nullif("c_mktsegment", F.lit("BUILDING")).eqNullSafe("MACHINERY")).select("c_custkey")
+
+
+@query("events", sql="SELECT g, count(*) AS cnt FROM events JOIN (VALUES ('click', 'c'), ('click', 'all'), ('view', 'v'), ('view', 'all'), ('purchase', 'all')) x(t, g) ON event_type = t GROUP BY g")
+def membership_groups(e):
+    g = e.sparkSession.createDataFrame([("click", "c"), ("click", "all"), ("view", "v"), ("view", "all"), ("purchase", "all")], "event_type string, g string")
+    return e.join(F.broadcast(g), "event_type").groupBy("g").agg(F.count("*").alias("cnt"))  # five rows
+
+
+@query("lineitem", sql="SELECT l_returnflag, l_linestatus, l_quantity FROM lineitem WHERE (l_returnflag, l_linestatus) IN (('A', 'F'), ('N', 'O'))")
+def tuple_semi_join(li):
+    keys = li.sparkSession.createDataFrame([("A", "F"), ("N", "O")], "l_returnflag string, l_linestatus string")
+    return li.join(F.broadcast(keys), ["l_returnflag", "l_linestatus"], "left_semi").select("l_returnflag", "l_linestatus", "l_quantity")
+
+
+@query("documents", sql="SELECT count(*) AS total, count(*) FILTER (WHERE length(text) >= 5000) AS invalid, round(100.0 * count(*) FILTER (WHERE length(text) >= 5000) / count(*), 6) AS pct FROM documents")
+def invalid_rate(d):
+    bad = F.count_if(F.length("text") >= 5000)
+    return d.agg(F.count("*").alias("total"), bad.alias("invalid"), F.round(100.0 * bad / F.count("*"), 6).alias("pct"))
+
+
+@query("part", sql="SELECT p_partkey FROM part WHERE starts_with(p_brand, 'Brand#1') AND NOT ends_with(p_name, '0')")
+def prefix_filter(p):
+    return p.where(F.col("p_brand").startswith("Brand#1") & ~F.col("p_name").endswith("0")).select("p_partkey")
+
+
+@query("events", sql="SELECT event_type, count(*) FILTER (WHERE value < 50) AS below, count(*) FILTER (WHERE value >= 50) AS rest FROM events GROUP BY 1")
+def threshold_filter(e):
+    return e.groupBy("event_type").agg(F.count_if(F.col("value") < 50).alias("below"), F.count_if(F.col("value") >= 50).alias("rest"))
+
+
+@query("lineitem", sql="SELECT l_orderkey, l_linenumber, round(l_quantity + l_discount + l_tax, 4) AS total FROM lineitem")
+def sum_columns(li):
+    return li.select("l_orderkey", "l_linenumber", F.round(F.col("l_quantity") + F.col("l_discount") + F.col("l_tax"), 4).alias("total"))
+
+
+@query("nation", sql="SELECT n_nationkey, n_name || '_' || CASE WHEN n_nationkey < 10 THEN '0' || n_nationkey ELSE n_nationkey::VARCHAR END AS comp_key FROM nation")
+def composite_key(n):
+    k = F.col("n_nationkey").cast("string")
+    return n.select("n_nationkey", F.concat("n_name", F.lit("_"), F.when(F.length(k) < 2, F.lpad(k, 2, "0")).otherwise(k)).alias("comp_key"))
+
+
+@query("nation", "region", sql="SELECT concat_ws(' / ', r_name, n_name) AS name, 'x' AS mark FROM nation JOIN region ON n_regionkey = r_regionkey")
+def concat_names(n, r):
+    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(F.concat_ws(" / ", "r_name", "n_name").alias("name"), F.lit("x").alias("mark"))  # 5 rows
+
+
+@query("part", sql="SELECT p_partkey, split_part(replace(p_type, ' ', '_'), '_', 1) AS a, coalesce(nullif(split_part(replace(p_type, ' ', '_'), '_', 3), ''), 'bart') AS c FROM part")
+def parse_underscored(p):
+    s = F.split(F.replace("p_type", F.lit(" "), F.lit("_")), "_")
+    return p.select("p_partkey", F.get(s, F.lit(0)).alias("a"), F.coalesce(F.nullif(F.get(s, F.lit(2)), F.lit("")), F.lit("bart")).alias("c"))
+
+
+@query("orders", sql="SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'P'), CASE WHEN o_totalprice > 1000 THEN 'big' ELSE 'small' END) AS status FROM orders")
+def conditional_backfill(o):
+    return o.select("o_orderkey", F.coalesce(F.nullif("o_orderstatus", F.lit("P")), F.when(F.col("o_totalprice") > 1000, "big").otherwise("small")).alias("status"))
+
+
+@query("orders", "lineitem", sql="SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def anti_join_done(o, li):
+    return o.join(li, o.o_orderkey == li.l_orderkey, "left_anti").select("o_orderkey")
+
+
+# -- joins
+
+_LEFT = "(SELECT nullif(c_nationkey, 3) AS k, min(c_custkey) AS v FROM customer GROUP BY 1)"
+_RIGHT = "(SELECT nullif(s_nationkey, 3) AS k, min(s_suppkey) AS v FROM supplier WHERE s_nationkey < 20 GROUP BY 1)"
+
+
+def _sides(c, s):
+    return (c.groupBy(F.nullif("c_nationkey", F.lit(3)).alias("k")).agg(F.min("c_custkey").alias("v")), s.where("s_nationkey < 20").groupBy(F.nullif("s_nationkey", F.lit(3)).alias("k")).agg(F.min("s_suppkey").alias("v")))
+
+
+@query("customer", "supplier", sql=f"SELECT coalesce(a.k, b.k) AS k, a.v AS v_x, b.v AS v_y FROM {_LEFT} a FULL JOIN {_RIGHT} b ON a.k IS NOT DISTINCT FROM b.k")
+def outer_join_features(c, s):
+    return R.outer_join(*_sides(c, s), ["k"])
+
+
+@query("customer", "nation", sql="SELECT c_custkey, n_name FROM customer JOIN (SELECT DISTINCT n_nationkey, n_name FROM nation) ON c_nationkey = n_nationkey")
+def inner_join_dedup(c, n):
+    n = n.select("n_nationkey", "n_name").dropDuplicates()
+    return c.join(n, c.c_nationkey == n.n_nationkey).select("c_custkey", "n_name")
+
+
+@query("lineitem", "part", "supplier", sql="SELECT l_orderkey, l_linenumber, p_brand, s_name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 40")
+def star_lookup_join(li, p, s):
+    x = li.where("l_quantity > 40").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey"))
+    x = R.lookup(x, p.select("p_partkey", "p_brand"), "p_partkey")
+    return R.lookup(x, s.select("s_suppkey", "s_name"), "s_suppkey").select("l_orderkey", "l_linenumber", "p_brand", "s_name")
+
+
+@query("documents", sql="""WITH a AS (SELECT doc_id, unnest(range(len(w)))::INTEGER AS pos, unnest(w) AS word FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)),
+b AS (SELECT doc_id, unnest(range(len(w)))::INTEGER AS pos, unnest(list_transform(w, lambda x: length(x))) AS n FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))
+SELECT doc_id, pos, word, n FROM a JOIN b USING (doc_id, pos) WHERE pos < 5""")
+def positional_join(d):
+    w = F.split("text", " ")
+    a = d.select("doc_id", F.posexplode(w).alias("pos", "word")).where("pos < 5")
+    b = d.select("doc_id", F.posexplode(F.transform(w, F.length)).alias("pos", "n")).where("pos < 5")
+    return a.join(b, ["doc_id", "pos"])
+
+
+@query("documents", "labels", sql="SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def semi_join_keys(d, lab):
+    return d.join(lab.where("quality = 1"), "doc_id", "left_semi").select("doc_id", "lang")
+
+
+@query("customer", "supplier", sql=f"SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.h IS NULL THEN 'left_only' WHEN a.h IS NULL THEN 'right_only' WHEN a.v IS NOT DISTINCT FROM b.v THEN 'same' ELSE 'changed' END AS kind FROM (SELECT *, 1 AS h FROM {_LEFT}) a FULL JOIN (SELECT *, 1 AS h FROM {_RIGHT}) b ON a.k IS NOT DISTINCT FROM b.k")
+def diff_tables(c, s):
+    return R.diff(*_sides(c, s), ["k"], "v")
+
+
+@query("lineitem", sql="""SELECT coalesce(a.f, b.f) AS f, coalesce(a.s, b.s) AS s, a.n, b.m FROM
+(SELECT l_returnflag AS f, l_linestatus AS s, count(*) AS n FROM lineitem WHERE l_quantity < 10 GROUP BY 1, 2) a FULL JOIN
+(SELECT l_returnflag AS f, l_linestatus AS s, count(*) AS m FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1, 2) b ON a.f = b.f AND a.s = b.s""")
+def outer_align(li):
+    g = lambda x, n: x.groupBy(F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("s")).agg(F.count("*").alias(n))
+    return R.outer_join(g(li.where("l_quantity < 10"), "n"), g(li.where("l_returnflag <> 'A'"), "m"), ["f", "s"])
+
+
+@query("embeddings", sql="SELECT vec_id, unnest(range(3))::INTEGER AS pos, round(unnest(list_transform(range(1, 4), lambda i: embedding[i]::DOUBLE + embedding[i + 3]::DOUBLE)), 6) AS s FROM embeddings")
+def arrays_zip_explode(e):
+    z = F.arrays_zip(F.slice("embedding", 1, 3).alias("a"), F.slice("embedding", 4, 3).alias("b"))
+    return e.select("vec_id", F.posexplode(z).alias("pos", "z")).select("vec_id", "pos", F.round(F.col("z.a").cast("double") + F.col("z.b").cast("double"), 6).alias("s"))
+
+
+@query("region", "nation", sql="SELECT r_name, lr, n AS n_nations FROM region CROSS JOIN (VALUES ('5e-6'), ('1e-5'), ('5e-5')) g(lr) JOIN (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1) ON n_regionkey = r_regionkey")
+def config_grid(r, n):
+    lr = r.sparkSession.createDataFrame([("5e-6",), ("1e-5",), ("5e-5",)], "lr string")
+    return r.crossJoin(lr).join(n.groupBy("n_regionkey").agg(F.count("*").alias("n_nations")), F.col("r_regionkey") == F.col("n_regionkey")).select("r_name", "lr", "n_nations")  # settings: a few rows each
+
+
+_V = "SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings"
+_SQ = "list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+_DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1] * z[2]))"
+
+
+def _neighbours(e, every=20):
+    q = e.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("q_id"), V.doubles("embedding").alias("qe"), F.col("label").alias("q_label"))
+    return V.pairs(q, e.select("vec_id", V.doubles("embedding").alias("e"), "label")).where("q_id <> vec_id")
+
+
+_KNN = f"""WITH v AS ({_V}), d AS (SELECT q.vec_id AS q_id, q.label AS q_label, c.vec_id, c.label, {_SQ.format('q.e', 'c.e')} AS dist FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, vec_id)::INTEGER AS rank FROM d)"""
+
+
+@query("embeddings", sql=f"{_KNN} SELECT q_id, vec_id, rank, round(dist, 6) AS dist FROM r WHERE rank <= 5")
+def knn_exact(e):
+    return V.nearest(_neighbours(e), "q_id", "vec_id", V.squared(F.col("qe"), F.col("e")), 5).select("q_id", "vec_id", "rank", r6("dist").alias("dist"))
+
+
+@query("embeddings", sql=f"WITH v AS ({_V}) SELECT a.vec_id AS a_id, b.vec_id AS b_id, round({_DOT.format('a.e', 'b.e')} / (sqrt({_DOT.format('a.e', 'a.e')}) * sqrt({_DOT.format('b.e', 'b.e')})), 6) AS cos FROM v a, v b WHERE a.vec_id < 40 AND b.vec_id < 40")
+def cosine_matrix(e):
+    s = e.where("vec_id < 40")
+    return V.pairs(s.select(F.col("vec_id").alias("a_id"), V.doubles("embedding").alias("x")), s.select(F.col("vec_id").alias("b_id"), V.doubles("embedding").alias("y"))).select("a_id", "b_id", r6(V.cosine(F.col("x"), F.col("y"))).alias("cos"))
+
+
+@query("embeddings", sql=f"WITH v AS ({_V}) SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(exp(-{_SQ.format('a.e', 'b.e')} / len(a.e)), 6) AS k FROM v a, v b WHERE a.vec_id < 30 AND b.vec_id < 60")
+def rbf_kernel(e):
+    a, b = e.where("vec_id < 30"), e.where("vec_id < 60")
+    p = V.pairs(a.select(F.col("vec_id").alias("a_id"), V.doubles("embedding").alias("x")), b.select(F.col("vec_id").alias("b_id"), V.doubles("embedding").alias("y")))
+    return p.select("a_id", "b_id", r6(F.exp(-V.squared(F.col("x"), F.col("y")) / F.size("x"))).alias("k"))
+
+
+@query("embeddings", sql=f"{_KNN}, v2 AS (SELECT q_id, q_label, label, count(*) AS n FROM r WHERE rank <= 11 GROUP BY ALL) SELECT q_id, q_label, arg_min(label, -n * 1000 + label) AS predicted FROM v2 GROUP BY ALL")
+def knn_vote(e):
+    n = V.nearest(_neighbours(e), "q_id", "vec_id", V.squared(F.col("qe"), F.col("e")), 11).groupBy("q_id", "q_label", "label").agg(F.count("*").alias("n"))
+    return n.groupBy("q_id", "q_label").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("predicted"))
+
+
+@query("embeddings", sql=f"{_KNN} SELECT q_id, round(sum(label / sqrt(dist)) / sum(1 / sqrt(dist)), 6) AS predicted FROM r WHERE rank <= 5 GROUP BY q_id")
+def knn_regress(e):
+    n = V.nearest(_neighbours(e), "q_id", "vec_id", V.squared(F.col("qe"), F.col("e")), 5)
+    return n.groupBy("q_id").agg(r6(F.sum(F.col("label") / F.sqrt("dist")) / F.sum(1 / F.sqrt("dist"))).alias("predicted"))
+
+
+@query("embeddings", sql=f"{_KNN}, g AS (SELECT unnest([1, 5, 11]) AS k), v2 AS (SELECT k, q_id, q_label, label, count(*) AS n FROM r JOIN g ON rank <= k GROUP BY ALL), p AS (SELECT k, q_id, q_label, arg_min(label, -n * 1000 + label) AS y FROM v2 GROUP BY ALL) SELECT k, (q_id // 20 % 3)::INTEGER AS fold, round(avg((y = q_label)::INTEGER), 6) AS accuracy FROM p GROUP BY ALL")
+def grid_search_knn(e):
+    n = V.nearest(_neighbours(e), "q_id", "vec_id", V.squared(F.col("qe"), F.col("e")), 11)
+    n = n.withColumn("k", F.explode(F.array(*[F.lit(k) for k in (1, 5, 11)]))).where("rank <= k").groupBy("k", "q_id", "q_label", "label").agg(F.count("*").alias("n"))
+    p = n.groupBy("k", "q_id", "q_label").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("y"))
+    return p.groupBy("k", (F.floor(F.col("q_id") / 20) % 3).cast("int").alias("fold")).agg(r6(F.avg((F.col("y") == F.col("q_label")).cast("int"))).alias("accuracy"))
+
+
+@query("embeddings", sql="WITH x AS (SELECT vec_id, unnest(range(64))::INTEGER AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT pos, avg(x) AS a, stddev_pop(x) AS s FROM x GROUP BY pos) SELECT vec_id, pos, round((x - a) / s, 5) AS z FROM x JOIN m USING (pos)")
+def standardize(e):
+    return V.standardized(e, "vec_id", "embedding").select("vec_id", "pos", F.round("z", 5).alias("z"))
+
+
+@query("embeddings")
+def pca2(e):
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    v = e.select("vec_id", array_to_vector(V.doubles("embedding")).alias("v"))
+    v = StandardScaler(withMean=True, inputCol="v", outputCol="z").fit(v).transform(v)
+    return PCA(k=2, inputCol="z", outputCol="p").fit(v).transform(v).select("vec_id", vector_to_array("p")[0].alias("pc1"), vector_to_array("p")[1].alias("pc2"))
+
+
+@query("embeddings")
+def linear_svc(e):
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.functions import array_to_vector
+
+    v = e.select("vec_id", array_to_vector(V.doubles("embedding")).alias("features"), (F.col("label") < 5).cast("double").alias("label"))
+    share = v.agg(F.avg("label").alias("p")).first()["p"]  # balanced class weights from one number
+    v = v.withColumn("w", F.when(F.col("label") == 1, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)))
+    return LinearSVC(maxIter=20, weightCol="w").fit(v).transform(v).select("vec_id", "label", "prediction")
+
+
+# -- aggregations
+
+
+@query("events", sql="SELECT event_type, count(*) AS cnt FROM events GROUP BY 1")
+def status_counts(e):
+    from tokenloom.streaming.counts import status_counts as f
+
+    return f(e, "event_type")
+
+
+@query("lineitem", sql="SELECT count(*) AS total, count(*) FILTER (WHERE l_discount = 0) AS zero, count(*) FILTER (WHERE l_discount > 0 AND l_tax = 0) AS untaxed, round(100.0 * count(*) FILTER (WHERE l_discount = 0) / nullif(count(*), 0), 6) AS pct FROM lineitem")
+def stage_funnel(li):
+    zero = F.count_if(F.col("l_discount") == 0)
+    return li.agg(F.count("*").alias("total"), zero.alias("zero"), F.count_if((F.col("l_discount") > 0) & (F.col("l_tax") == 0)).alias("untaxed"), r6(100.0 * zero / F.nullif(F.count("*"), F.lit(0))).alias("pct"))
+
+
+@query("lineitem", sql="SELECT unnest(['l_quantity', 'l_tax', 'l_discount']) AS name, unnest([round(avg(l_quantity), 6), round(avg(l_tax), 6), round(avg(l_discount), 6)]) AS mean FROM lineitem")
+def descriptor_means(li):
+    names = ["l_quantity", "l_tax", "l_discount"]
+    return li.agg(*[r6(F.avg(n)).alias(n) for n in names]).unpivot([], names, "name", "mean")
+
+
+@query("documents", sql="SELECT lang, round(avg(length(text)), 6) AS mean, max(length(text)) AS most, max(len(string_split(text, ' '))) AS words FROM documents GROUP BY 1")
+def length_stats(d):
+    return d.groupBy("lang").agg(r6(F.avg(F.length("text"))).alias("mean"), F.max(F.length("text")).cast("long").alias("most"), F.max(F.size(F.split("text", " "))).cast("long").alias("words"))
+
+
+@query("documents", sql="SELECT count(*) - count(DISTINCT text) AS duplicates, count(*) > count(DISTINCT text) AS any_duplicate FROM documents")
+def duplicate_count(d):
+    n = d.groupBy(F.sha2("text", 256)).agg(F.count("*").alias("n"))
+    return n.agg(F.sum(F.col("n") - 1).alias("duplicates"), (F.max("n") > 1).alias("any_duplicate"))
+
+
+@query("events", sql="SELECT event_type, user_id, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
+def group_mean(e):
+    return e.groupBy("event_type", "user_id").agg(r6(F.avg("value")).alias("mean"))
+
+
+@query("lineitem", sql="""SELECT l_returnflag, round(avg(l_quantity) FILTER (WHERE l_linestatus = 'O' AND l_linenumber = 1), 6) AS "O_1",
+round(avg(l_quantity) FILTER (WHERE l_linestatus = 'F' AND l_linenumber = 1), 6) AS "F_1", round(avg(l_quantity) FILTER (WHERE l_linestatus = 'F' AND l_linenumber = 2), 6) AS "F_2" FROM lineitem GROUP BY 1""")
+def pivot_mean(li):
+    names = ["O_1", "F_1", "F_2"]
+    wide = A.wide_mean(li, ["l_returnflag"], F.concat_ws("_", "l_linestatus", "l_linenumber"), names, "l_quantity")
+    return wide.select("l_returnflag", *[r6(n).alias(n) for n in names])
+
+
+@query("events", sql="SELECT event_type, round(avg(value), 6) AS mean, round(median(value), 6) AS med, round(stddev_pop(value), 6) AS sd, list(DISTINCT user_id % 5 ORDER BY user_id % 5) AS members FROM events GROUP BY 1")
+def label_stats(e):
+    return e.groupBy("event_type").agg(r6(F.avg("value")).alias("mean"), r6(A.median(F.col("value"))).alias("med"), r6(F.stddev_pop("value")).alias("sd"), F.sort_array(F.collect_set(F.col("user_id") % 5)).alias("members"))
+
+
+@query("events", sql="""WITH e AS (SELECT min(value) AS lo, max(value) AS hi FROM events WHERE event_type = 'click'), b AS (
+SELECT least(floor((value - lo) / ((hi - lo) / 10)), 9)::INTEGER AS bin, count(*) AS n FROM events, e WHERE event_type = 'view' AND value BETWEEN lo AND hi GROUP BY 1)
+SELECT r.bin::INTEGER AS bin, coalesce(n, 0) AS cnt FROM range(10) r(bin) LEFT JOIN b ON b.bin = r.bin""")
+def histogram_shared_bins(e):
+    return A.histogram(e.where("event_type = 'view'"), "value", e.where("event_type = 'click'"), "value")
+
+
+@query("embeddings", sql="SELECT label, count(*) AS cnt FROM embeddings GROUP BY 1")
+def label_counts(e):
+    return e.groupBy("label").agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), "label")
+
+
+@query("events", sql="SELECT event_id, user_id FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING count(*) > 10)")
+def having_min_count(e):
+    often = e.groupBy("user_id").agg(F.count("*").alias("n")).where("n > 10")
+    return e.join(often, "user_id", "left_semi").select("event_id", "user_id")
+
+
+@query("nation", "region", sql="SELECT r_name, list(n_name ORDER BY n_name) AS names FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def group_collect(n, r):
+    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).groupBy("r_name").agg(F.sort_array(F.collect_list("n_name")).alias("names"))  # 25 rows
+
+
+@query("documents", sql="SELECT DISTINCT lang, unnest(list_distinct(string_split(text, ' '))) AS word FROM documents WHERE length(text) < 2000")
+def distinct_tokens(d):
+    return d.where(F.length("text") < 2000).select("lang", F.explode(F.array_distinct(F.split("text", " "))).alias("word")).distinct()
+
+
+@query("lineitem", sql="SELECT l_suppkey, max(l_discount) AS most, round(avg(l_discount), 6) AS mean, round(coalesce(sum(l_discount) / nullif(count(*) FILTER (WHERE l_discount <> 0), 0), 0), 6) AS nonzero FROM lineitem GROUP BY 1")
+def nonzero_mean(li):
+    return li.groupBy("l_suppkey").agg(F.max("l_discount").alias("most"), r6(F.avg("l_discount")).alias("mean"), r6(A.nonzero_mean(F.col("l_discount"))).alias("nonzero"))
+
+
+@query("orders", sql="SELECT o_custkey, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS best, max(o_totalprice) AS most FROM orders GROUP BY 1")
+def best_per_group(o):
+    return A.best(o, ["o_custkey"], "o_totalprice", [F.col("o_orderkey")]).select("o_custkey", F.col("o_orderkey").alias("best"), F.col("o_totalprice").alias("most"))
+
+
+@query("part", sql="""WITH f AS (SELECT p_brand AS params, p_size % 3 AS fold, avg(p_retailprice) AS s FROM part GROUP BY ALL),
+c AS (SELECT params, abs(avg(s)) AS mean, stddev_samp(s) AS sd FROM f GROUP BY 1), r AS (SELECT *, rank() OVER (ORDER BY mean DESC) AS rk FROM c)
+SELECT params, round(mean, 6) AS mean, round(sd, 6) AS sd FROM r WHERE rk = 1 ORDER BY params LIMIT 1""")
+def cv_best_params(p):
+    f = p.groupBy(F.col("p_brand").alias("params"), F.col("p_size") % 3).agg(F.avg("p_retailprice").alias("s"))
+    c = f.groupBy("params").agg(F.abs(F.avg("s")).alias("mean"), F.stddev_samp("s").alias("sd"))
+    return c.orderBy(F.desc("mean"), "params").limit(1).select("params", r6("mean").alias("mean"), r6("sd").alias("sd"))  # rank 1, then the first
+
+
+@query("events", sql="SELECT event_id, round((value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0), 6) AS z FROM events WINDOW w AS (PARTITION BY event_type)")
+def zscore_by_group(e):
+    return e.select("event_id", r6(A.zscore("value", "event_type")).alias("z"))
+
+
+@query("supplier", sql="SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey)::INTEGER AS pos FROM supplier")
+def sorted_slices(s):
+    return s.select("s_nationkey", "s_suppkey", F.row_number().over(Window.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey")).alias("pos"))
+
+
+@query("orders", sql="""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'x' ELSE '' END AS "F", CASE WHEN o_orderstatus = 'O' THEN 'x' ELSE '' END AS "O", CASE WHEN o_orderstatus = 'P' THEN 'x' ELSE '' END AS "P" FROM orders""")
+def one_hot(o):
+    return o.select("o_orderkey", *[F.when(F.col("o_orderstatus") == v, "x").otherwise("").alias(v) for v in ("F", "O", "P")])
+
+
+# -- order, samples, splits
+
+
+@query("documents", sql="SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
+def dedup_keep_first(d):
+    return R.keep_first(d.withColumn("h", F.sha2("text", 256)).select("doc_id", "source", "h"), ["h"], [F.col("doc_id")]).select("doc_id", "source")
+
+
+@query("lineitem", sql="SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem")
+def dedup_rows(li):
+    return li.select("l_returnflag", "l_linestatus", "l_linenumber").dropDuplicates()
+
+
+@query("embeddings", sql="SELECT vec_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) WHERE k <= 20 OR label NOT IN (0, 1, 2)")
+def cap_per_label(e):
+    return R.cap_per_label(e.select("vec_id", "label"), "label", [F.col("vec_id")], 20, [0, 1, 2])
+
+
+@query("lineitem", "orders", sql=f"SELECT o_orderkey, big FROM (SELECT o_orderkey, (o_totalprice > 200000)::INTEGER AS big, row_number() OVER (PARTITION BY o_totalprice > 200000 ORDER BY md5('{SEED}|' || o_orderkey)) AS k FROM orders) WHERE k <= 50")
+def balanced_sample(_, o):
+    o = o.select("o_orderkey", (F.col("o_totalprice") > 200000).cast("int").alias("big"))
+    return R.cap_per_label(o, "big", [R.seeded(SEED, F.col("o_orderkey"))], 50)
+
+
+@query("documents", sql=f"SELECT doc_id FROM documents ORDER BY md5('{SEED}|' || doc_id) LIMIT 100")
+def uniform_sample(d):
+    return d.select("doc_id").orderBy(R.seeded(SEED, F.col("doc_id"))).limit(100)
+
+
+@query("documents", sql=f"SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('{SEED}|' || doc_id)) <= 100 THEN 'val' ELSE 'train' END AS split FROM documents")
+def train_val_split(d):
+    val = d.select("doc_id").orderBy(R.seeded(SEED, F.col("doc_id"))).limit(100).withColumn("split", F.lit("val"))  # top-n, then a join: no total order in one task
+    return d.select("doc_id").join(val, "doc_id", "left").select("doc_id", F.coalesce("split", F.lit("train")).alias("split"))
+
+
+@query("embeddings", sql=f"SELECT vec_id, label, CASE WHEN percent_rank() OVER (PARTITION BY label ORDER BY md5('{SEED}|' || vec_id)) < 0.2 THEN 'test' ELSE 'train' END AS split FROM embeddings")
+def stratified_split(e):
+    rank = F.percent_rank().over(Window.partitionBy("label").orderBy(R.seeded(SEED, F.col("vec_id"))))
+    return e.select("vec_id", "label", F.when(rank < 0.2, "test").otherwise("train").alias("split"))
+
+
+@query("events", sql=f"SELECT event_id, ('0x' || substr(md5('{SEED}|' || user_id), 1, 8))::BIGINT % 3 AS fold FROM events")
+def group_kfold(e):
+    return e.select("event_id", R.group_fold(SEED, F.col("user_id")).alias("fold"))
+
+
+@query("orders", sql="SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey LIMIT 200")
+def multi_key_sort(o):
+    return o.orderBy(F.desc("o_orderpriority"), "o_totalprice", "o_orderkey").limit(200).select("o_orderkey", "o_orderpriority")
+
+
+@query("supplier", sql=r"SELECT s_name, regexp_replace(s_name, '\D', '', 'g')::BIGINT AS num FROM supplier")
+def numeric_suffix_sort(s):
+    return s.select("s_name", F.regexp_replace("s_name", r"\D", "").cast("long").alias("num")).orderBy("num")
+
+
+@query("documents", sql="SELECT doc_id, list_sort(list_filter(list_distinct(string_split(text, ' ')), lambda x: length(x) > 12)) AS words FROM documents")
+def array_sort_filter(d):
+    return d.select("doc_id", F.array_sort(F.filter(F.array_distinct(F.split("text", " ")), lambda x: F.length(x) > 12)).alias("words"))
+
+
+_VOCAB = f"""tok AS (SELECT unnest({TOKENS_SQL}) AS token FROM documents), cnt AS (SELECT token, count(*) AS cnt FROM tok WHERE token NOT IN ('<s>', '<pad>', '</s>', '<unk>', '<mask>', '<cls>', '<sep>') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 993),
+vocab AS (SELECT (row_number() OVER (ORDER BY cnt DESC, token) + 6)::INTEGER AS id, token, cnt FROM cnt UNION ALL SELECT i::INTEGER, t, 0 FROM (VALUES (0, '<s>'), (1, '<pad>'), (2, '</s>'), (3, '<unk>'), (4, '<mask>'), (5, '<cls>'), (6, '<sep>')) s(i, t))"""
+
+
+def _tokens(d):
+    return d.select("doc_id", K.tokenize(F.col("text")).alias("t"))
+
+
+def _vocab(d):
+    return K.vocabulary(_tokens(d).select(F.explode("t").alias("token")), "token")
+
+
+@query("documents", sql=f"SELECT doc_id, unnest(range(len({TOKENS_SQL})))::INTEGER AS pos, unnest({TOKENS_SQL}) AS token FROM documents")
+def regex_tokenize(d):
+    return d.select("doc_id", F.posexplode(K.tokenize(F.col("text"))).alias("pos", "token"))
+
+
+@query("documents", sql=f"WITH {_VOCAB} SELECT token, cnt FROM vocab WHERE id > 6")
+def vocab_topk(d):
+    return _vocab(d).where("id > 6").select("token", "cnt")
+
+
+@query("documents", sql=f"WITH {_VOCAB} SELECT id, token, cnt FROM vocab")
+def vocab_ids(d):
+    return _vocab(d)
+
+
+def _encoded(d):
+    v = _vocab(d).agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("v"))  # at most 1000 entries
+    return _tokens(d).join(F.broadcast(v), how="cross").select("doc_id", K.encode(F.col("t"), F.col("v")).alias("ids"))
+
+
+_ENCODED = f"""WITH {_VOCAB}, p AS (SELECT doc_id, unnest(range(len({TOKENS_SQL}))) AS pos, unnest({TOKENS_SQL}) AS token FROM documents),
+enc AS (SELECT doc_id, list(coalesce(id, 3) ORDER BY pos) AS ids FROM p LEFT JOIN vocab USING (token) GROUP BY 1), e AS (SELECT doc_id, coalesce(ids, []) AS ids FROM documents LEFT JOIN enc USING (doc_id))"""
+
+
+@query("documents", sql=f"{_ENCODED} SELECT doc_id, array_to_string(ids, ' ') AS line FROM e")
+def encode_ids(d):
+    return _encoded(d).select("doc_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("line"))
+
+
+@query("documents", sql=f"{_ENCODED} SELECT doc_id, list_concat([0], ids[1:126], [2]) AS ids FROM e")
+def truncate_ids(d):
+    return _encoded(d).select("doc_id", K.truncate(F.col("ids")).alias("ids"))
+
+
+@query("documents", sql=f"{_ENCODED} SELECT doc_id, CASE WHEN len(ids) = 0 THEN ids ELSE list_concat([ids[-1]], ids[1:len(ids) - 1]) END AS ids FROM e")
+def rotate_tokens(d):
+    return _encoded(d).select("doc_id", K.rotate(F.col("ids")).alias("ids"))
+
+
+@query("documents", sql=f"""WITH p AS (SELECT doc_id, unnest(range(len({TOKENS_SQL})))::INTEGER AS pos, unnest({TOKENS_SQL}) AS token FROM documents)
+SELECT doc_id, pos, token FROM p WHERE token NOT IN ('H', 'h', '-') AND trim(token) <> '' AND NOT regexp_matches(token, '[()=:~0-9#/\\\\]')""")
+def clean_tokens(d):
+    return d.select("doc_id", F.explode(K.clean_tokens(K.tokenize(F.col("text")))).alias("x")).select("doc_id", "x.pos", "x.token")
+
+
+@query("documents", sql=f"SELECT doc_id, list_sum(list_transform({TOKENS_SQL}, lambda t: CASE WHEN t = '<unk>' THEN 1 ELSE length(t) END))::BIGINT = length(text) AS ok FROM documents")
+def token_length_check(d):
+    n = F.aggregate(K.tokenize(F.col("text")), F.lit(0), lambda s, t: s + F.when(t == "<unk>", 1).otherwise(F.length(t)))
+    return d.select("doc_id", (n == F.length("text")).alias("ok"))
+
+
+@query("part", sql="SELECT p_partkey, upper(ltrim('[' || p_name, '['))[1] AS symbol FROM part")
+def leading_symbol(p):
+    return p.select("p_partkey", K.leading_symbol(F.concat(F.lit("["), "p_name")).alias("symbol"))
+
+
+@query("customer", sql="SELECT CASE WHEN lower(c_mktsegment) IN ('cl', 'br') THEN lower(c_mktsegment) ELSE lower(c_mktsegment)[1] END AS g, count(*) AS cnt FROM customer GROUP BY 1")
+def first_letter_groups(c):
+    return c.groupBy(K.first_letter_group(F.lower("c_mktsegment")).alias("g")).agg(F.count("*").alias("cnt"))
+
+
+@query("nation", "region", sql="SELECT n_nationkey, upper(n_name)[1] = upper(r_name)[1] AS same FROM nation JOIN region ON n_regionkey = r_regionkey")
+def consistency_check(n, r):
+    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select("n_nationkey", (F.upper(F.substring("n_name", 1, 1)) == F.upper(F.substring("r_name", 1, 1))).alias("same"))
+
+
+@query("events", sql=r"SELECT event_id, list_transform(regexp_extract_all(props, ':\s*(\d+)', 1), lambda x: x::INTEGER) AS nums FROM events")
+def regex_extract_ids(e):
+    return e.select("event_id", F.transform(F.regexp_extract_all("props", F.lit(r":\s*(\d+)"), F.lit(1)), lambda x: x.cast("int")).alias("nums"))
+
+
+@query("embeddings", sql="SELECT vec_id, list_transform([0, 5, 63, 99], lambda p: round(embedding[p + 1]::DOUBLE, 6)) AS got FROM embeddings")
+def array_gather(e):
+    return e.select("vec_id", F.transform(K.gather(F.col("embedding"), F.array(*[F.lit(p) for p in (0, 5, 63, 99)])), lambda x: F.round(x.cast("double"), 6)).alias("got"))
+
+
+@query("embeddings", sql="SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: round(x::DOUBLE, 4))), 4) AS total FROM embeddings")
+def parse_vector_json(e):
+    text = F.to_json(F.transform("embedding", lambda x: F.round(x.cast("double"), 4)))
+    return e.select("vec_id", F.round(F.aggregate(F.from_json(text, "array<double>"), F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+@query("embeddings", sql="SELECT vec_id, " + ", ".join(f"embedding[{i + 1}] AS e{i}" for i in range(8)) + " FROM embeddings")
+def widen_vector(e):
+    return e.select("vec_id", *[F.get("embedding", F.lit(i)).alias(f"e{i}") for i in range(8)])
+
+
+@query("nation", sql="SELECT n_regionkey, n_nationkey AS v, n_name AS k FROM nation")
+def map_invert(n):
+    m = n.groupBy("n_regionkey").agg(F.map_from_entries(F.collect_list(F.struct("n_name", "n_nationkey"))).alias("m"))
+    return m.select("n_regionkey", F.explode(K.inverted(F.col("m"))).alias("v", "k"))
+
+
+@query("part", sql=r"SELECT p_partkey, regexp_replace(replace(p_name, ' ', '_'), '[^A-Za-z_]', '', 'g') AS name FROM part")
+def regex_clean(p):
+    return p.select("p_partkey", F.regexp_replace(F.replace("p_name", F.lit(" "), F.lit("_")), "[^A-Za-z_]", "").alias("name"))
+
+
+@query("events", sql="SELECT event_type, round_even(avg(value), 3) AS mean, printf('%.1f', 100.0 * count(*) FILTER (WHERE value > 50) / count(*)) AS pct FROM events GROUP BY 1")
+def bround_stats(e):
+    return e.groupBy("event_type").agg(F.bround(F.avg("value"), 3).alias("mean"), F.format_string("%.1f", 100.0 * F.count_if(F.col("value") > 50) / F.count("*")).alias("pct"))
+
+
+@query("labels", sql="SELECT doc_id, CASE WHEN toxic = 1 THEN 5 - quality ELSE quality + 4 - 4 END AS cls, round(exp(-quality), 6) AS p FROM labels")
+def label_decode(lab):
+    return lab.select("doc_id", F.when(F.col("toxic") == 1, 5 - F.col("quality")).otherwise(F.col("quality")).alias("cls"), r6(F.exp(-F.col("quality").cast("double"))).alias("p"))
+
+
+@query("documents", sql=f"WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY md5('1|' || doc_id)) AS k FROM documents), b AS (SELECT lang, row_number() OVER (ORDER BY md5('{SEED}|' || doc_id)) AS k FROM documents) SELECT doc_id, lang AS shuffled FROM a JOIN b USING (k)")
+def label_permutation(d):
+    # ranks from counts by the leading hex digits of the order: no total order in one task
+    def ranked(df, seed, *cols):
+        h = df.select(*cols, R.seeded(seed, F.col("doc_id")).alias("h")).withColumn("b", F.substring("h", 1, 2))
+        n = h.groupBy("b").agg(F.count("*").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        return h.join(F.broadcast(n), "b").withColumn("k", F.col("ahead") + F.row_number().over(Window.partitionBy("b").orderBy("h"))).select(*cols, "k")  # 256 counts
+
+    a, b = ranked(d.select("doc_id"), 1, "doc_id"), ranked(d.select("doc_id", "lang"), SEED, "doc_id", "lang").select(F.col("lang").alias("shuffled"), "k")
+    return a.join(b, "k").select("doc_id", "shuffled")
+
+
+@query("conversations", sql="SELECT conv_id, turn, lead(role) OVER w AS next_role, lag(length(text)) OVER w AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)")
+def lead_lines(c):
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    return c.select("conv_id", "turn", F.lead("role").over(w).alias("next_role"), F.lag(F.length("text")).over(w).cast("long").alias("before"))
+
+
+# -- unions
+
+
+@query("customer", "supplier", sql="SELECT c_custkey AS id, c_acctbal AS bal, c_mktsegment AS seg FROM customer UNION ALL SELECT s_suppkey, s_acctbal, NULL FROM supplier")
+def union_by_name(c, s):
+    a = c.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("bal"), F.col("c_mktsegment").alias("seg"))
+    return a.unionByName(s.select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("bal")), allowMissingColumns=True)
+
+
+@query("customer", "supplier", sql="SELECT nk, kind, arg_max(id, (bal, -id)) AS id FROM (SELECT c_nationkey AS nk, 'c' AS kind, c_custkey AS id, c_acctbal AS bal FROM customer UNION ALL SELECT s_nationkey, 's', s_suppkey, s_acctbal FROM supplier) GROUP BY 1, 2")
+def union_then_first(c, s):
+    u = c.select(F.col("c_nationkey").alias("nk"), F.lit("c").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("bal")).unionByName(s.select(F.col("s_nationkey").alias("nk"), F.lit("s").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("bal")))
+    return A.best(u, ["nk", "kind"], "bal", [F.col("id")]).select("nk", "kind", "id")
+
+
+@query("customer", "supplier", sql=f"SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.h = 1 THEN b.v ELSE a.v END AS v FROM {_LEFT} a FULL JOIN (SELECT *, 1 AS h FROM {_RIGHT}) b ON a.k IS NOT DISTINCT FROM b.k")
+def upsert_last_wins(c, s):
+    return R.last_wins(list(_sides(c, s)), ["k"])
+
+
+# -- metrics
+
+_SCORED = "(SELECT toxic AS y, (doc_id * 37 % 101)::DOUBLE / 101 + toxic * 0.2 AS s, quality FROM labels)"
+
+
+def _scored(lab):
+    return lab.select(F.col("toxic").alias("y"), ((F.col("doc_id") * 37 % 101).cast("double") / 101 + F.col("toxic") * 0.2).alias("s"), "quality")
+
+
+@query("labels", sql=f"WITH d AS (SELECT s, count(*) FILTER (WHERE y = 1) AS p, count(*) FILTER (WHERE y = 0) AS n FROM {_SCORED} GROUP BY s), r AS (SELECT *, coalesce(sum(p) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM d) SELECT round(sum(n * (a + p / 2)) / (sum(p)::DOUBLE * sum(n)), 6) AS roc_auc FROM r")
+def roc_auc(lab):
+    return M.roc_auc(_scored(lab), "y", "s").select(r6("roc_auc").alias("roc_auc"))
+
+
+@query("labels", sql=f"WITH d AS (SELECT s, count(*) FILTER (WHERE y = 1) AS p, count(*) AS m FROM {_SCORED} GROUP BY s), r AS (SELECT *, sum(p) OVER w AS tp, sum(m) OVER w AS t FROM d WINDOW w AS (ORDER BY s DESC)) SELECT round(sum(p * tp / t) / sum(p), 6) AS average_precision FROM r")
+def average_precision(lab):
+    return M.average_precision(_scored(lab), "y", "s").select(r6("average_precision").alias("average_precision"))
+
+
+@query("labels", sql=f"SELECT round(coalesce(2.0 * count(*) FILTER (WHERE y = 1 AND s >= 0.5) / nullif(2 * count(*) FILTER (WHERE y = 1 AND s >= 0.5) + count(*) FILTER (WHERE y <> (s >= 0.5)::INTEGER), 0), 0), 6) AS f1, round(avg((y = (s >= 0.5)::INTEGER)::INTEGER), 6) AS accuracy FROM {_SCORED}")
+def f1_accuracy(lab):
+    return M.f1_accuracy(_scored(lab).withColumn("p", (F.col("s") >= 0.5).cast("int")), "y", "p").select(r6("f1").alias("f1"), r6("accuracy").alias("accuracy"))
+
+
+@query("lineitem", sql="WITH e AS (SELECT l_quantity AS y, l_quantity - l_extendedprice / 2000 AS d FROM lineitem) SELECT round(avg(abs(d)), 6) AS mae, round(max(abs(d)), 6) AS max_error, round(avg(d * d), 6) AS mse, round(sqrt(avg(d * d)), 6) AS rmse, round(1 - sum(d * d) / (var_pop(y) * count(*)), 6) AS r2 FROM e")
+def regression_metrics(li):
+    m = M.regression(li.select(F.col("l_quantity").alias("y"), (F.col("l_extendedprice") / 2000).alias("p")), "y", "p")
+    return m.select(*[r6(c).alias(c) for c in m.columns])
+
+
+@query("labels", sql=f"""WITH x AS (SELECT y, (s >= 0.5)::INTEGER AS p FROM {_SCORED}), c AS (SELECT k AS class, count(*) FILTER (WHERE y = k) AS y, count(*) FILTER (WHERE p = k) AS p, count(*) FILTER (WHERE y = k AND p = k) AS h FROM x, (VALUES (0), (1)) v(k) GROUP BY 1)
+SELECT class, round(coalesce(h / nullif(p, 0), 0), 6) AS precision, round(coalesce(h / nullif(y, 0), 0), 6) AS recall, round(coalesce(2 * h / nullif(y + p, 0), 0), 6) AS f1, y AS support FROM c""")
+def classification_report(lab):
+    r = M.report(_scored(lab).withColumn("p", (F.col("s") >= 0.5).cast("int")), "y", "p")
+    return r.select("class", *[r6(c).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query("lineitem", sql="""WITH m AS (SELECT l_suppkey % 3 AS g, l_suppkey, round(avg(l_quantity) FILTER (WHERE l_returnflag = 'A'), 2) - round(avg(l_quantity) FILTER (WHERE l_returnflag = 'R'), 2) AS d FROM lineitem GROUP BY 1, 2),
+r AS (SELECT g, d, avg(k) OVER (PARTITION BY g, round(abs(d), 6)) AS rk FROM (SELECT g, d, row_number() OVER (PARTITION BY g ORDER BY round(abs(d), 6)) AS k FROM m WHERE round(abs(d), 6) <> 0))
+SELECT g, count(*) AS n, sum(rk) FILTER (WHERE d > 0) AS w_plus, sum(rk) FILTER (WHERE d < 0) AS w_minus FROM r GROUP BY 1""")
+def wilcoxon_stat(li):
+    mean = lambda f: F.round(F.avg(F.when(F.col("l_returnflag") == f, F.col("l_quantity"))), 2)
+    m = li.groupBy((F.col("l_suppkey") % 3).alias("g"), "l_suppkey").agg(F.round(mean("A") - mean("R"), 6).alias("a")).withColumn("b", F.lit(0.0))
+    return M.signed_ranks(m, "a", "b", ["g"])
+
+
+@query("embeddings", sql="SELECT round(-1.1 * greatest(abs(min(x)), abs(max(x))), 6) AS lo, round(1.1 * greatest(abs(min(x)), abs(max(x))), 6) AS hi FROM (SELECT embedding[1]::DOUBLE AS x FROM embeddings)")
+def axis_limits(e):
+    x = F.get("embedding", F.lit(0)).cast("double")
+    return e.agg(F.greatest(F.abs(F.min(x)), F.abs(F.max(x))).alias("m")).select(r6(-1.1 * F.col("m")).alias("lo"), r6(1.1 * F.col("m")).alias("hi"))
+
+
+@query("labels", sql="SELECT quality, floor(count(*) / 16.0 * 10)::INTEGER AS steps, floor(0.16 * floor(count(*) / 16.0 * 10))::INTEGER AS warmup FROM labels GROUP BY 1")
+def training_steps(lab):
+    s = lab.groupBy("quality").agg(F.floor(F.count("*") / 16 * 10).cast("int").alias("steps"))
+    return s.withColumn("warmup", F.floor(0.16 * F.col("steps")).cast("int"))
