@@ -34,9 +34,24 @@ def vocabulary(tokens: DataFrame, token: str, size: int = 1000, specials: list[s
     return fixed.unionByName(ids.select("id", "token", "cnt"))
 
 
+#: Buckets of a vocabulary: a map is searched entry by entry, so each is kept small.
+BUCKETS = 1024
+
+
+def _bucket(token: Column) -> Column:
+    return F.pmod(F.hash(token), F.lit(BUCKETS))
+
+
+def buckets(vocab: DataFrame) -> DataFrame:
+    """One row with ``v``: array of BUCKETS maps token -> id. The vocabulary has a fixed most size."""
+    maps = vocab.groupBy(_bucket(F.col("token")).alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("m"))
+    every = vocab.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(maps, "b", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", F.map_entries("m").alias("e")))), lambda x: F.coalesce(x["e"], F.array())).alias("e")).select(F.transform("e", F.map_from_entries).alias("v"))
+
+
 def encode(tokens: Column, vocab: Column, unknown: int = SPECIALS.index("<unk>")) -> Column:
-    """Ids of tokens; vocab: map<token, id>."""
-    return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(vocab, t), F.lit(unknown)))
+    """Ids of tokens; vocab: what ``buckets`` gives."""
+    return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(F.get(vocab, _bucket(t)), t), F.lit(unknown)))
 
 
 def truncate(ids: Column, most: int = 126, first: int = 0, last: int = 2) -> Column:

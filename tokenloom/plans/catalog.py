@@ -492,12 +492,13 @@ def _tokens(d):
 
 
 def _vocab(d):
-    return K.vocabulary(_tokens(d).select(F.explode("t").alias("token")), "token")
+    return K.vocabulary(_tokens(d).select(F.explode_outer("t").alias("token")).where("token IS NOT NULL"), "token")
 
 
 @query("documents", sql=f"SELECT doc_id, unnest(range(len({TOKENS_SQL})))::INTEGER AS pos, unnest({TOKENS_SQL}) AS token FROM documents")
 def regex_tokenize(d):
-    return d.select("doc_id", F.posexplode(K.tokenize(F.col("text"))).alias("pos", "token"))
+    # outer: no filter on the array's size is inferred, which would tokenize twice
+    return d.select("doc_id", F.posexplode_outer(K.tokenize(F.col("text"))).alias("pos", "token")).where("token IS NOT NULL")
 
 
 @query("documents", sql=f"WITH {_VOCAB} SELECT token, cnt FROM vocab WHERE id > 6")
@@ -511,7 +512,7 @@ def vocab_ids(d):
 
 
 def _encoded(d):
-    v = _vocab(d).agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("v"))  # at most 1000 entries
+    v = K.buckets(_vocab(d))  # at most 1000 entries
     return _tokens(d).join(F.broadcast(v), how="cross").select("doc_id", K.encode(F.col("t"), F.col("v")).alias("ids"))
 
 
