@@ -38,7 +38,9 @@ def needed(length: int) -> tuple[int, int]:
 def _seeds(rows: DataFrame, masks: list[list[int]], keep: list[str]) -> DataFrame:
     """rows (t: tokens, ...) -> one row per position and mask that fits: keep, pos, seed."""
     t, pos, least = F.col("t"), F.col("pos"), min(m[-1] + 1 for m in masks)
-    at = rows.where(F.size("t") >= least).select(*keep, "t", F.explode(F.sequence(F.lit(0), F.size("t") - least)).alias("pos"))
+    # outer, with null for short texts: a filter on the size would be pushed below and tokenize a second time
+    places = F.when(F.size("t") >= least, F.sequence(F.lit(0), F.size("t") - least))
+    at = rows.select(*keep, "t", F.explode_outer(places).alias("pos")).where("pos IS NOT NULL")
     seeds = [F.when(pos + (m[-1] + 1) <= F.size("t"), F.xxhash64(F.lit(k), *[F.get(t, pos + p) for p in m])) for k, m in enumerate(masks)]
     return at.select(*keep, "t", "pos", F.explode(F.array(*seeds)).alias("seed")).where("seed IS NOT NULL")
 
