@@ -46,7 +46,7 @@ def fold(events: DataFrame) -> DataFrame:
     text = F.array_join(F.transform(F.filter(kept, lambda x: x["kind"] != "regenerate"), lambda x: x["text"]), "")
     copies = F.size(F.filter("log", lambda x: x["kind"] == "message"))
     whole = F.forall("log", lambda x: x["kind"] == "message")
-    role = F.coalesce(F.element_at(F.filter(F.transform("log", lambda x: x["role"]), lambda r: r.isNotNull()), 1), F.lit(""))
+    role = F.coalesce(F.get(F.filter(F.transform("log", lambda x: x["role"]), lambda r: r.isNotNull()), F.lit(0)), F.lit(""))
     folded = log.withColumn("__last", last).select("conv_id", "message", F.col("log")[0]["seq"].alias("seq"), role.alias("role"), text.alias("text"), F.when(whole, copies).otherwise(1).alias("__n"))
     return folded.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("__n"), F.lit(1))))).drop("__n")
 
