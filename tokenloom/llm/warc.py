@@ -51,13 +51,19 @@ def member(data: bytes) -> bytes:
 
 
 def members(content: bytes):
-    """(offset, data) of each gzip member."""
-    at = 0
+    """(offset, data) of each gzip member; fed in small pieces, so that a member's end costs no copy of the rest."""
+    view, at = memoryview(content), 0
     while at < len(content):
-        z = zlib.decompressobj(31)
-        data = z.decompress(content[at:]) if at == 0 else z.decompress(memoryview(content)[at:])
-        yield at, data
-        at = len(content) - len(z.unused_data)
+        z, data, end = zlib.decompressobj(31), [], at
+        while not z.eof:
+            if end >= len(content):
+                raise ValueError(f"the member at {at} is cut off")
+            piece = view[end : end + 16384]
+            data.append(z.decompress(piece))
+            end += len(piece)
+        end -= len(z.unused_data)
+        yield at, b"".join(data)
+        at = end
 
 
 class _Archive:
