@@ -9,8 +9,8 @@ regions with probability (1 - 0.8**4)**32, below 1e-7). Regions of more than ``W
    its neighbours in most orders; and for a wide region its most central class, that with the commonest hashes in most orders, with every
    other. These are confirmed on the full sets, and give components.
 2. What is left: classes of one region but of different components. Blocks of the classes outside the
-   region's largest component are compared by signature with blocks of all its classes; those whose estimate
-   is within six deviations of the threshold are confirmed on the full sets too, and the components are closed.
+   region's largest component are compared with blocks of all its classes: by signature first, and what
+   is within six deviations of the threshold on the full sets; then the components are closed.
 
 So no link between different texts of one region is lost, and copies are never expanded into all pairs.
 Components grow by the smallest label over links, with pointer jumping; every round is written to the shared folder.
@@ -34,7 +34,7 @@ from . import shared
 WORDS, SIMILAR = 4, 80
 TREES, DEPTH = 32, 4
 #: Classes of a region beyond which it is cut deeper; classes of a block; neighbours that a class keeps.
-WIDE, BLOCK, NEAREST = 16, 128, 2
+WIDE, BLOCK, NEAREST = 16, 512, 2
 K = TREES * DEPTH
 _rng = np.random.default_rng(8191)
 _BYTE = _rng.integers(0, 2**64, 256, np.uint64)
@@ -120,7 +120,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, words:
 
     def run(batches):
         for b in batches:
-            sets = [shingles(x, words).view(np.int64) for x in b.column("text").to_pylist()]
+            sets = [np.sort(shingles(x, words).view(np.int64)) for x in b.column("text").to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], names=["node", "h"])
 
@@ -189,15 +189,26 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     known = components(links)
 
     # classes of one region in different components
-    placed = met.select("node", "region", "m", "n").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = met.select("node", "t", "region", "m", "n").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = placed.groupBy("region", "label").agg(F.count("*").alias("c")).groupBy("region").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("c", "label")).alias("main")).where("parts > 1")
-    mixed = placed.join(sizes, "region").select("node", "region", "m", "n", "label", (F.col("label") != F.col("main")).alias("outside"))
-    mixed = mixed.join(classes.select("node", "sig"), "node")
-    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK)).alias("chunk")
-    packed = lambda df, p: df.groupBy("region", chunk).agg(F.collect_list(F.struct("node", "n", "label", "sig")).alias(p)).select("region", p)
-    met_blocks = packed(mixed.where("outside"), "p").join(packed(mixed, "q"), "region")
-    second = met_blocks.mapInArrow(_compare(similar), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    more = confirm(shared.written(second, "pairs"), sets, similar)
+    mixed = placed.join(sizes, "region").select("node", "t", "region", "m", "n", "label", (F.col("label") != F.col("main")).alias("outside"))
+    mixed = shared.written(mixed, "mixed")
+
+    def meet(rows: DataFrame, *columns: str) -> DataFrame:
+        """Each block of outside classes beside each block of its region, a row of its own."""
+        chunks = F.ceil(F.col("m") / BLOCK)
+        chunk, every = F.pmod(F.xxhash64("node"), chunks).alias("chunk"), F.max(chunks).alias("chunks")
+        row = F.struct("node", "n", "label", *columns)
+        packed = lambda df, p: df.groupBy("region", "t", chunk).agg(F.collect_list(row).alias(p), every).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        outer = packed(rows.where("outside"), "p").select("region", "t", F.col("chunk").alias("cp"), F.col("other").alias("cq"), "p")
+        inner = packed(rows, "q").select("region", F.col("other").alias("cp"), F.col("chunk").alias("cq"), "q")
+        return outer.join(inner, ["region", "cp", "cq"]).select("region", "t", "p", "q")
+
+    signed = mixed.join(classes.select("node", "sig"), "node")
+    # signatures first: full sets are only sent for classes that have a partner to be confirmed in that region
+    asked = shared.written(meet(signed, "sig").mapInArrow(_compare(similar, False), "region long, node long").distinct(), "asked")
+    more = meet(signed.join(asked, ["region", "node"]).join(sets, "node"), "sig", "h").mapInArrow(_compare(similar, True), "a long, b long")
+    more = shared.written(more.distinct(), "links")
     label = components(links.unionAll(more))
 
     ids = classes.select("same", "node").join(label, "node", "left").select("same", F.coalesce("label", "node").alias("component_id"))
@@ -206,30 +217,55 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     return out.unionAll(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _compare(similar: int):
-    """Pairs of two blocks, in different components, whose signatures agree nearly often enough."""
+def _compare(similar: int, full: bool):
+    """The links of two blocks between different components; without full sets, the classes that may have some.
+
+    Pairs whose signatures agree too seldom are passed over; the others are confirmed on their full sets. A pair that shares
+    several regions is looked at in one of them, which its ids choose.
+    """
     s = similar / 100
     least = max(1, int(K * s - 6 * np.sqrt(K * s * (1 - s))))
 
-    def side(b: pa.RecordBatch, name: str, i: int):
-        x = b.column(name)[i].values
+    def side(x):
         get = lambda f: x.field(f).to_numpy(zero_copy_only=False)
         sig = np.frombuffer(b"".join(x.field("sig").to_pylist()), ">u4").reshape(len(x), K)
-        return get("node"), get("n"), get("label"), sig
+        if not full:
+            return get("node"), get("n"), get("label"), sig, None, None
+        h = x.field("h")
+        return get("node"), get("n"), get("label"), sig, h.flatten().to_numpy(), np.concatenate([[0], np.cumsum(h.value_lengths().to_numpy())])
 
     def run(batches):
         for b in batches:
-            a_out, b_out = [], []
+            a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i in range(b.num_rows):
-                pn, pk, pl, ps = side(b, "p", i)
-                qn, qk, ql, qs = side(b, "q", i)
+                tree = b.column("t")[i].as_py()
+                pn, pk, pl, ps, pf, pe = side(b.column("p")[i].values)
+                qn, qk, ql, qs, qf, qe = side(b.column("q")[i].values)
                 for r in range(len(pn)):
-                    can = (ql != pl[r]) & (100 * np.minimum(qk, pk[r]) >= similar * np.maximum(qk, pk[r]))
-                    at = np.flatnonzero(can)
-                    at = at[(qs[at] == ps[r]).sum(axis=1) >= least]
+                    at = np.flatnonzero((ql != pl[r]) & (100 * np.minimum(qk, pk[r]) >= similar * np.maximum(qk, pk[r])))
+                    same = qs[at] == ps[r]
+                    enough = same.sum(axis=1) >= least
+                    at, met = at[enough], same[enough].reshape(-1, TREES, DEPTH).all(axis=2)
+                    turn = np.remainder(qn[at] + pn[r], met.sum(axis=1)) + 1
+                    at = at[met[:, tree] & (np.cumsum(met, axis=1)[:, tree] == turn)]
+                    if not len(at):
+                        continue
+                    if not full:
+                        nodes = np.append(qn[at], pn[r])
+                        a_out.append(np.full(len(nodes), b.column("region")[i].as_py()))
+                        b_out.append(nodes)
+                        continue
+                    own = pf[pe[r] : pe[r + 1]]
+                    flat = np.concatenate([qf[qe[j] : qe[j + 1]] for j in at])
+                    starts = np.concatenate([[0], np.cumsum(qe[at + 1] - qe[at])[:-1]])
+                    place = np.searchsorted(own, flat)
+                    common = np.add.reduceat((own[np.minimum(place, len(own) - 1)] == flat).astype(np.int64), starts)
+                    at = at[100 * common >= similar * (qk[at] + pk[r] - common)]
                     a_out.append(np.minimum(qn[at], pn[r]))
                     b_out.append(np.maximum(qn[at], pn[r]))
-            cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_out, b_out)]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["a", "b"])
+            if not full:
+                once = np.unique(np.stack([np.concatenate(a_out), np.concatenate(b_out)]), axis=1)
+                a_out, b_out = [once[0]], [once[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (a_out, b_out)], names=["a", "b"] if full else ["region", "node"])
 
     return run
