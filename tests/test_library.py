@@ -89,7 +89,7 @@ def test_text_sources(spark, tmp_path):
     f = lambda x: tuple(one(spark, f=S.flag_and_max(F.lit(x), "ATTN: needs revision", p))["f"])
     assert f("a penalty score= 3.5\nb penalty score=12\n") == (True, 12.0)
     assert f("ATTN: needs revision") == (False, None) and f("nothing") == (True, 0.0)
-    rows = spark.createDataFrame([("f", i, x) for i, x in enumerate(["## Molecule", "CC", "## SMILES", "| a | b | C | N | |", "", "| r | r | 1 | 2 | |", "| s | s | 3 | 4 | |"])], "path string, line_no int, line string")
+    rows = spark.createDataFrame([("f", i, x) for i, x in enumerate(["## Molecule", "CC", "## SMILES", "| a | C | N |", "", "| r | 1 | 2 |", "| s | 3 | 4 |"])], "path string, line_no int, line string")
     t = S.attention_tables(rows).first()
     assert (t["molecule"], t["kind"], t["tokens"], t["relative"]) == ("CC", "SMILES", ["C", "N"], ["1", "2"])
     assert S.after_marker(rows, "## Molecule").first()["value"] == "CC"
