@@ -63,8 +63,8 @@ def test_token_counts_match_the_library_at_every_prefix(spark, docs):
         counts = c.all_prefixes(t[:200])
         assert [int(x) for x in counts] == [len(c.sp.encode(t[:200][:i])) for i in range(len(t[:200]) + 1)]
         assert c.count(t) == len(c.sp.encode(t))
-        k = c.longest(t, 5)
-        assert len(c.sp.encode(t[:k])) <= 5
+        assert all(c.longest(t[:200], b) == max(i for i, n in enumerate(counts) if n <= b) for b in (0, 1, 5, 20, 500))
+        assert len(c.sp.encode(t[: c.longest(t, 5)])) <= 5
     got = token_counts.count_tokens(docs, limit=1000).collect()
     assert all(r.n_tokens == len(c.sp.encode(r.text or "")) and r.over_limit == (r.n_tokens > 1000) and r.n_bytes == len((r.text or "").encode()) for r in got) and len(got) == docs.count()
     assert token_counts.count_tokens(docs.limit(0)).count() == 0

@@ -253,9 +253,31 @@ class PrefixCounter:
             base += own[-1]
         return np.array([0, *out[1:]], np.int64)  # the mark in front belongs to no character
 
+    def _word_total(self, marks: int, word: str) -> int:
+        """Tokens of some marks and a word."""
+        if marks > 1 or not word:
+            return self._with_run(marks, word)[-1]
+        if "\n" in self.rank:
+            return self.marked[word]
+        head, *lines = word.split("\n")
+        return self.marked[head] + len(lines) + sum(self.bare[x] for x in lines if x)
+
     def longest(self, text: str | None, budget: int) -> int:
-        """The most characters that text can be cut to so that the cut text has at most budget tokens."""
-        return int(np.flatnonzero(self.all_prefixes(text) <= budget)[-1]) if text and budget >= 0 else 0
+        """The most characters that text can be cut to so that the cut text has at most budget tokens.
+
+        Word totals only grow, so every longer cut is over the budget once the words before it are; prefixes are looked at in one word.
+        """
+        if not text or budget < 0:
+            return 0
+        base, last = 0, (0, 1, 0, "")
+        for marks, start, word in self._words(text.replace(MARK, " ")):
+            if base > budget:
+                break
+            last = (base, marks, start, word)
+            base += self._word_total(marks, word)
+        before, marks, start, word = last
+        fit = np.flatnonzero(np.array(self._with_run(marks, word)) <= budget - before)[-1]
+        return max(0, start + int(fit) - 1)  # the mark in front belongs to no character
 
 
 _counters: dict[str, PrefixCounter] = {}
