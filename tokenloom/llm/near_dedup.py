@@ -9,8 +9,9 @@ regions with probability (1 - 0.8**4)**32, below 1e-7). Regions of more than ``W
    its neighbours in most orders; and for a wide region its most central class, that with the commonest hashes in most orders, with every
    other. These are confirmed on the full sets, and give components.
 2. What is left: classes of one region but of different components. Blocks of the classes outside the
-   region's largest component are compared with blocks of all its classes: by signature first, and what
-   is within six deviations of the threshold on the full sets; then the components are closed.
+   region's largest component are compared with blocks of all its classes: by signature first, then what
+   is within six deviations of the threshold by the low halves of all its shingle hashes, which can only find too much in common,
+   and what passes on the full sets; then the components are closed.
 
 So no link between different texts of one region is lost, and copies are never expanded into all pairs.
 Components grow by the smallest label over links, with pointer jumping; every round is written to the shared folder.
@@ -34,7 +35,7 @@ from . import shared
 WORDS, SIMILAR = 4, 80
 TREES, DEPTH = 32, 4
 #: Classes of a region beyond which it is cut deeper; classes of a block; neighbours that a class keeps.
-WIDE, BLOCK, NEAREST = 16, 512, 2
+WIDE, BLOCK, NEAREST = 16, 1024, 2
 K = TREES * DEPTH
 _rng = np.random.default_rng(8191)
 _BYTE = _rng.integers(0, 2**64, 256, np.uint64)
@@ -115,16 +116,17 @@ def sketch(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """(node, h): the whole sets of the documents that are nodes."""
+    """(node, h, low): the whole sets of the documents that are nodes; low: the sorted low halves of the hashes."""
     source = docs.select(docs[doc_id].cast("long").alias("node"), docs[text].alias("text")).join(nodes, "node", "left_semi")
 
     def run(batches):
         for b in batches:
             sets = [np.sort(shingles(x, words).view(np.int64)) for x in b.column("text").to_pylist()]
+            low = pa.array([np.sort(s.astype(np.uint32)).tobytes() for s in sets], pa.binary())
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], names=["node", "h"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))), low], names=["node", "h", "low"])
 
-    return source.mapInArrow(run, "node long, h array<long>").dropDuplicates(["node", "h"])
+    return source.mapInArrow(run, "node long, h array<long>, low binary").dropDuplicates(["node", "h"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
@@ -205,11 +207,10 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
         return outer.join(inner, ["region", "cp", "cq"]).select("region", "t", "p", "q")
 
     signed = mixed.join(classes.select("node", "sig"), "node")
-    # signatures first: full sets are only sent for classes that have a partner to be confirmed in that region
+    # signatures first: low halves are only sent for classes that have a partner in that region, full sets for pairs that then pass
     asked = shared.written(meet(signed, "sig").mapInArrow(_compare(similar, False), "region long, node long").distinct(), "asked")
-    more = meet(signed.join(asked, ["region", "node"]).join(sets, "node"), "sig", "h").mapInArrow(_compare(similar, True), "a long, b long")
-    more = shared.written(more.distinct(), "links")
-    label = components(links.unionAll(more))
+    likely = meet(signed.join(asked, ["region", "node"]).join(sets.select("node", "low"), "node"), "sig", "low").mapInArrow(_compare(similar, True), "a long, b long")
+    label = components(links.unionAll(confirm(shared.written(likely, "likely"), sets, similar)))
 
     ids = classes.select("same", "node").join(label, "node", "left").select("same", F.coalesce("label", "node").alias("component_id"))
     out = usable.select("doc_id", "n", "same").join(ids, "same").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -217,11 +218,11 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     return out.unionAll(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _compare(similar: int, full: bool):
-    """The links of two blocks between different components; without full sets, the classes that may have some.
+def _compare(similar: int, sets: bool):
+    """The likely links of two blocks between different components; without sets, the classes that may have some.
 
-    Pairs whose signatures agree too seldom are passed over; the others are confirmed on their full sets. A pair that shares
-    several regions is looked at in one of them, which its ids choose.
+    Pairs whose signatures agree too seldom are passed over; the others are compared by the low halves of their full sets. A pair
+    that shares several regions is looked at in that of the first order, so that a class is asked for in few regions.
     """
     s = similar / 100
     least = max(1, int(K * s - 6 * np.sqrt(K * s * (1 - s))))
@@ -229,10 +230,10 @@ def _compare(similar: int, full: bool):
     def side(x):
         get = lambda f: x.field(f).to_numpy(zero_copy_only=False)
         sig = np.frombuffer(b"".join(x.field("sig").to_pylist()), ">u4").reshape(len(x), K)
-        if not full:
+        if not sets:
             return get("node"), get("n"), get("label"), sig, None, None
-        h = x.field("h")
-        return get("node"), get("n"), get("label"), sig, h.flatten().to_numpy(), np.concatenate([[0], np.cumsum(h.value_lengths().to_numpy())])
+        low = x.field("low").to_pylist()
+        return get("node"), get("n"), get("label"), sig, np.frombuffer(b"".join(low), np.uint32), np.concatenate([[0], np.cumsum([len(h) // 4 for h in low])])
 
     def run(batches):
         for b in batches:
@@ -246,11 +247,10 @@ def _compare(similar: int, full: bool):
                     same = qs[at] == ps[r]
                     enough = same.sum(axis=1) >= least
                     at, met = at[enough], same[enough].reshape(-1, TREES, DEPTH).all(axis=2)
-                    turn = np.remainder(qn[at] + pn[r], met.sum(axis=1)) + 1
-                    at = at[met[:, tree] & (np.cumsum(met, axis=1)[:, tree] == turn)]
+                    at = at[met[:, tree] & ~met[:, :tree].any(axis=1)]
                     if not len(at):
                         continue
-                    if not full:
+                    if not sets:
                         nodes = np.append(qn[at], pn[r])
                         a_out.append(np.full(len(nodes), b.column("region")[i].as_py()))
                         b_out.append(nodes)
@@ -263,9 +263,9 @@ def _compare(similar: int, full: bool):
                     at = at[100 * common >= similar * (qk[at] + pk[r] - common)]
                     a_out.append(np.minimum(qn[at], pn[r]))
                     b_out.append(np.maximum(qn[at], pn[r]))
-            if not full:
+            if not sets:
                 once = np.unique(np.stack([np.concatenate(a_out), np.concatenate(b_out)]), axis=1)
                 a_out, b_out = [once[0]], [once[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (a_out, b_out)], names=["a", "b"] if full else ["region", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (a_out, b_out)], names=["a", "b"] if sets else ["region", "node"])
 
     return run
