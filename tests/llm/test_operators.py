@@ -1,5 +1,6 @@
 """The training-data operators against brute force, libraries, round trips, and on edge rows."""
 
+import itertools
 import random
 import zlib
 from collections import defaultdict
@@ -202,6 +203,42 @@ def test_leaks_are_found_through_substitutions(spark):
     assert decontaminate.contamination(d.limit(0), b).count() == 0 and decontaminate.contamination(d, b.limit(0)).count() == 0
 
 
+def leaks_by_hand(docs, items):
+    """(doc, item): (tokens, matched) of every alignment tried in turn, without seeds."""
+    cut = lambda x: "".join(c if c.isalnum() else " " for c in (x or "").lower()).split()
+    out = {}
+    for i, text in items:
+        it = cut(text)
+        window = min(13, len(it))
+        for d, body in docs:
+            t = cut(body)
+            for shift in range(1 - len(it), len(t)) if it else ():
+                same = [it[y] == t[y + shift] for y in range(max(0, -shift), min(len(it), len(t) - shift))]
+                if any(5 * sum(same[k : k + window]) >= 4 * window for k in range(len(same) - window + 1)):
+                    out[d, i] = (len(it), max(out.get((d, i), (0, 0))[1], sum(same)))
+    return out
+
+
+def test_every_allowed_substitution_is_found(spark):
+    items, texts = [], []
+    for n in [*range(1, 14), 15]:
+        word = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(word)))
+        lost = min(n, 13) - decontaminate.needed(n)[1]
+        for changed in [c for k in range(lost + 2) for c in itertools.combinations(range(n), k)]:
+            texts.append(" ".join("other" if k in changed else w for k, w in enumerate(word)))
+    # one lone window of a long item, at its end
+    word = [f"long{k}" for k in range(30)]
+    items.append((30, " ".join(word)))
+    texts += [" ".join("other" if k in c else w for k, w in enumerate(word[17:])) for c in itertools.combinations(range(13), 2)]
+    rows = [(i, ("before " * (i % 3)) + x + (" after" * (i % 2))) for i, x in enumerate(texts)]
+    want = leaks_by_hand(rows, items)
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for few in ([*range(1, 31)], [13, 15, 30], [10], [6]):
+        got = {(r.doc_id, r.item_id): (r.item_tokens, r.matched_tokens) for r in decontaminate.contamination(d, b.where(F.col("item_id").isin(few))).collect()}
+        assert got == {k: v for k, v in want.items() if k[1] in few}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
 

@@ -8,7 +8,8 @@ a hit fixes an alignment, which is then verified token by token: a document is c
 The benchmark's hashes are broadcast in groups of items of at most ``MOST_SEEDS`` hashes, so what is sent has a fixed bound; a larger
 benchmark takes more passes over the documents. Documents' tokens are never exchanged, only the aligned tokens of hits are.
 
-Tokens are the runs of letters and digits of the text in lower case. Items shorter than a mask are looked up whole.
+An item's masks are those of its window's length: at least one of them fits between the substitutions wherever these are,
+so no qualifying alignment goes without a hit. Tokens are the runs of letters and digits of the text in lower case.
 Defined results: null and empty texts have no tokens and neither match nor are matched; rows that share an id
 are reported together; a null id is reported as null.
 """
@@ -20,8 +21,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Masks (fixed values): 1 selects a token, 0 ignores it.
-MASKS = ("1101011011", "1110010111", "1011101101")
+#: Masks by the window's length (fixed values): 1 selects a token, 0 ignores it. Windows of up to 4 tokens allow no substitution.
+TEN, SIX = ("1111011", "11001111", "1110100011", "1101010101", "10110111"), ("11111", "111101", "111011", "110111", "101111")
+MASKS = {n: ("1" * n,) for n in range(1, 5)} | {
+    5: ("1111", "11101", "11011", "10111"), 6: SIX, 7: ("11111", "111011", "110111"),
+    8: ("111111", "1111011", "1101111"), 9: ("1111011", "1101111"), 10: TEN, 11: TEN, 12: TEN,
+    13: ("11110111", "1110100111", "1111111", "11101111"),
+}
 WINDOW, SUBSTITUTED, MOST_SEEDS = 13, 0.2, 500_000
 
 
@@ -35,13 +41,18 @@ def needed(length: int) -> tuple[int, int]:
     return window, math.ceil(round((1 - SUBSTITUTED) * window, 6))
 
 
-def _seeds(rows: DataFrame, masks: list[list[int]], keep: list[str]) -> DataFrame:
-    """rows (t: tokens, ...) -> one row per position and mask that fits: keep, pos, seed."""
-    t, pos, least = F.col("t"), F.col("pos"), min(m[-1] + 1 for m in masks)
+def _seeds(rows: DataFrame, masks: list[str], keep: list[str], own: dict[int, tuple[str, ...]] | None = None) -> DataFrame:
+    """rows (t: tokens, ...) -> one row per position and mask that fits: keep, pos, seed. own: the masks by window, if rows are items."""
+    t, pos, least = F.col("t"), F.col("pos"), min(map(len, masks))
     # outer, with null for short texts: a filter on the size would be pushed below and tokenize a second time
     places = F.when(F.size("t") >= least, F.sequence(F.lit(0), F.size("t") - least))
     at = rows.select(*keep, "t", F.explode_outer(places).alias("pos")).where("pos IS NOT NULL")
-    seeds = [F.when(pos + (m[-1] + 1) <= F.size("t"), F.xxhash64(F.lit(k), *[F.get(t, pos + p) for p in m])) for k, m in enumerate(masks)]
+    seeds = []
+    for k, m in enumerate(masks):
+        fits = pos + len(m) <= F.size("t")
+        if own:
+            fits &= F.least(F.lit(WINDOW), F.size("t")).isin([n for n, ms in own.items() if m in ms])
+        seeds.append(F.when(fits, F.xxhash64(F.lit(k), *[F.get(t, pos + p) for p, c in enumerate(m) if c == "1"])))
     return at.select(*keep, "t", "pos", F.explode(F.array(*seeds)).alias("seed")).where("seed IS NOT NULL")
 
 
@@ -52,18 +63,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str | list[str]
     """
     keys = [doc_id] if isinstance(doc_id, str) else list(doc_id)
     items = benchmark.select(benchmark[item_id].alias("item_id"), tokens(benchmark[item_text]).alias("it")).where(F.size("it") > 0)
-    span = max(map(len, MASKS))
-    short = [r[0] for r in items.where(F.size("it") < span).select(F.size("it")).distinct().collect()]  # below span
-    masks = [[p for p, c in enumerate(m) if c == "1"] for m in MASKS] + [list(range(n)) for n in sorted(short)]
-    # an item shorter than the masks is looked up whole, by the mask of its own length
-    n_seeds = items.select(F.sum(F.size("it").cast("long") * len(masks))).first()[0] or 0
+    sizes = items.groupBy(F.least(F.lit(WINDOW), F.size("it")).alias("n")).agg(F.sum(F.size("it").cast("long")).alias("all")).collect()  # WINDOW rows at most
+    own_masks = {r["n"]: MASKS[r["n"]] for r in sizes}
+    masks = sorted({m for ms in own_masks.values() for m in ms} or set(MASKS[WINDOW]))
+    n_seeds = sum(r["all"] * len(own_masks[r["n"]]) for r in sizes)
     passes = max(1, math.ceil(n_seeds / MOST_SEEDS))
     source = docs.select(*[docs[k].alias(f"d{i}") for i, k in enumerate(keys)], tokens(docs[text]).alias("t"))
     own_keys = [f"d{i}" for i in range(len(keys))]
     found = None
     for k in range(passes):
         mine = items.where(F.pmod(F.xxhash64("item_id", "it"), F.lit(passes)) == k) if passes > 1 else items
-        own = _seeds(mine.withColumn("t", F.col("it")), masks, ["item_id", "it"]).select("item_id", "it", F.col("pos").alias("item_pos"), "seed")
+        own = _seeds(mine.withColumn("t", F.col("it")), masks, ["item_id", "it"], own_masks).select("item_id", "it", F.col("pos").alias("item_pos"), "seed")
         hits = _seeds(source, masks, own_keys).join(F.broadcast(own), "seed")
         shift = (F.col("pos") - F.col("item_pos")).alias("shift")
         hits = hits.select(*own_keys, "item_id", "it", shift, F.slice("t", F.greatest(F.col("pos") - F.col("item_pos"), F.lit(0)) + 1, F.size("it")).alias("aligned"))
