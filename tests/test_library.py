@@ -1,6 +1,7 @@
 """The library's own operators: hand-made rows, and each query beside its SQL."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,18 @@ def test_counts_on_a_stream(spark, tmp_path):
     q = status_counts(spark.readStream.schema("s string").parquet(str(tmp_path / "in")), "s").writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     assert q.awaitTermination(60)
     assert {tuple(r) for r in spark.table("counts").collect()} == {("a", 2), ("b", 1)}
+
+
+def vectors(spark):
+    rows = sorted((r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect())
+    return [i for i, _ in rows], np.array([v for _, v in rows], dtype=float)
+
+
+def test_cosine_matrix_and_rbf_kernel_hold_every_pair(spark):
+    ids, x = vectors(spark)
+    norm = np.sqrt((x * x).sum(1))
+    want = {"cosine_matrix": ("cos", x @ x.T / np.outer(norm, norm)), "rbf_kernel": ("k", np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / x.shape[1]))}
+    for name, (column, matrix) in want.items():
+        got = {(r.a_id, r.b_id): r[column] for r in catalog.queries()[name](spark, SF).collect()}
+        assert set(got) == {(a, b) for a in ids for b in ids}
+        assert np.abs(np.array([[got[a, b] for b in ids] for a in ids]) - matrix).max() < 1e-6

@@ -252,14 +252,12 @@ def knn_exact(e):
 
 @query("embeddings", sql=f"WITH v AS ({_V}) SELECT a.vec_id AS a_id, b.vec_id AS b_id, round({_DOT.format('a.e', 'b.e')} / (sqrt({_DOT.format('a.e', 'a.e')}) * sqrt({_DOT.format('b.e', 'b.e')})), 6) AS cos FROM v a, v b WHERE a.vec_id < 40 AND b.vec_id < 40")
 def cosine_matrix(e):
-    s = e.where("vec_id < 40")
-    return V.pairs(s.select(F.col("vec_id").alias("a_id"), V.doubles("embedding").alias("x")), s.select(F.col("vec_id").alias("b_id"), V.doubles("embedding").alias("y"))).select("a_id", "b_id", r6(V.cosine(F.col("x"), F.col("y"))).alias("cos"))
+    return V.pairs(e.select(F.col("vec_id").alias("a_id"), V.doubles("embedding").alias("x")), e.select(F.col("vec_id").alias("b_id"), V.doubles("embedding").alias("y"))).select("a_id", "b_id", r6(V.cosine(F.col("x"), F.col("y"))).alias("cos"))
 
 
 @query("embeddings", sql=f"WITH v AS ({_V}) SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(exp(-{_SQ.format('a.e', 'b.e')} / len(a.e)), 6) AS k FROM v a, v b WHERE a.vec_id < 30 AND b.vec_id < 60")
 def rbf_kernel(e):
-    a, b = e.where("vec_id < 30"), e.where("vec_id < 60")
-    p = V.pairs(a.select(F.col("vec_id").alias("a_id"), V.doubles("embedding").alias("x")), b.select(F.col("vec_id").alias("b_id"), V.doubles("embedding").alias("y")))
+    p = V.pairs(e.select(F.col("vec_id").alias("a_id"), V.doubles("embedding").alias("x")), e.select(F.col("vec_id").alias("b_id"), V.doubles("embedding").alias("y")))
     return p.select("a_id", "b_id", r6(F.exp(-V.squared(F.col("x"), F.col("y")) / F.size("x"))).alias("k"))
 
 
