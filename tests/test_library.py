@@ -122,3 +122,9 @@ def test_cosine_matrix_and_rbf_kernel_hold_every_pair(spark):
         got = {(r.a_id, r.b_id): r[column] for r in catalog.queries()[name](spark, SF).collect()}
         assert set(got) == {(a, b) for a in ids for b in ids}
         assert np.abs(np.array([[got[a, b] for b in ids] for a in ids]) - matrix).max() < 1e-6
+
+
+def test_positional_join_holds_every_word(spark):
+    docs = [(r.doc_id, r.text.split(" ")) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = sorted((r.doc_id, r.pos, r.word, r.n) for r in catalog.queries()["positional_join"](spark, SF).collect())
+    assert got == sorted((d, k, w, len(w)) for d, words in docs for k, w in enumerate(words))

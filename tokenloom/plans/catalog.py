@@ -196,8 +196,8 @@ b AS (SELECT doc_id, unnest(range(len(w)))::INTEGER AS pos, unnest(list_transfor
 SELECT doc_id, pos, word, n FROM a JOIN b USING (doc_id, pos) WHERE pos < 5""")
 def positional_join(d):
     w = F.split("text", " ")
-    a = d.select("doc_id", F.posexplode(w).alias("pos", "word")).where("pos < 5")
-    b = d.select("doc_id", F.posexplode(F.transform(w, F.length)).alias("pos", "n")).where("pos < 5")
+    a = d.select("doc_id", F.posexplode(w).alias("pos", "word"))
+    b = d.select("doc_id", F.posexplode(F.transform(w, F.length)).alias("pos", "n"))
     return a.join(b, ["doc_id", "pos"])
 
 
