@@ -128,3 +128,9 @@ def test_positional_join_holds_every_word(spark):
     docs = [(r.doc_id, r.text.split(" ")) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = sorted((r.doc_id, r.pos, r.word, r.n) for r in catalog.queries()["positional_join"](spark, SF).collect())
     assert got == sorted((d, k, w, len(w)) for d, words in docs for k, w in enumerate(words))
+
+
+def test_distinct_tokens_hold_the_words_of_long_documents(spark):
+    docs = [(r.lang, r.text.split(" ")) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = [(r.lang, r.word) for r in catalog.queries()["distinct_tokens"](spark, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(lang, w) for lang, words in docs for w in words}
