@@ -134,3 +134,9 @@ def test_distinct_tokens_hold_the_words_of_long_documents(spark):
     docs = [(r.lang, r.text.split(" ")) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = [(r.lang, r.word) for r in catalog.queries()["distinct_tokens"](spark, SF).collect()]
     assert len(got) == len(set(got)) and set(got) == {(lang, w) for lang, words in docs for w in words}
+
+
+def test_multi_key_sort_keeps_every_order(spark):
+    rows = sorted((r.o_totalprice, r.o_orderkey, r.o_orderpriority) for r in spark.read.parquet(f"{SF}/orders.parquet").collect())
+    rows.sort(key=lambda r: r[2], reverse=True)
+    assert [(r.o_orderkey, r.o_orderpriority) for r in catalog.queries()["multi_key_sort"](spark, SF).collect()] == [(k, p) for _, k, p in rows]

@@ -468,7 +468,7 @@ def group_kfold(e):
 
 @query("orders", sql="SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey LIMIT 200")
 def multi_key_sort(o):
-    return o.orderBy(F.desc("o_orderpriority"), "o_totalprice", "o_orderkey").limit(200).select("o_orderkey", "o_orderpriority")
+    return o.orderBy(F.desc("o_orderpriority"), "o_totalprice", "o_orderkey").select("o_orderkey", "o_orderpriority")
 
 
 @query("supplier", sql=r"SELECT s_name, regexp_replace(s_name, '\D', '', 'g')::BIGINT AS num FROM supplier")
