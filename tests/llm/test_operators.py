@@ -173,6 +173,18 @@ def test_toxic_sentences_are_found(spark):
     assert {r.score for r in toxicity.score(d, none).collect()} == {0.0}
 
 
+def test_a_text_too_long_for_the_sample_is_passed_over(spark):
+    ids = [r.id for r in spark.range(60).where(~toxicity.held_out(F.col("id"))).orderBy(F.xxhash64("id")).collect()]
+    first = {i % 2: i for i in reversed(ids)}  # of each class in the sample's order
+    texts = {i: f"text {i}" for i in ids} | dict.fromkeys(first.values(), "long " * 300)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    got = toxicity.training_rows(docs, labels, max_bytes=2000)
+    assert sorted(t for t, _, _ in got) == sorted(f"text {i}" for i in ids if i not in first.values())
+    few = toxicity.training_rows(docs, labels, per_class=3, max_bytes=2000)
+    assert sorted(y for _, y, _ in few) == [0, 0, 0, 1, 1, 1]
+
+
 def test_topk_matches_brute_force(spark):
     rng = random.Random(4)
     vec = lambda: [rng.uniform(-1, 1) for _ in range(6)]

@@ -153,10 +153,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     chosen: dict[int, int] = {}
     for y in sorted(counts):
         size = 0
-        for r in known.where(F.col("y") == y).orderBy("order", "doc_id").limit(per_class).collect():
+        # texts that never fit are passed over before the limit, so they don't take the places of others
+        for r in known.where((F.col("y") == y) & (F.coalesce("n", F.lit(0)) <= max_bytes // 2)).orderBy("order", "doc_id").limit(per_class).collect():
+            if size + (r["n"] or 0) > max_bytes // 2:
+                continue
             size += r["n"] or 0
-            if size > max_bytes // 2:
-                break
             chosen[r["doc_id"]] = y
     n = {y: sum(1 for v in chosen.values() if v == y) for y in counts}
     ids = docs.sparkSession.createDataFrame([(k,) for k in chosen], "doc_id long")  # at most 2 * per_class ids
