@@ -140,3 +140,13 @@ def test_multi_key_sort_keeps_every_order(spark):
     rows = sorted((r.o_totalprice, r.o_orderkey, r.o_orderpriority) for r in spark.read.parquet(f"{SF}/orders.parquet").collect())
     rows.sort(key=lambda r: r[2], reverse=True)
     assert [(r.o_orderkey, r.o_orderpriority) for r in catalog.queries()["multi_key_sort"](spark, SF).collect()] == [(k, p) for _, k, p in rows]
+
+
+def test_zip_and_widen_take_whole_vectors(spark):
+    ids, x = vectors(spark)
+    half = x.shape[1] // 2
+    got = {(r.vec_id, r.pos): r.s for r in catalog.queries()["arrays_zip_explode"](spark, SF).collect()}
+    assert set(got) == {(i, k) for i in ids for k in range(half)}
+    assert max(abs(got[i, k] - v[k] - v[half + k]) for i, v in zip(ids, x, strict=True) for k in range(half)) < 1e-6
+    wide = {r.vec_id: [r[f"e{k}"] for k in range(x.shape[1])] for r in catalog.queries()["widen_vector"](spark, SF).collect()}
+    assert wide == {i: list(v) for i, v in zip(ids, x, strict=True)}

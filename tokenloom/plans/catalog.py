@@ -221,7 +221,8 @@ def outer_align(li):
 
 @query("embeddings", sql="SELECT vec_id, unnest(range(3))::INTEGER AS pos, round(unnest(list_transform(range(1, 4), lambda i: embedding[i]::DOUBLE + embedding[i + 3]::DOUBLE)), 6) AS s FROM embeddings")
 def arrays_zip_explode(e):
-    z = F.arrays_zip(F.slice("embedding", 1, 3).alias("a"), F.slice("embedding", 4, 3).alias("b"))
+    half = F.ceil(F.size("embedding") / 2).cast("int")
+    z = F.arrays_zip(F.slice("embedding", F.lit(1), half).alias("a"), F.slice("embedding", half + 1, half).alias("b"))
     return e.select("vec_id", F.posexplode(z).alias("pos", "z")).select("vec_id", "pos", F.round(F.col("z.a").cast("double") + F.col("z.b").cast("double"), 6).alias("s"))
 
 
@@ -578,7 +579,8 @@ def parse_vector_json(e):
 
 @query("embeddings", sql="SELECT vec_id, " + ", ".join(f"embedding[{i + 1}] AS e{i}" for i in range(8)) + " FROM embeddings")
 def widen_vector(e):
-    return e.select("vec_id", *[F.get("embedding", F.lit(i)).alias(f"e{i}") for i in range(8)])
+    width = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return e.select("vec_id", *[F.get("embedding", F.lit(i)).alias(f"e{i}") for i in range(width)])
 
 
 @query("nation", sql="SELECT n_regionkey, n_nationkey AS v, n_name AS k FROM nation")
