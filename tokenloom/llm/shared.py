@@ -8,18 +8,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows per Arrow batch for whole texts: 256 texts of 100 kB are 25 MB.
+#: Rows taken from an Arrow batch at a time: 256 texts of 100 kB are 25 MB.
 TEXT_BATCH = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given.
 
-    Where it is unset and Spark runs in this one process (tests), a folder of this machine serves;
-    on a cluster an unset folder is an error.
+    Where both are unset and Spark runs in this one process (tests), a folder of this machine serves;
+    on a cluster that is an error.
     """
     conf = spark.sparkContext.getConf()
-    if base := conf.get("spark.checkpoint.dir") or getattr(spark, "_tokenloom_dir", None):
+    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if base := base or getattr(spark, "_tokenloom_dir", None):
         return base.rstrip("/")
     if not conf.get("spark.master", "").startswith("local[") and conf.get("spark.master") != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
@@ -27,23 +28,58 @@ def shared_dir(spark: SparkSession) -> str:
     return spark._tokenloom_dir
 
 
+def _own(spark: SparkSession) -> str:
+    """This application's folder below the shared one."""
+    return f"{shared_dir(spark)}/tokenloom/{spark.sparkContext.applicationId}"
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/tokenloom/{name}-{uuid.uuid4().hex}"
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut and lost executors cost nothing."""
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tokenloom_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder with Spark's own file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing reads any more, neither now nor in a frame still to be computed."""
+    for t in tables:
+        delete(t.sparkSession, t._tokenloom_path)
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of whole texts small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > TEXT_BATCH or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(TEXT_BATCH))
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables and archives of this application; for when its results have been saved."""
+    delete(spark, _own(spark))
+
+
+def free(columns, *names: str) -> list[str]:
+    """The names, each lengthened until no column (in any case of letters) has it."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def small(batches):
+    """Arrow batches in pieces of few rows: what Python objects are made of at a time. Spark bounds the batches themselves in bytes."""
+    for b in batches:
+        for k in range(0, b.num_rows, TEXT_BATCH):
+            yield b.slice(k, TEXT_BATCH)
 
 
 def tokenizer_path(name: str) -> str:
@@ -56,18 +92,24 @@ def tokenizer_path(name: str) -> str:
 
 
 class TwoGenerations(dict):
-    """A bounded cache: when it is full it becomes the old generation, whose hits move back in."""
+    """A cache bounded in bytes: when a generation is full it becomes the old one, whose hits move back in.
+
+    Keys longer than ``longest`` are computed each time. Values are taken to cost ``each`` bytes beside their own and the key's length.
+    """
 
-    def __init__(self, make, limit: int):
+    def __init__(self, make, most: int, longest: int = 64, each: int = 200):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.most, self.longest, self.each, self.held, self.old = make, most, longest, each, 0, {}
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
+        if self.held >= self.most:
+            self.old, self.held = dict(self), 0
             self.clear()
+        self.held += len(key) + self.each + (sum(len(x) for x in value if isinstance(x, bytes)) if isinstance(value, tuple) else 0)
         self[key] = value
         return value
