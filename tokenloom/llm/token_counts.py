@@ -2,15 +2,18 @@
 
 A BPE result is the one token sequence in which each neighbouring pair is itself a BPE result. So the
 last token of a prefix is the one vocabulary entry that ends there and fits the last token of the prefix
-before it, and one pass gives the exact count of *every* prefix. Truncation and budget questions are then
-look-ups. The text is cut first where no vocabulary entry spans the seam (before a word mark, around
-characters outside the vocabulary); word totals are kept in a bounded cache.
+before it, and one pass gives the exact count of *every* prefix. The text is cut first where no vocabulary entry spans the seam
+(before a word mark, between characters that no entry holds side by side), so counts add up over the parts; those of words are kept in
+a cache bounded in bytes. Every document keeps its count at each word's end (``word_ends``, ``word_tokens``): a budget question is
+a search in them and, inside one word, a look at that word's own prefix counts. Nothing is encoded again.
 
 The rules are those of the sentencepiece BPE model with byte fallback: a word mark in front of the text,
 each space a word mark, characters outside the vocabulary as their UTF-8 bytes, no begin or end token.
 Runs of word marks have equal scores and are counted by simulating the merges from the left, once per length.
 
-Defined results: null text counts as empty (0 tokens); control strings in a text are ordinary text.
+Defined results: null text counts as empty (0 tokens, no words); control strings in a text are ordinary text; a text without any space is
+one word, of any length (time and memory grow in proportion to it); an empty table gives an empty result; repeated rows are counted
+each; other columns pass through, except that columns named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ from . import shared
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-CACHE = 1_500_000
+#: Bytes of a generation of cached words with a mark in front; of pairs of tokens.
+CACHE, PAIRS = 128 << 20, 300_000
 
 
 class PrefixCounter:
@@ -46,10 +50,10 @@ class PrefixCounter:
         self.inside = {p[k : k + 2] for p in self.rank for k in range(len(p) - 1)}
         self.fits: dict[tuple[str, str], bool] = {}
         self.runs: dict[int, int] = {0: 0}
-        self.table: tuple[str, list[int], list[str], list[int]] = ("", [0], [""], [0])
+        self.table: tuple[str, list[int], list[str], list[int], list[int]] = ("", [0], [""], [0], [0])
         # totals of words with and without the mark in front
-        self.marked = shared.TwoGenerations(self._total_marked, CACHE)
-        self.bare = shared.TwoGenerations(self._total_bare, CACHE // 4)
+        self.marked = shared.TwoGenerations(self._total_marked, CACHE, each=130)
+        self.bare = shared.TwoGenerations(self._total_bare, CACHE // 4, each=130)
 
     def merge(self, text: str) -> list[str]:
         """The merges themselves, best score first, then leftmost; for short texts."""
@@ -65,20 +69,24 @@ class PrefixCounter:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _parts(self, word: str) -> list[str]:
+        """The word, cut where no entry spans the seam."""
+        inside = self.inside
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in inside]
+        return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)], strict=True)] if cuts else [word]
+
     def _total_marked(self, word: str) -> int:
-        """Tokens of mark + word; the last character is counted apart where no entry spans the seam."""
-        if len(word) > 1 and word[-2:] not in self.inside:
-            return self.marked[word[:-1]] + self.bare[word[-1]]
-        return self.prefixes(MARK + word)[-1]
+        """Tokens of mark + word."""
+        first, *rest = self._parts(word)
+        return self.prefixes(MARK + first)[-1] + sum(map(self.bare.__getitem__, rest))
 
     def _total_bare(self, word: str) -> int:
-        if len(word) > 1 and word[-2:] not in self.inside:
-            return self.bare[word[:-1]] + self.bare[word[-1]]
-        return self.prefixes(word)[-1]
+        parts = self._parts(word)
+        return self.prefixes(word)[-1] if len(parts) == 1 else sum(map(self.bare.__getitem__, parts))
 
     def _fit(self, a: str, b: str) -> bool:
         """Whether a, b is the BPE result of a + b: the merges of a + b never cross the seam."""
-        if len(self.fits) > 1_000_000:
+        if len(self.fits) > PAIRS:
             self.fits.clear()
         parts, rank, seam = list(a + b), self.rank, len(a)  # seam: parts before it
         scores = [rank.get(parts[i] + parts[i + 1]) for i in range(len(parts) - 1)]
@@ -126,17 +134,18 @@ class PrefixCounter:
         return self.runs[n]
 
     def prefixes(self, chunk: str) -> list[int]:
-        """counts[i]: tokens of the first i characters, for a chunk with at most one mark, in front.
+        """counts[i]: tokens of the first i characters, for a chunk with at most one mark, in front; ``heads[i]`` then is the length of the first.
 
         The table of the chunk before is kept: what both begin with isn't computed again, so that sorted
         words cost their differing ends only.
         """
         rank, endings, fits = self.rank, self.endings, self.fits
-        old, counts, last, starts = self.table
+        old, counts, last, starts, heads = self.table
         same, most = 0, min(len(old), len(chunk))
         while same < most and old[same] == chunk[same]:
             same += 1
-        del counts[same + 1 :], last[same + 1 :], starts[same + 1 :]
+        for kept in (counts, last, starts, heads):
+            del kept[same + 1 :]
         start = starts[same]  # the prefix that no token reaches across
         for i in range(same + 1, len(chunk) + 1):
             c = chunk[i - 1]
@@ -144,6 +153,7 @@ class PrefixCounter:
                 counts.append(counts[-1] + len(c.encode("utf-8", "surrogatepass")))
                 last.append("")
                 starts.append(start := i)
+                heads.append(heads[i - 1] or 1)
                 continue
             found = []
             for j in range(i - 1, start - 1, -1):
@@ -163,10 +173,12 @@ class PrefixCounter:
                     counts.append(counts[j] + 1)
                     last.append(t)
                     starts.append(start)
+                    heads.append(heads[j] or i)
                     break
             else:
                 raise AssertionError(f"no token ends {chunk[:i]!r}")
-        self.table = (chunk, counts, last, starts)
+        self.table = (chunk, counts, last, starts, heads) if len(chunk) <= 4096 else ("", counts[:1], last[:1], starts[:1], heads[:1])
+        self.heads = heads
         return counts
 
     def learn(self, texts: list[str | None]) -> None:
@@ -183,7 +195,7 @@ class PrefixCounter:
                     marked.update(rest)
         for words, known in ((marked, self.marked), (bare, self.bare)):
             for w in sorted(w for w in words if w not in known):
-                if w:
+                if w and len(w) <= known.longest:
                     known[w]
 
     def _whole(self, t: str) -> bool:
@@ -203,44 +215,42 @@ class PrefixCounter:
         """Prefix counts of some marks and a word."""
         if marks <= 1:
             return self.prefixes(MARK * marks + word)
-        out = [self.run_of_marks(k) for k in range(marks)] + [self.run_of_marks(marks)]
-        alone, run, run_but_one = list(self.prefixes(MARK + word)), self.run_of_marks(marks), self.run_of_marks(marks - 1)
-        for k in range(1, len(word) + 1):
-            takes = self._takes_mark(word[:k])
-            out.append(run_but_one + alone[k + 1] if takes else run + alone[k + 1] - 1)
-        return out
-
-    def _takes_mark(self, word: str) -> bool:
-        """Whether the first token of mark + word is more than the mark."""
-        head = word[:1]
-        if MARK + head not in self.rank and not any(MARK + word[:k] in self.rank for k in range(1, 17)):
-            return False
-        cut = next((i for i, c in enumerate(word) if c not in self.rank), len(word))
-        return self.merge(MARK + word[: min(cut, 64)])[0] != MARK
+        # the run's last mark is the first token of mark + word, alone or with the word's beginning
+        out = [self.run_of_marks(k) for k in range(marks + 1)]
+        alone, run, run_but_one = self.prefixes(MARK + word), self.run_of_marks(marks), self.run_of_marks(marks - 1)
+        return out + [run_but_one + n if head > 1 else run + n - 1 for n, head in zip(alone[2:], self.heads[2:], strict=True)]
 
-    def count(self, text: str | None) -> int:
+    def word_counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(ends, counts): the end of each word (characters of the text), and the tokens of the text up to there.
+
+        Without runs of spaces a word begins at a space or line end, or with the text; with them, words are cut as ``_words`` does.
+        """
         if not text:
-            return 0
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         if MARK in text:
             text = text.replace(MARK, " ")
+        marked, bare = self.marked, self.bare
         if "  " in text or text[0] == " " or text[-1] == " ":
-            return sum(self._with_run(m, w)[-1] if m > 1 or not w else self.marked[w] if m else self.bare[w] for m, _, w in self._words(text))
+            words = self._words(text)
+            totals = [self._word_total(m, w) for m, _, w in words]
+            return np.array([start + m + len(w) - 1 for m, start, w in words], np.int64), np.cumsum(np.array(totals, np.int64))
         if "\n" in self.rank:
-            return sum(map(self.marked.__getitem__, text.split(" ")))
-        first, *lines = text.split("\n")  # a character outside the vocabulary: one byte, and no token spans it
-        total = len(lines)
-        words = first.split(" ")
-        if first or not lines:
-            total += sum(map(self.marked.__getitem__, words))
-        else:
-            total += self.prefixes(MARK)[-1]
-        for line in lines:
-            head, *rest = line.split(" ")
-            if head:
-                total += self.bare[head]
-            for w in rest:
-                total += self.marked[w]
-        return total
+            words = text.split(" ")
+            totals = [marked[w] for w in words]
+        else:  # a line end is outside the vocabulary: one byte, and no token spans it
+            words, totals = [], []
+            for line in text.split("\n"):
+                own = line.split(" ")
+                head = own[0]
+                totals.append((1 + bare[head] if head else 1) if words else marked[head])
+                totals += [marked[w] for w in own[1:]]
+                words += own
+        ends, counts = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1, np.cumsum(np.array(totals, np.int64))
+        return (ends, counts) if words[0] else (ends[1:], counts[1:])  # a line end in front: its mark counts with the next word
+
+    def count(self, text: str | None) -> int:
+        counts = self.word_counts(text)[1]
+        return int(counts[-1]) if len(counts) else 0
 
     def all_prefixes(self, text: str | None) -> np.ndarray:
         """counts[i]: the tokens of text[:i], for every i from 0 to len(text)."""
@@ -262,22 +272,29 @@ class PrefixCounter:
         head, *lines = word.split("\n")
         return self.marked[head] + len(lines) + sum(self.bare[x] for x in lines if x)
 
-    def longest(self, text: str | None, budget: int) -> int:
-        """The most characters that text can be cut to so that the cut text has at most budget tokens.
+    def longest(self, text: str | None, budget: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> int:
+        """The most characters that text can be cut to so that the cut text has at most budget tokens; known: its ``word_counts``.
 
-        Word totals only grow, so every longer cut is over the budget once the words before it are; prefixes are looked at in one word.
+        Counts at word ends only grow, so the cut lies in the first word whose end is over the budget; that word's own prefixes decide.
         """
         if not text or budget < 0:
             return 0
-        base, last = 0, (0, 1, 0, "")
-        for marks, start, word in self._words(text.replace(MARK, " ")):
-            if base > budget:
-                break
-            last = (base, marks, start, word)
-            base += self._word_total(marks, word)
-        before, marks, start, word = last
-        fit = np.flatnonzero(np.array(self._with_run(marks, word)) <= budget - before)[-1]
-        return max(0, start + int(fit) - 1)  # the mark in front belongs to no character
+        ends, counts = self.word_counts(text) if known is None else known
+        at = int(np.searchsorted(counts, budget, side="right"))
+        if at == len(counts):
+            return len(text)
+        start, before = (int(ends[at - 1]), int(counts[at - 1])) if at else (0, 0)
+        word = text[start : int(ends[at])].replace(MARK, " ")
+        if not at:  # the mark in front belongs to no character
+            marks = len(word) - len(word.lstrip(" ")) + 1
+            own = self._with_run(marks, word[marks - 1 :])[1:]
+            own[0] = 0
+        elif word[0] == "\n":
+            own = [0, *(1 + n for n in self.prefixes(word[1:]))]
+        else:
+            marks = len(word) - len(word.lstrip(" "))
+            own = self._with_run(marks, word[marks:])
+        return start + int(np.flatnonzero(np.array(own) <= budget - before)[-1])
 
 
 _counters: dict[str, PrefixCounter] = {}
@@ -289,25 +306,34 @@ def counter(name: str = MODEL) -> PrefixCounter:
     return _counters[name]
 
 
-def count_tokens(docs: DataFrame, text: str = "text", model: str = MODEL, limit: int | None = None, keep: list[str] | None = None) -> DataFrame:
-    """docs with ``n_bytes``, ``n_tokens`` and, with a limit, ``over_limit`` and ``fits_chars``: how many characters to keep."""
-    shared.text_batches(docs.sparkSession)
+def count_tokens(docs: DataFrame, text: str = "text", model: str = MODEL, limit: int | None = None, keep: list[str] | None = None, words: bool = True) -> DataFrame:
+    """docs with ``n_bytes`` and ``n_tokens``; with a limit, ``over_limit`` and ``fits_chars``: how many characters to keep.
+
+    words: also ``word_ends`` and ``word_tokens``, the ends of the words and the count of the text up to each.
+    """
     new = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]
     if limit is not None:
         new += [T.StructField("over_limit", T.BooleanType()), T.StructField("fits_chars", T.LongType())]
+    if words:
+        new += [T.StructField(n, T.ArrayType(T.IntegerType(), False)) for n in ("word_ends", "word_tokens")]
     names = {f.name for f in new}
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    source = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
+    (body,) = shared.free(keep, "text_to_count")
+    source = docs.select(*[docs[c] for c in keep], docs[text].alias(body))
 
     def run(batches):
         c = counter(model)
-        for b in batches:
-            texts = b.column("__text").to_pylist()
+        for b in shared.small(batches):
+            texts = b.column(body).to_pylist()
             c.learn(texts)
-            n = [c.count(x) for x in texts]
+            known = [c.word_counts(x) for x in texts]
+            n = [int(k[1][-1]) if len(k[1]) else 0 for k in known]
             cols = [b.column(k) for k in keep] + [pa.array([len((x or "").encode()) for x in texts], pa.int64()), pa.array(n, pa.int64())]
             if limit is not None:
-                cols += [pa.array([k > limit for k in n], pa.bool_()), pa.array([c.longest(x, limit) if k > limit else len(x or "") for x, k in zip(texts, n, strict=True)], pa.int64())]
+                cols += [pa.array([k > limit for k in n], pa.bool_()), pa.array([c.longest(x, limit, w) if k > limit else len(x or "") for x, k, w in zip(texts, n, known, strict=True)], pa.int64())]
+            if words:
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(k[0]) for k in known])]).astype(np.int32))
+                cols += [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([k[j] for k in known]).astype(np.int32) if known else np.zeros(0, np.int32))) for j in (0, 1)]
             yield pa.RecordBatch.from_arrays(cols, names=keep + [f.name for f in new])
 
     return source.mapInArrow(run, T.StructType([source.schema[c] for c in keep] + new))
