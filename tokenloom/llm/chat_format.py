@@ -1,6 +1,6 @@
 """Operator 1: chat formatting from event logs, with DataFrame functions only.
 
-A log holds events of conversations: ``message`` (a whole message), ``delta`` (appends streamed text),
+A log holds events of conversations: ``message`` (opens a turn with a text), ``delta`` (appends streamed text),
 ``edit`` (replaces the text so far) and ``regenerate`` (drops the text so far; deltas follow). Logs are
 grouped by conversation and message, sorted by sequence, and folded: the text of a message is what follows
 its last reset. Messages are then put in order and rendered. A conversation is one row of the result, so it has
@@ -10,8 +10,10 @@ Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. In texts and r
 backslashes before ``|`` gets one more backslash, so no control string is left and taking one away restores the text;
 line ends in roles become ``<n>`` in the same manner. The loss mask is the list of the assistant texts' spans.
 
-Defined results: null text or role is empty; a null sequence sorts first; rows with equal keys are turns of
-their own, ordered by role and text; a null conversation id is a conversation of its own; extra columns are left out.
+Defined results: null text or role is empty; a null sequence sorts first; a second ``message`` event of one message opens a turn of
+its own, with its own text and role, which later events then change; the role of a turn is the first one that its events name; turns at equal
+places are ordered by role and text; rows with equal keys in a table of turns are turns of their own; a null conversation id is a
+conversation of its own; an empty log gives an empty result; texts of any length are rendered whole; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -23,32 +25,59 @@ START, END = "<|im_start|>", "<|im_end|>"
 RESETS = ("message", "edit", "regenerate")
 
 
-def events_of_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """The log of a table of finished turns: one ``message`` event each."""
-    return turns.select(
-        turns[conv].alias("conv_id"), turns[turn].cast("long").alias("seq"),
-        F.struct(turns[turn].cast("long").alias("turn"), F.md5(F.concat(F.coalesce(turns[role], F.lit("")), F.lit("\n"), F.coalesce(turns[text], F.lit("")))).alias("of")).alias("message"),
-        F.lit("message").alias("kind"), F.coalesce(turns[role], F.lit("")).alias("role"), F.coalesce(turns[text], F.lit("")).alias("text"),
-    )
+#: Characters of the abandoned draft in a log made from finished turns; pieces in which its texts are streamed.
+DRAFT, PIECES = 24, 3
 
 
-def fold(events: DataFrame) -> DataFrame:
-    """events (conv_id, seq, message, kind, role, text) -> messages (conv_id, message, seq, copy, role, text).
+def events_of_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", trained: str = "assistant") -> DataFrame:
+    """A log that a table of finished turns could come from, for ``fold`` with the keys ``MESSAGE``.
 
-    ``message`` names the message within its conversation. Repeated ``message`` events of one message
-    are copies of it: each stands as a turn of its own.
+    A trained role's text is streamed: a draft's delta, a regeneration, then the text in ``PIECES`` deltas. Others are a draft, edited once.
+    Rows that are equal in all four columns are counted and numbered (``copy``); the number keeps their events apart.
+    """
+    # injective: the role's length tells where the text begins
+    r, x = F.coalesce(turns[role], F.lit("")), F.coalesce(turns[text], F.lit(""))
+    rows = turns.select(turns[conv].alias("conv_id"), turns[turn].cast("long").alias("turn"), r.alias("role"), x.alias("text"))
+    of = F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")), 256)
+    # dealt by keys that the fold groups by too, so the events aren't exchanged again
+    n = rows.withColumn("of", of).groupBy("conv_id", "turn", "of").agg(F.count("*").alias("n"), F.first("role").alias("role"), F.first("text").alias("text"))
+    each = n.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    size = F.ceil(F.length("text") / PIECES).cast("int")
+    event = lambda k, kind, role, text: F.struct(F.lit(k).cast("long").alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    none = F.lit(None).cast("string")
+    draft = F.substring("text", 1, DRAFT)
+    pieces = [event(3 + k, "delta", none, F.substring(F.col("text"), size * k + 1, size)) for k in range(PIECES)]
+    streamed = F.array(event(1, "delta", F.col("role"), draft), event(2, "regenerate", none, none), *pieces)
+    edited = F.array(event(1, "message", F.col("role"), draft), event(2, "edit", none, F.col("text")))
+    log = each.withColumn("e", F.explode(F.when(F.col("role") == trained, streamed).otherwise(edited)))
+    return log.select("conv_id", "turn", "of", "copy", F.col("turn").alias("place"), "e.*")
+
+
+#: The columns that name a message of ``events_of_turns``.
+MESSAGE = ("turn", "of", "copy")
+
+
+def fold(events: DataFrame, message: tuple[str, ...] = ("message",), place: str | None = None) -> DataFrame:
+    """events (conv_id, seq, message columns, kind, role, text) -> messages (conv_id, place, opened, role, text).
+
+    message: the columns that name a message within its conversation. place: the column that orders messages; by
+    default the sequence of a turn's first event does. opened: which ``message`` event of the message began this turn.
     """
     e = F.struct(F.col("seq"), F.when(F.col("kind") == "delta", 1).otherwise(0).alias("late"), F.col("kind"), F.col("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    log = events.groupBy("conv_id", "message").agg(F.sort_array(F.collect_list(e)).alias("log"))
+    own = [F.first(place).alias("place")] if place else []
+    log = events.groupBy("conv_id", *message).agg(F.sort_array(F.collect_list(e)).alias("log"), *own)
+    # each message event after another one begins a turn of its own
+    starts = F.filter(F.transform("log", lambda x, i: F.when(x["kind"] == "message", i)), lambda i: i.isNotNull())
+    log = log.withColumn("starts", F.concat(F.array(F.lit(0)), F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1)))))
+    log = log.select("conv_id", *(["place"] if place else []), "log", F.posexplode("starts").alias("opened", "start"), F.expr("size(starts)").alias("n"), "starts")
+    log = log if place else log.withColumn("place", F.get("log", F.col("start"))["seq"])
+    until = F.when(F.col("opened") + 1 < F.col("n"), F.get("starts", F.col("opened") + 1)).otherwise(F.size("log"))
+    log = log.select("conv_id", "place", "opened", F.slice("log", F.col("start") + 1, until - F.col("start")).alias("log"))
     resets = F.transform("log", lambda x, i: F.when(x["kind"].isin(*RESETS), i))
-    last = F.coalesce(F.array_max(resets), F.lit(-1))
-    kept = F.expr("slice(log, greatest(__last, 0) + 1, size(log))")
+    kept = F.slice("log", F.greatest(F.coalesce(F.array_max(resets), F.lit(0)), F.lit(0)) + 1, F.size("log"))
     text = F.array_join(F.transform(F.filter(kept, lambda x: x["kind"] != "regenerate"), lambda x: x["text"]), "")
-    copies = F.size(F.filter("log", lambda x: x["kind"] == "message"))
-    whole = F.forall("log", lambda x: x["kind"] == "message")
     role = F.coalesce(F.get(F.filter(F.transform("log", lambda x: x["role"]), lambda r: r.isNotNull()), F.lit(0)), F.lit(""))
-    folded = log.withColumn("__last", last).select("conv_id", "message", F.col("log")[0]["seq"].alias("seq"), role.alias("role"), text.alias("text"), F.when(whole, copies).otherwise(1).alias("__n"))
-    return folded.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("__n"), F.lit(1))))).drop("__n")
+    return log.select("conv_id", "place", "opened", role.alias("role"), text.alias("text"))
 
 
 def escape(c: Column) -> Column:
@@ -69,9 +98,9 @@ def unescape_role(c: Column) -> Column:
 
 def render(messages: DataFrame, trained: str = "assistant") -> DataFrame:
     """One row per conversation: ``formatted`` and ``loss_spans`` array<turn, turn_start, start, length> (code points)."""
-    by_turn = Window.partitionBy("conv_id").orderBy(F.col("seq").asc_nulls_first(), "role", "text", "message", "copy")
+    by_turn = Window.partitionBy("conv_id").orderBy(F.col("place").asc_nulls_first(), "role", "text", "opened")
     before = by_turn.rowsBetween(Window.unboundedPreceding, -1)
-    m = messages.select("conv_id", "seq", "role", "text", "message", "copy", F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")).alias("__head"), escape(F.col("text")).alias("__body"))
+    m = messages.select("conv_id", "place", "role", "text", "opened", F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")).alias("__head"), escape(F.col("text")).alias("__body"))
     m = m.withColumn("__piece", F.concat("__head", "__body", F.lit(END + "\n")))
     m = m.withColumn("__turn", F.row_number().over(by_turn)).withColumn("__at", F.coalesce(F.sum(F.length("__piece").cast("long")).over(before), F.lit(0).cast("long")))
     start = (F.col("__at") + F.length("__head")).alias("start")
@@ -80,8 +109,13 @@ def render(messages: DataFrame, trained: str = "assistant") -> DataFrame:
     return rows.select("conv_id", F.array_join(F.transform("p", lambda x: x["__piece"]), "").alias("formatted"), "loss_spans")
 
 
-def chat_format(events: DataFrame, trained: str = "assistant") -> DataFrame:
-    return render(fold(events), trained)
+def chat_format(events: DataFrame, trained: str = "assistant", message: tuple[str, ...] = ("message",), place: str | None = None) -> DataFrame:
+    return render(fold(events, message, place), trained)
+
+
+def format_turns(turns: DataFrame, trained: str = "assistant") -> DataFrame:
+    """A table of finished turns (conv_id, turn, role, text), formatted through its log."""
+    return chat_format(events_of_turns(turns, trained=trained), trained, MESSAGE, "place")
 
 
 def _pieces(formatted: Column) -> Column:
