@@ -5,13 +5,18 @@ hide a match. The hashes of all masks at all positions of the benchmark items ar
 a hit fixes an alignment, which is then verified token by token: a document is contaminated by an item if
 ``WINDOW`` aligned tokens in a row (all of a shorter item) have at most a fifth of substitutions.
 
-The benchmark's hashes are broadcast in groups of items of at most ``MOST_SEEDS`` hashes, so what is sent has a fixed bound; a larger
-benchmark takes more passes over the documents. Documents' tokens are never exchanged, only the aligned tokens of hits are.
-
-An item's masks are those of its window's length: at least one of them fits between the substitutions wherever these are,
-so no qualifying alignment goes without a hit. Tokens are the runs of letters and digits of the text in lower case.
-Defined results: null and empty texts have no tokens and neither match nor are matched; rows that share an id
-are reported together; a null id is reported as null.
+Of the benchmark only (hash, item number, position, size) is broadcast, 24 bytes of fixed width each, in groups of items of at most ``MOST_SEEDS``
+hashes, so what is sent has a fixed bound in bytes whatever the items' lengths; a larger benchmark takes more passes over the documents. The items' tokens are
+joined to the alignments found. Documents' tokens are never exchanged, only the aligned tokens of hits are, once per alignment (per item, where an item
+is so short that any hit is a match).
+
+An item's masks are those of its window's length, and only items of that length get them, so an item's findings don't depend on the others. At least one of them
+fits between the allowed substitutions wherever these are, so no qualifying alignment goes without a hit (a test goes through all patterns).
+Tokens are the runs of letters and digits of the text in lower case. A document of any length is one row; its token array and hashes are held by one task.
+
+Defined results: null and empty texts have no tokens and neither match nor are matched; rows that share an id are compared each by its own
+text and reported together (the best alignment of any); a null id is reported as null; repeated items are one; items that share an id
+are compared each and reported together; an empty table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ MASKS = {n: ("1" * n,) for n in range(1, 5)} | {
     13: ("11110111", "1110100111", "1111111", "11101111"),
 }
 WINDOW, SUBSTITUTED, MOST_SEEDS = 13, 0.2, 500_000
+#: Items of up to so many tokens allow no substitution and have one mask, of their length: a hit is a match.
+EXACT = 4
 
 
 def tokens(text: Column) -> Column:
@@ -62,26 +69,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str | list[str]
     doc_id: the column, or columns, that tell documents apart; they come back under their names.
     """
     keys = [doc_id] if isinstance(doc_id, str) else list(doc_id)
-    items = benchmark.select(benchmark[item_id].alias("item_id"), tokens(benchmark[item_text]).alias("it")).where(F.size("it") > 0)
+    items = benchmark.select(benchmark[item_id].alias("item_id"), tokens(benchmark[item_text]).alias("it")).where(F.size("it") > 0).distinct()
+    items = items.withColumn("ik", F.xxhash64("item_id", "it"))
     sizes = items.groupBy(F.least(F.lit(WINDOW), F.size("it")).alias("n")).agg(F.sum(F.size("it").cast("long")).alias("all")).collect()  # WINDOW rows at most
     own_masks = {r["n"]: MASKS[r["n"]] for r in sizes}
     masks = sorted({m for ms in own_masks.values() for m in ms} or set(MASKS[WINDOW]))
     n_seeds = sum(r["all"] * len(own_masks[r["n"]]) for r in sizes)
     passes = max(1, math.ceil(n_seeds / MOST_SEEDS))
-    source = docs.select(*[docs[k].alias(f"d{i}") for i, k in enumerate(keys)], tokens(docs[text]).alias("t"))
+    # dk: rows of one id are told apart by their texts
+    source = docs.select(*[docs[k].alias(f"d{i}") for i, k in enumerate(keys)], F.xxhash64(docs[text]).alias("dk"), tokens(docs[text]).alias("t"))
     own_keys = [f"d{i}" for i in range(len(keys))]
     found = None
     for k in range(passes):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "it"), F.lit(passes)) == k) if passes > 1 else items
-        own = _seeds(mine.withColumn("t", F.col("it")), masks, ["item_id", "it"], own_masks).select("item_id", "it", F.col("pos").alias("item_pos"), "seed")
-        hits = _seeds(source, masks, own_keys).join(F.broadcast(own), "seed")
-        shift = (F.col("pos") - F.col("item_pos")).alias("shift")
-        hits = hits.select(*own_keys, "item_id", "it", shift, F.slice("t", F.greatest(F.col("pos") - F.col("item_pos"), F.lit(0)) + 1, F.size("it")).alias("aligned"))
+        mine = items.where(F.pmod("ik", F.lit(passes)) == k) if passes > 1 else items
+        own = _seeds(mine.withColumn("t", F.col("it")).withColumn("n", F.size("it")), masks, ["ik", "n"], own_masks).select("ik", "n", F.col("pos").alias("item_pos"), "seed")
+        hits = _seeds(source, masks, [*own_keys, "dk"]).join(F.broadcast(own), "seed")
+        shift = F.col("pos") - F.col("item_pos")
+        aligned = F.slice("t", F.greatest(shift, F.lit(0)) + 1, F.when(shift < 0, F.col("n") + shift).otherwise(F.col("n")))
+        hits = hits.select(*own_keys, "dk", "ik", F.when(F.col("n") > EXACT, shift).alias("at"), F.struct(shift.alias("shift"), aligned.alias("aligned")).alias("a"))
         found = hits if found is None else found.unionByName(hits)
-    once = found.groupBy(*own_keys, "item_id", "shift").agg(F.first("it").alias("it"), F.first("aligned").alias("aligned"))
-    ahead = F.greatest(-F.col("shift"), F.lit(0))  # item tokens before the document begins
-    same = F.zip_with("aligned", F.slice("it", ahead + 1, F.size("aligned")), lambda a, b: F.when(a == b, 1).otherwise(0))
-    v = once.select(*own_keys, "item_id", F.size("it").alias("n"), same.alias("same"))
+    once = found.groupBy(*own_keys, "dk", "ik", "at").agg(F.min("a").alias("a"))
+    ahead = F.greatest(-F.col("a.shift"), F.lit(0))  # item tokens before the document begins
+    same = F.zip_with("a.aligned", F.slice("it", ahead + 1, F.size("a.aligned")), lambda a, b: F.when(a == b, 1).otherwise(0))
+    v = once.join(items, "ik").select(*own_keys, "item_id", F.size("it").alias("n"), same.alias("same"))
     window = F.least(F.lit(WINDOW), F.col("n"))
     need = F.element_at(F.array(*[F.lit(needed(n)[1]) for n in range(1, WINDOW + 1)]), window)
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + F.coalesce(y, F.lit(0)))

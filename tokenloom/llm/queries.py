@@ -25,7 +25,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
     own = spark.range(2).select(F.lit(-1).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(said))
-    chats = chat_format.chat_format(chat_format.events_of_turns(turns.union(own)))
+    chats = chat_format.format_turns(turns.union(own))
     turns_read = F.transform(chat_format.read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     read = chats.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), turns_read.alias("t"), chat_format.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     return read.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.sha2(F.array_join("t", ""), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
@@ -144,20 +144,18 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Without seeds: all alignments in which an item has as many equal tokens as it needs, then all windows of those.
 SQL_OP9 = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents),
-b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM benchmark),
-m(k, p) AS (VALUES (0, [0, 1, 3, 5, 6, 8, 9]), (1, [0, 1, 2, 5, 7, 8, 9]), (2, [0, 2, 3, 4, 6, 7, 9])),
-bp AS (SELECT item_id, t, unnest(range(0, len(t) - 9)) AS j FROM b), dp AS (SELECT doc_id, unnest(range(0, len(t) - 9)) AS i, t FROM d),
-bs AS (SELECT item_id, j, k, array_to_string(list_transform(p, lambda x: t[j + x + 1]), ' ') AS s FROM bp, m),
-ds AS (SELECT doc_id, i, k, array_to_string(list_transform(p, lambda x: t[i + x + 1]), ' ') AS s FROM dp, m),
-a AS (SELECT DISTINCT doc_id, item_id, i - j AS shift FROM ds JOIN bs USING (k, s)),
-q AS (SELECT doc_id, item_id, shift, unnest(range(greatest(0, -shift), least(len(b.t), len(d.t) - shift))) AS y, b.t AS bt, d.t AS dt FROM a JOIN b USING (item_id) JOIN d USING (doc_id)),
-e AS (SELECT doc_id, item_id, shift, y, len(bt) AS n, (bt[y + 1] = dt[y + shift + 1])::INTEGER AS same FROM q),
-w AS (SELECT *, sum(same) OVER r AS hits, count(*) OVER r AS wide FROM e WINDOW r AS (PARTITION BY doc_id, item_id, shift ORDER BY y ROWS BETWEEN 12 PRECEDING AND CURRENT ROW)),
-g AS (SELECT doc_id, item_id, shift, max(n) AS n, sum(same) AS same FROM w GROUP BY ALL
-  HAVING bool_or(wide = least(13, n) AND hits >= ceil(0.8 * least(13, n))))
-SELECT doc_id, item_id, max(n)::BIGINT AS item_tokens, max(same)::BIGINT AS matched_tokens FROM g GROUP BY ALL
+b AS (SELECT item_id, t, len(t) AS n, least(13, len(t)) AS w FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM benchmark) WHERE len(t) > 0),
+bp AS (SELECT item_id, n, w, unnest(t) AS x, unnest(range(n)) AS j FROM b),
+dp AS (SELECT doc_id, unnest(t) AS x, unnest(range(len(t))) AS i FROM d),
+a AS (SELECT doc_id, item_id, i - j AS shift, any_value(n) AS n, any_value(w) AS w, list(j) AS js FROM dp JOIN bp USING (x)
+  GROUP BY doc_id, item_id, i - j HAVING count(*) >= ceil(0.8 * any_value(w))),
+k AS (SELECT a.*, len(js) AS same, greatest(0, -shift) AS low, least(a.n, len(d.t) - shift) AS high FROM a JOIN d USING (doc_id)),
+g AS (SELECT doc_id, item_id, n, same, w, js, unnest(range(low, high - w + 1)) AS y FROM k)
+SELECT doc_id, item_id, max(n)::BIGINT AS item_tokens, max(same)::BIGINT AS matched_tokens FROM g
+WHERE len(list_filter(js, lambda j: j >= y AND j < y + w)) >= ceil(0.8 * w) GROUP BY ALL
 """
 
 
