@@ -7,11 +7,14 @@ the offending sentences. Weights are non-negative: words can only add to a sente
 words around an offending one don't hide it.
 
 Training is on the driver, on a bounded sample: at most ``per_class`` documents of each label and ``max_bytes`` of text, taken in the order
-of a hash of the id; classes are weighted back to their true shares. The fitted weights have at most ``bins`` entries, so their
+of a hash of the id; classes are weighted back to their true shares. The lasso's weight is the one of ``SHRINKS`` with the best likelihood on folds of
+training rows (at most ``FOLD_ROWS`` a class); rows held out of training have no part in it. The fitted weights have at most ``BINS`` entries, so their
 broadcast has a fixed bound. Scoring reads every whole text of every document.
 
-Defined results: null and empty texts have no sentences and get the score of none, 0 at most by rounding; rows without
-a label or without an id aren't trained on; if the training rows lack a class, all scores are the share of label 1.
+Defined results: null and empty texts have no sentences and score 0; rows without a label or without an id aren't trained on; of rows that share an id
+the greatest text and label are; if no training row has one of the classes, all scores are the share of label 1; if a class has rows, but each of its texts is
+larger than the sample, that is an error; repeated rows are scored each; very long texts are scored whole; an empty table gives an empty result; other columns pass
+through, except that columns named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -28,9 +31,11 @@ from pyspark.sql import types as T
 
 from . import shared
 
-#: Bounds of the training sample and of the weights; words kept by a worker; the score from which a document counts as toxic.
-PER_CLASS, MAX_BYTES, BINS, CACHE, THRESHOLD = 3000, 16 << 20, 1 << 18, 400_000, 0.3
-ROUNDS, RATE, LEAST_DOCS, SHRINK = 80, 0.15, 3, 0.5
+#: Bounds of the training sample and of the weights; bytes of a generation of a worker's cached words; the score from which a document counts as toxic.
+PER_CLASS, MAX_BYTES, BINS, CACHE, THRESHOLD = 3000, 16 << 20, 1 << 18, 64 << 20, 0.3
+ROUNDS, RATE, LEAST_DOCS = 80, 0.15, 3
+#: Weights of the lasso to choose from; folds, and rows of a class, for the choice.
+SHRINKS, FOLDS, FOLD_ROWS = (0.1, 0.5, 2.0), 2, 300
 SENTENCE = re.compile(r"[.!?\n]+")
 STRIP = ",;:\"'()[]|*#%<>&"
 
@@ -60,7 +65,7 @@ class Model:
         self._prepare()
 
     def _prepare(self) -> None:
-        self.words = shared.TwoGenerations(self._word, CACHE)
+        self.words = shared.TwoGenerations(self._word, CACHE, each=130)
 
     def __getstate__(self):
         return self.bias, self.weights, self.constant
@@ -94,11 +99,28 @@ class Model:
         return [f for f in found if f[2] >= least] or sorted(found, key=lambda f: (-f[2], f[0]))[:1]
 
 
-def fit(rows: list[tuple[str | None, int, float]]) -> Model:
-    """rows: (text, label, weight). Full-batch projected Adam on the noisy-or likelihood with a lasso."""
+def log_loss(model: Model, rows: list[tuple[str | None, int, float]]) -> float:
+    """The weighted mean of -ln of the probability of the label."""
+    p = [min(1 - 1e-6, max(1e-6, model.score(text))) for text, _, _ in rows]
+    return -sum(w * math.log(q if y else 1 - q) for q, (_, y, w) in zip(p, rows, strict=True)) / sum(w for *_, w in rows)
+
+
+def choose(rows: list[tuple[str | None, int, float]], shrinks: tuple[float, ...] = SHRINKS) -> float:
+    """The lasso's weight with the least loss on folds of the rows: each is judged by a model that didn't see it."""
+    few = [r for y in (0, 1) for r in [r for r in rows if r[1] == y][:FOLD_ROWS]]
+    if min(sum(r[1] == y for r in few) for y in (0, 1)) < 2 * FOLDS or len(shrinks) < 2:
+        return shrinks[len(shrinks) // 2]
+    fold = [k % FOLDS for k in range(len(few))]
+    loss = {s: sum(log_loss(fit([r for r, f in zip(few, fold, strict=True) if f != k], s), [r for r, f in zip(few, fold, strict=True) if f == k]) for k in range(FOLDS)) for s in shrinks}
+    return min(shrinks, key=lambda s: loss[s])
+
+
+def fit(rows: list[tuple[str | None, int, float]], shrink: float | None = None) -> Model:
+    """rows: (text, label, weight). Full-batch projected Adam on the noisy-or likelihood with a lasso, whose weight is chosen if not given."""
     share = sum(w * y for _, y, w in rows) / max(1e-9, sum(w for *_, w in rows)) if rows else 0.0
     if len({y for _, y, _ in rows}) < 2:
         return Model(0.0, np.zeros(BINS), float(share))
+    shrink = choose(rows) if shrink is None else shrink
     ids: dict[str, int] = {}
     word_at, sentence_words, doc_sentences = [], [], []
     for text, _, _ in rows:
@@ -132,7 +154,7 @@ def fit(rows: list[tuple[str | None, int, float]]) -> Model:
         g_sent = pull[doc_of] / (1 + np.exp(-np.clip(z, -50, 50)))
         g_word = np.bincount(word_at, g_sent[sent_of], minlength=len(ids))
         g = np.append(np.bincount(bin_at, g_word[word_of_bin], minlength=BINS), g_sent.sum())
-        g[:-1] += SHRINK / n_docs
+        g[:-1] += shrink / n_docs
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         params -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         np.maximum(params[:-1], 0, out=params[:-1])
@@ -160,26 +182,29 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
             size += r["n"] or 0
             chosen[r["doc_id"]] = y
     n = {y: sum(1 for v in chosen.values() if v == y) for y in counts}
+    if none := [y for y in counts if counts[y] and not n[y]]:
+        raise ValueError(f"all texts of label {none} are longer than the sample holds: raise max_bytes ({max_bytes})")
     ids = docs.sparkSession.createDataFrame([(k,) for k in chosen], "doc_id long")  # at most 2 * per_class ids
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")).collect()
+    shared.drop(known)
     return [(r["text"], chosen[r["doc_id"]], counts[chosen[r["doc_id"]]] / n[chosen[r["doc_id"]]]) for r in sorted(texts, key=lambda r: r["doc_id"])]
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, located: bool = False, name: str = "score") -> DataFrame:
     """docs with ``score`` (or another name); located: also ``offending``, the spans of the offending sentences of documents over the threshold."""
     spark = docs.sparkSession
-    shared.text_batches(spark)
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())]))
     new = [T.StructField(name, T.DoubleType())] + ([T.StructField("offending", spans)] if located else [])
     keep = [c for c in (docs.columns if keep is None else keep) if c not in {f.name for f in new}]
-    source = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
+    (body,) = shared.free(keep, "text_to_score")
+    source = docs.select(*[docs[c] for c in keep], docs[text].alias(body))
     sent = spark.sparkContext.broadcast(model)  # BINS floats
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
     def run(batches):
         m = sent.value
-        for b in batches:
-            texts = b.column("__text").to_pylist()
+        for b in shared.small(batches):
+            texts = b.column(body).to_pylist()
             scores = [m.score(x) for x in texts]
             cols = [b.column(k) for k in keep] + [pa.array(scores, pa.float64())]
             if located:
