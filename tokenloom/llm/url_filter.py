@@ -2,10 +2,13 @@
 
 A rule is (verdict, host, path): it fits its host and every subdomain when the URL's path starts with the
 rule's path. The longest rule wins: more host labels first, then the longer path; of two equal rules the
-first one given. The trie is broadcast while the rules stay below ``MAX_BROADCAST`` bytes; beyond, the URLs'
-host suffixes (a few each) are joined with the rule table instead, with the same results.
+first one given, or of a table of rules, which has no order, the verdict that comes first in the alphabet. The trie is broadcast while the rules stay below
+``MAX_BROADCAST`` bytes; beyond, the host suffixes of the distinct URLs (a few each) are joined with the rule table instead, with the
+same results; a suffix that many URLs share, like ``com``, is dealt over ``SALTS`` keys, to each of which its rules go.
 
-Defined results: a null url, or one without ``://``, has an empty host and an empty path and fits no rule.
+Defined results: a null url, or one without ``://``, has an empty host and an empty path and fits no rule; urls of any length are judged
+whole; repeated rows are judged each; an empty table gives an empty result, and no rules give every url the default; other
+columns pass through, except that columns named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -15,8 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import shared
+
 #: Bytes of all rules up to which the trie is broadcast.
 MAX_BROADCAST = 16 << 20
+#: Keys over which each suffix is dealt beyond that.
+SALTS = 16
 Rule = tuple[str, str, str]  # verdict, host, path
 
 
@@ -46,6 +53,7 @@ class Trie:
             for segment in whole:
                 node = node["next"].setdefault(segment, {"next": {}, "ends": {}})
             node["ends"].setdefault(last, (verdict, host + path))
+            node["sizes"] = sorted({*node.get("sizes", ()), len(last)}, reverse=True)
 
     @staticmethod
     def _longest(node: dict | None, segments: list[str]) -> tuple[str, str] | None:
@@ -53,9 +61,10 @@ class Trie:
         for segment in segments:
             if node is None:
                 break
-            fits = [e for e in node["ends"] if segment.startswith(e)]
-            if fits:
-                best = node["ends"][max(fits, key=len)]
+            for size in node.get("sizes", ()):  # the segment's beginnings, longest first, looked up
+                if size <= len(segment) and (found := node["ends"].get(segment[:size])):
+                    best = found
+                    break
             node = node["next"].get(segment)
         return best
 
@@ -84,17 +93,18 @@ def judge_urls(pages: DataFrame, rules: list[Rule] | DataFrame, url: str = "url"
         table = rules.select("verdict", "host", "path")
         size = table.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 64), F.lit(0))).first()[0]
         if size > max_broadcast:
-            return _joined(pages, table, url, default, keep)
-        rules = [tuple(r) for r in table.collect()]
+            return _joined(pages, table.withColumn("nth", F.lit(0)), url, default, keep)
+        rules = sorted(tuple(r) for r in table.collect())
     if sum(len(h.encode()) + len(p.encode()) + 64 for _, h, p in rules) > max_broadcast:
-        return _joined(pages, spark.createDataFrame(rules, "verdict string, host string, path string"), url, default, keep)
+        return _joined(pages, spark.createDataFrame([(*r, k) for k, r in enumerate(rules)], "verdict string, host string, path string, nth int"), url, default, keep)
     trie = spark.sparkContext.broadcast(Trie(rules))
-    source = pages.select(*[pages[c] for c in keep], pages[url].alias("__url"))
+    (at,) = shared.free([*keep, *new], "url_to_judge")
+    source = pages.select(*[pages[c] for c in keep], pages[url].alias(at))
 
     def run(batches):
         t = trie.value
         for b in batches:
-            parts = [host_and_path(u) for u in b.column("__url").to_pylist()]
+            parts = [host_and_path(u) for u in b.column(at).to_pylist()]
             found = [t.judge(h, p) or (default, None) for h, p in parts]
             cols = [[h for h, _ in parts], [p for _, p in parts], [r for _, r in found], [v for v, _ in found]]
             yield pa.RecordBatch.from_arrays([b.column(k) for k in keep] + [pa.array(c, pa.string()) for c in cols], names=keep + new)
@@ -103,15 +113,20 @@ def judge_urls(pages: DataFrame, rules: list[Rule] | DataFrame, url: str = "url"
 
 
 def _joined(pages: DataFrame, rules: DataFrame, url: str, default: str, keep: list[str]) -> DataFrame:
-    """The same through an equi-join on host suffixes."""
+    """The same through an equi-join on host suffixes of the distinct hosts and paths."""
     host, path = _native_parts(pages[url])
-    rows = pages.select(*[pages[c] for c in keep], host.alias("host"), path.alias("path")).withColumn("__id", F.monotonically_increasing_id())
-    labels = F.split(F.col("host"), r"\.")
-    suffixes = rows.select("__id", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))).alias("__h"))
-    r = rules.groupBy(F.col("host").alias("__h"), F.col("path").alias("__p")).agg(F.first("verdict").alias("__v"))
-    order = F.struct(F.size(F.split("__h", r"\.")).alias("a"), F.length("__p").alias("b"))
-    best = suffixes.join(r, "__h").where(F.startswith("path", "__p")).groupBy("__id").agg(F.max_by(F.struct(F.concat("__h", "__p").alias("rule"), F.col("__v").alias("verdict")), order).alias("__b"))
-    return rows.join(best, "__id", "left").select(*keep, "host", "path", F.col("__b.rule").alias("rule"), F.coalesce("__b.verdict", F.lit(default)).alias("verdict"))
+    rows = pages.select(*[pages[c] for c in keep], host.alias("host"), path.alias("path"))
+    h, p, best = shared.free([*keep, "host", "path", "rule", "verdict"], "h", "p", "best")
+    u = rows.where("host <> ''").select(F.col("host").alias(h), F.col("path").alias(p)).distinct()
+    labels = F.split(F.col(h), r"\.")
+    suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))).alias("suffix")
+    suffixes = u.select(h, p, suffix, F.pmod(F.xxhash64(h, p), F.lit(SALTS)).cast("int").alias("salt"))
+    r = rules.groupBy(F.col("host").alias("suffix"), F.col("path").alias("begin")).agg(F.min(F.struct("nth", "verdict"))["verdict"].alias("v"))
+    r = r.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    order = F.struct(F.size(F.split("suffix", r"\.")).alias("a"), F.length("begin").alias("b"))
+    found = suffixes.join(r, ["suffix", "salt"]).where(F.startswith(p, "begin")).groupBy(h, p).agg(F.max_by(F.struct(F.concat("suffix", "begin").alias("rule"), F.col("v").alias("verdict")), order).alias(best))
+    judged = rows.join(found, (rows["host"] == found[h]) & (rows["path"] == found[p]), "left")
+    return judged.select(*keep, "host", "path", F.col(f"{best}.rule").alias("rule"), F.coalesce(f"{best}.verdict", F.lit(default)).alias("verdict"))
 
 
 def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
