@@ -7,18 +7,23 @@ the record's offset, ISO timestamps, types (warcinfo, response, resource, revisi
 payloads of at least ``min_revisit`` bytes one is the response, that with the largest page id; the others become
 revisits that refer to it.
 
-Archives are written below the shared folder: each task writes its files under names of its own and renames a file when
-it is whole, so a repeated task replaces what it wrote with equal bytes. An archive is closed at ``ARCHIVE`` bytes of payload, which
-bounds what a task holds when it reads one.
+A first pass makes an index (archive, offset, page id, digest) of the records that can have copies; copies are found in the index alone, so payloads are never
+exchanged, and an archive's revisits go to its conversion as one list. Archives are read as streams, record by record, so a task holds one record.
+
+Archives are written below the shared folder, through pyarrow's file systems, under names that hold the task attempt's number; the
+manifest, a table that Spark commits, names those of the attempts that count. Readers go by the manifest, so files left by lost executors are never read; a
+folder without one (archives from elsewhere) is listed. An archive is closed at ``ARCHIVE`` bytes of payload or ``RECORDS`` records.
 
 Defined results: null html is an empty payload; a null url is ``-``; rows with a null page id are never referred to;
-rows that share the largest page id of a group of copies are all responses.
+rows that share the largest page id of a group of copies are all responses; repeated rows are records of their own; payloads of any length are one record;
+an empty table gives no archives; extra columns are left out.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import re
 import uuid
 import zlib
@@ -30,11 +35,10 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Bytes of payload after which an archive is closed; zlib level.
-ARCHIVE, LEVEL = 8 << 20, 1
+#: Bytes of payload and records after which an archive is closed; zlib level; bytes read at a time; bytes of rows handed over at a time.
+ARCHIVE, RECORDS, LEVEL, PIECE, HANDED = 64 << 20, 50_000, 1, 1 << 16, 4 << 20
 MIN_REVISIT = 1000
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
-PARSED = "archive string, offset long, url string, ip string, date string, mime string, page_id long, http binary, payload binary"
 #: Printable ASCII without white space and %, which needs quoting for the way back.
 SAFE = "".join(chr(c) for c in range(33, 127) if chr(c) != "%")
 
@@ -42,7 +46,8 @@ SAFE = "".join(chr(c) for c in range(33, 127) if chr(c) != "%")
 def _fs(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    path = re.sub("^file:/+", "file:///", path)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", path))
 
 
 def member(data: bytes) -> bytes:
@@ -50,31 +55,36 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def members(content: bytes):
-    """(offset, data) of each gzip member; fed in small pieces, so that a member's end costs no copy of the rest."""
-    view, at = memoryview(content), 0
-    while at < len(content):
-        z, data, end = zlib.decompressobj(31), [], at
+def members(source):
+    """(offset, data) of each gzip member of bytes or of a stream."""
+    f = io.BytesIO(source) if isinstance(source, bytes) else source
+    left, at = b"", 0
+    while left := left or f.read(PIECE):
+        z, data, used = zlib.decompressobj(31), [], 0
         while not z.eof:
-            if end >= len(content):
+            if not left and not (left := f.read(PIECE)):
                 raise ValueError(f"the member at {at} is cut off")
-            piece = view[end : end + 16384]
-            data.append(z.decompress(piece))
-            end += len(piece)
-        end -= len(z.unused_data)
+            data.append(z.decompress(left))
+            used += len(left)
+            left = z.unused_data
+        used -= len(left)
         yield at, b"".join(data)
-        at = end
+        at += used
 
 
 class _Archive:
-    """One file that appears under its name when it is whole."""
+    """One file, in sight when it is whole. Its name for records is ``name``; on disk it has the attempt's number, too."""
 
     def __init__(self, folder: str, name: str):
-        self.fs, self.path = _fs(f"{folder}/{name}")
-        self.name, self.payload, self.records = name, 0, 0
+        from pyspark import TaskContext
+
+        stem, kind = name.split(".", 1)
+        self.name, self.file = name, f"{stem}-a{TaskContext.get().taskAttemptId()}.{kind}"
+        self.fs, self.path = _fs(f"{folder}/{self.file}")
+        self.payload = self.records = self.at = 0
         self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
-        self.part = f"{self.path.rsplit('/', 1)[0]}/_{name}.{uuid.uuid4().hex}"
-        self.out, self.at = self.fs.open_output_stream(self.part, compression=None), 0
+        self.part = f"{self.path.rsplit('/', 1)[0]}/_{self.file}.{uuid.uuid4().hex}"
+        self.out = self.fs.open_output_stream(self.part, compression=None)
 
     def add(self, data: bytes, payload: int = 0) -> None:
         packed = member(data)
@@ -83,17 +93,56 @@ class _Archive:
         self.payload += payload
         self.records += 1
 
-    def close(self) -> tuple[str, int, int]:
+    def full(self) -> bool:
+        return self.payload >= ARCHIVE or self.records >= RECORDS
+
+    def close(self) -> tuple[str, str, int, int]:
         self.out.close()
         self.fs.move(self.part, self.path)
-        return self.name, self.records, self.at
+        return self.name, self.file, self.records, self.at
 
 
 def _wrote(done) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([d[j] for d in done], t) for j, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["archive", "records", "bytes"])
+    return pa.RecordBatch.from_arrays([pa.array([d[j] for d in done], t) for j, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["archive", "file", "records", "bytes"])
+
+
+WROTE = "archive string, file string, records long, bytes long"
+MANIFEST = "manifest"
 
 
-WROTE = "archive string, records long, bytes long"
+def _committed(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
+    manifest.write.parquet(f"{folder}/{MANIFEST}")
+    return spark.read.schema(WROTE).parquet(f"{folder}/{MANIFEST}")
+
+
+def archives(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """(archive, path) of a folder's archives, dealt out to a task each (up to 50,000 tasks)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{MANIFEST}")
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        found = spark.read.schema(WROTE).parquet(f"{folder}/{MANIFEST}").select("archive", F.concat(F.lit(folder + "/"), "file").alias("path"))
+    else:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind}.gz").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("archive"), "path")
+    return found.repartition(max(1, min(found.count(), 50_000)))
+
+
+def _rows(paths, read, schema: str, weight=lambda row: 200):
+    """Batches of read(archive, stream)'s rows, over all archives."""
+    rows, size = [], 0
+    for name, path in paths:
+        fs, at = _fs(path)
+        with fs.open_input_stream(at, compression=None) as f:
+            for row in read(name, f):
+                rows.append(row)
+                size += weight(row)
+                if size > HANDED:
+                    yield _batch(rows, schema)
+                    rows, size = [], 0
+    yield _batch(rows, schema)
+
+
+def _paths(batches):
+    for b in batches:
+        yield from zip(b.column("archive").to_pylist(), b.column("path").to_pylist(), strict=True)
 
 
 # -- ARC
@@ -113,14 +162,14 @@ def arc_record(version: int, name: str, offset: int, url: str | None, date: str,
 
 def write_arc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Writes pages as ARC files, version 1 and 2 by turns; returns the manifest."""
-    shared.text_batches(pages.sparkSession)
+    spark = pages.sparkSession
     source = pages.select(pages[page_id].cast("long").alias("id"), pages[url].alias("url"), pages[html].alias("html"))
 
     def run(batches):
         from pyspark import TaskContext
 
         part, done, arc, version = TaskContext.get().partitionId(), [], None, 1
-        for b in batches:
+        for b in shared.small(batches):
             for i, u, h in zip(*(b.column(c).to_pylist() for c in ("id", "url", "html")), strict=True):
                 if arc is None:
                     version = 1 + (part + len(done)) % 2
@@ -129,18 +178,18 @@ def write_arc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
                 payload = (h or "").encode("utf-8", "surrogatepass")
                 http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + (f"X-Page-Id: {i}\r\n" if i is not None else "") + f"Content-Length: {len(payload)}\r\n\r\n"
                 arc.add(arc_record(version, arc.name, arc.at, u, "20240101000000", "text/html", http.encode() + payload), len(payload))
-                if arc.payload >= ARCHIVE:
+                if arc.full():
                     done.append(arc.close())
                     arc = None
         if arc:
             done.append(arc.close())
         yield _wrote(done)
 
-    return source.mapInArrow(run, WROTE)
+    return _committed(spark, source.mapInArrow(run, WROTE), folder)
 
 
-def parse_arc(name: str, content: bytes):
-    """The records of an ARC file: dicts by field, with offset and body; the declared length decides where a record ends."""
+def parse_arc(name: str, content):
+    """The records of an ARC file (bytes or a stream): dicts by field, with offset and body; the declared length decides where a record ends."""
     fields: list[str] = []
     for offset, data in members(content):
         at = 0
@@ -170,26 +219,33 @@ def _url(field: str) -> str | None:
     return None if field == "-" else "" if field == "%" else unquote_to_bytes(field).decode("utf-8", "replace")
 
 
+def _parsed(name: str, content):
+    """The records of an ARC file: dicts with what the converter needs; file descriptions have no HTTP header."""
+    for r in parse_arc(name, content):
+        http, gap, payload = r["body"].partition(b"\r\n\r\n") if r["body"].startswith(b"HTTP/") else (None, b"", r["body"])
+        own = re.search(rb"(?im)^X-Page-Id: (-?\d+)", http or b"")
+        yield {"archive": name, "offset": r["offset"], "url": _url(r["URL"]), "ip": r["IP-address"], "date": r["Archive-date"], "mime": r["Content-type"], "page_id": int(own[1]) if own else None, "http": http and http + gap, "payload": payload}
+
+
+PARSED = "archive string, offset long, url string, ip string, date string, mime string, page_id long, http binary, payload binary"
+INDEX = "archive string, offset long, page_id long, digest binary"
+
+
 def read_arc(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record: its fields, the HTTP header and the payload; file descriptions have no HTTP header."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.arc.gz").load(folder).select("path", "content")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    """One row per record of a folder's ARC files."""
+    read = lambda name, f: (tuple(r.values()) for r in _parsed(name, f))
+    return archives(spark, folder, "arc").mapInArrow(lambda batches: _rows(_paths(batches), read, PARSED, lambda r: 500 + len(r[-1])), PARSED)
 
-    def run(batches):
-        for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                name, rows, size = path.rsplit("/", 1)[1], [], 0
-                for r in parse_arc(name, content.as_py()):
-                    http, gap, payload = r["body"].partition(b"\r\n\r\n") if r["body"].startswith(b"HTTP/") else (None, b"", r["body"])
-                    own = re.search(rb"(?im)^X-Page-Id: (-?\d+)", http or b"")
-                    rows.append((name, r["offset"], _url(r["URL"]), r["IP-address"], r["Archive-date"], r["Content-type"], int(own[1]) if own else None, http and http + gap, payload))
-                    size += len(payload)
-                    if size > 4 << 20:
-                        yield _batch(rows, PARSED)
-                        rows, size = [], 0
-                yield _batch(rows, PARSED)
 
-    return files.mapInArrow(run, PARSED)
+def index_arc(spark: SparkSession, folder: str, least: int) -> DataFrame:
+    """(archive, offset, page_id, digest) of the responses with payloads of at least that many bytes."""
+
+    def read(name, f):
+        for r in _parsed(name, f):
+            if r["http"] is not None and len(r["payload"]) >= least:
+                yield name, r["offset"], r["page_id"], hashlib.sha1(r["payload"]).digest()
+
+    return archives(spark, folder, "arc").mapInArrow(lambda batches: _rows(_paths(batches), read, INDEX), INDEX)
 
 
 KINDS = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
@@ -222,7 +278,7 @@ def _iso(date: str) -> str:
 
 
 def convert_record(r: dict) -> bytes:
-    """The WARC record of one ARC record; ``refers_to`` (page id) and ``refers_archive``, ``refers_offset`` make it a revisit."""
+    """The WARC record of one ARC record; ``refers_to`` (page id), with ``refers_archive`` and ``refers_offset``, makes it a revisit."""
     digest = base32(hashlib.sha1(r["payload"]).digest())
     fields = [("WARC-Record-ID", record_id(r["archive"], r["offset"])), ("WARC-Date", _iso(r["date"]))]
     if (r["url"] or "").startswith("filedesc://"):
@@ -233,53 +289,46 @@ def convert_record(r: dict) -> bytes:
     if r["http"] is None:
         return warc_record([("WARC-Type", "resource"), *fields, ("Content-Type", r["mime"])], r["payload"])
     fields.append(("Content-Type", "application/http; msgtype=response"))
-    if r["refers_to"] is None:
+    if r.get("refers_to") is None:
         return warc_record([("WARC-Type", "response"), *fields], r["http"] + r["payload"])
     to = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(r["refers_archive"], r["refers_offset"])), ("X-Refers-To-Page-Id", str(r["refers_to"]))]
     return warc_record([("WARC-Type", "revisit"), *fields, *to], r["http"])
 
 
 def convert(spark: SparkSession, arc: str, warc: str, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """Converts all ARC files of a folder; returns the manifest of the WARC files."""
-    records = read_arc(spark, arc)
-    digest = F.when(F.col("http").isNotNull() & (F.octet_length("payload") >= min_revisit), F.sha1("payload"))
+    """Converts all ARC files of a folder, each to a WARC file; returns the manifest of those."""
+    index = shared.written(index_arc(spark, arc, min_revisit), "arc-index")
     # the response of each payload that occurs more than once; counts are summed before the exchange
-    copies = records.select(digest.alias("digest"), "page_id", F.struct("page_id", "archive", "offset").alias("of")).where("digest IS NOT NULL")
-    first = copies.groupBy("digest").agg(F.max("of").alias("of"), F.count("*").alias("n")).where("n > 1 AND of.page_id IS NOT NULL").select("digest", "of")
-    first = shared.written(first, "warc-originals")  # small: only payloads with copies; AQE broadcasts it if its size allows
-    joined = records.withColumn("digest", digest).join(first, "digest", "left")
-    other = F.col("of").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("of.page_id"))
-    columns = [c.split(" ")[0] for c in PARSED.split(", ")]
-    plan = joined.select(*columns, *[F.when(other, F.col(f"of.{c}")).alias(n) for c, n in (("page_id", "refers_to"), ("archive", "refers_archive"), ("offset", "refers_offset"))])
-    names = plan.columns
+    first = index.groupBy("digest").agg(F.max(F.struct("page_id", "archive", "offset")).alias("of"), F.count("*").alias("n")).where("n > 1 AND of.page_id IS NOT NULL").select("digest", "of")
+    others = index.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("of.page_id")))
+    row = F.struct("offset", F.col("of.page_id").alias("refers_to"), F.col("of.archive").alias("refers_archive"), F.col("of.offset").alias("refers_offset"))
+    revisits = shared.written(others.groupBy("archive").agg(F.collect_list(row).alias("revisits")), "arc-revisits")  # at most RECORDS of an archive of ours
+    files = archives(spark, arc, "arc")
+    plan = files.join(revisits, "archive", "left").repartition(files.rdd.getNumPartitions())
 
     def run(batches):
-        from pyspark import TaskContext
-
-        part, done, out = TaskContext.get().partitionId(), [], None
+        done = []
         for b in batches:
-            cols = [b.column(n) for n in names]
-            for i in range(b.num_rows):
-                r = {n: c[i].as_py() for n, c in zip(names, cols, strict=True)}
-                if out is None:
-                    out = _Archive(warc, f"part-{part:06d}-{len(done):05d}.warc.gz")
-                out.add(convert_record(r), len(r["payload"]))
-                if out.payload >= ARCHIVE:
-                    done.append(out.close())
-                    out = None
-        if out:
-            done.append(out.close())
+            for name, path, revisits in zip(*(b.column(c).to_pylist() for c in ("archive", "path", "revisits")), strict=True):
+                refers = {r.pop("offset"): r for r in revisits or ()}
+                fs, at = _fs(path)
+                out = _Archive(warc, re.sub(r"\.arc\.gz$", "", name) + ".warc.gz")
+                with fs.open_input_stream(at, compression=None) as f:
+                    for r in _parsed(name, f):
+                        out.add(convert_record(r | refers.get(r["offset"], {})), len(r["payload"]))
+                done.append(out.close())
         yield _wrote(done)
 
-    shared.text_batches(spark)
-    return plan.mapInArrow(run, WROTE)
+    manifest = _committed(spark, plan.mapInArrow(run, WROTE), warc)
+    shared.drop(index, revisits)
+    return manifest
 
 
 READ = "archive string, offset long, record_type string, record_id string, date string, url string, page_id long, payload_bytes long, payload_digest string, refers_to_id string, refers_to long, payload binary"
 
 
-def parse_warc(content: bytes):
-    """(offset, fields, block) of each record."""
+def parse_warc(content):
+    """(offset, fields, block) of each record of bytes or a stream."""
     for offset, data in members(content):
         head, _, rest = data.partition(b"\r\n\r\n")
         version, *lines = head.decode().split("\r\n")
@@ -294,37 +343,32 @@ def parse_warc(content: bytes):
 
 def read_warc(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
     """One row per record of the archives of a folder; digests are recomputed for records that hold their payload."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "content")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
 
-    def run(batches):
-        for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                rows = []
-                for offset, f, block in parse_warc(content.as_py()):
-                    kind = f["WARC-Type"]
-                    size = digest = payload = None
-                    if kind in ("response", "resource"):
-                        payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else block
-                        digest, size = hashlib.sha1(payload), len(payload)
-                        if base32(digest.digest()) != f["WARC-Payload-Digest"]:
-                            raise ValueError(f"{path}: the payload at {offset} doesn't match its digest")
-                        digest = digest.hexdigest()
-                    elif kind == "revisit":
-                        digest, size = base64.b32decode(f["WARC-Payload-Digest"][5:]).hex(), int(f["X-Payload-Length"])
-                    number = lambda k: int(f[k]) if k in f else None  # noqa: B023, E731
-                    rows.append((path.rsplit("/", 1)[1], offset, kind, f["WARC-Record-ID"], f["WARC-Date"], unquote_to_bytes(f["WARC-Target-URI"]).decode() if "WARC-Target-URI" in f else None, number("X-Page-Id"), size, digest, f.get("WARC-Refers-To"), number("X-Refers-To-Page-Id"), payload if payloads else None))
-                yield _batch(rows, READ)
-
-    return files.mapInArrow(run, READ)
-
-
-def archive(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_revisit: int = MIN_REVISIT) -> str:
-    """pages through ARC files into WARC files; returns the folder of the latter."""
+    def read(name, stream):
+        for offset, f, block in parse_warc(stream):
+            kind = f["WARC-Type"]
+            size = digest = payload = None
+            if kind in ("response", "resource"):
+                payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else block
+                digest, size = hashlib.sha1(payload), len(payload)
+                if base32(digest.digest()) != f["WARC-Payload-Digest"]:
+                    raise ValueError(f"{name}: the payload at {offset} doesn't match its digest")
+                digest = digest.hexdigest()
+            elif kind == "revisit":
+                digest, size = base64.b32decode(f["WARC-Payload-Digest"][5:]).hex(), int(f["X-Payload-Length"])
+            number = lambda k: int(f[k]) if k in f else None  # noqa: B023, E731
+            uri = unquote_to_bytes(f["WARC-Target-URI"]).decode() if "WARC-Target-URI" in f else None
+            yield name, offset, kind, f["WARC-Record-ID"], f["WARC-Date"], uri, number("X-Page-Id"), size, digest, f.get("WARC-Refers-To"), number("X-Refers-To-Page-Id"), payload if payloads else None
+
+    return archives(spark, folder, "warc").mapInArrow(lambda batches: _rows(_paths(batches), read, READ, lambda r: 500 + len(r[-1] or b"")), READ)
+
+
+def archive(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_revisit: int = MIN_REVISIT, keep_arc: bool = False) -> str:
+    """pages through ARC files into WARC files; returns the folder of the latter. The ARC files go, unless kept."""
     spark = pages.sparkSession
     arc, warc = shared.fresh(spark, "arc"), shared.fresh(spark, "warc")
-    for folder, manifest in ((arc, lambda: write_arc(pages, arc, page_id, url, html)), (warc, lambda: convert(spark, arc, warc, min_revisit))):
-        fs, path = _fs(folder)
-        fs.create_dir(path, recursive=True)  # it exists even if there is nothing to write
-        shared.written(manifest(), "archives")
+    write_arc(pages, arc, page_id, url, html)
+    convert(spark, arc, warc, min_revisit)
+    if not keep_arc:
+        shared.delete(spark, arc)
     return warc
