@@ -14,11 +14,15 @@ regions with probability (1 - 0.8**4)**32, below 1e-7). Regions of more than ``W
    and what passes on the full sets; then the components are closed.
 
 So no link between different texts of one region is lost, and copies are never expanded into all pairs.
-Components grow by the smallest label over links, with pointer jumping; every round is written to the shared folder.
+Components grow by the smallest label over links, with pointer jumping; every round is written to the shared folder, and tables that are done with are deleted.
+Rows of a wide region are dealt over keys by its size wherever they are joined; blocks have a most number of classes and of bytes.
+
+Sets are compared by 64-bit hashes: a word's is that of its bytes (BLAKE2), a shingle's mixes its words'.
 
 Defined results: words are runs of anything but ASCII white space, A-Z in lower case; with fewer words than a shingle, the whole
 sequence is one; null and empty texts have an empty set, linked with nothing; a row with a null id is linked
-with nothing, has a null component and is kept; rows that share an id count as linked.
+with nothing, has a null component and is kept; rows that share an id are judged each by its own text and aren't linked by the id; repeated rows get equal
+results; texts of any length are taken whole (a set is held by one task); an empty table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -36,14 +40,14 @@ WORDS, SIMILAR = 4, 80
 TREES, DEPTH = 32, 4
 #: Classes of a region beyond which it is cut deeper; classes of a block; neighbours that a class keeps.
 WIDE, BLOCK, NEAREST = 16, 1024, 2
+#: Bytes of a block's hashes; classes of a region for each of the keys over which its rows are dealt; bytes of a generation of a worker's cached words.
+BLOCK_BYTES, SPREAD, CACHE = 8 << 20, 256, 48 << 20
 K = TREES * DEPTH
 _rng = np.random.default_rng(8191)
-_BYTE = _rng.integers(0, 2**64, 256, np.uint64)
-_BASE = np.uint64(int(_rng.integers(0, 2**63)) * 2 + 1)
 _STEP = _rng.integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 _A = _rng.integers(0, 2**63, K, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**64, K, np.uint64)
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_words = shared.TwoGenerations(lambda word: int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little"), CACHE, each=150)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -52,28 +56,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64."""
-    if len(_powers["up"]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, b in (("up", int(_BASE)), ("down", pow(int(_BASE), -1, 2**64))):
-            x = np.full(size, b, np.uint64)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers["up"], _powers["down"]
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z, and ASCII white space
+    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each word, from prefix sums over the bytes."""
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
-    if not len(data):
-        return np.zeros(0, np.uint64)
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    up, down = _power(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)])
-    return _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def _digest(s: np.ndarray) -> bytes | None:
+    """16 bytes that stand for a set."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -99,16 +90,15 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 def sketch(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     """(doc_id, n, same, sig) of each row; same: 16 bytes that stand for the set; sig: the signature, for rows that can be linked."""
-    shared.text_batches(docs.sparkSession)
     source = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
 
     def run(batches):
-        for b in batches:
+        for b in shared.small(batches):
             n, same, sig = [], [], []
             for x in b.column("text").to_pylist():
                 s = shingles(x, words)
                 n.append(len(s))
-                same.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                same.append(_digest(s))
                 sig.append(signature(s).astype(">u4").tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n", "same", "sig"])
 
@@ -116,17 +106,22 @@ def sketch(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """(node, h, low): the whole sets of the documents that are nodes; low: the sorted low halves of the hashes."""
-    source = docs.select(docs[doc_id].cast("long").alias("node"), docs[text].alias("text")).join(nodes, "node", "left_semi")
+    """(node, h, low): the whole sets of the nodes (node, same); low: the sorted low halves of the hashes.
+
+    Nodes grow with the input, so they are merged with the documents at every size, never broadcast; repeated rows go where they meet.
+    """
+    source = docs.select(docs[doc_id].cast("long").alias("node"), docs[text].alias("text")).join(nodes.hint("merge"), "node").distinct()
 
     def run(batches):
-        for b in batches:
-            sets = [np.sort(shingles(x, words).view(np.int64)) for x in b.column("text").to_pylist()]
+        for b in shared.small(batches):
+            sets = [shingles(x, words) for x in b.column("text").to_pylist()]
+            at = [i for i, (s, same) in enumerate(zip(sets, b.column("same").to_pylist(), strict=True)) if _digest(s) == same]  # not another row's of that id
+            sets = [np.sort(sets[i].view(np.int64)) for i in at]
             low = pa.array([np.sort(s.astype(np.uint32)).tobytes() for s in sets], pa.binary())
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))), low], names=["node", "h", "low"])
+            yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(at, pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))), low], names=["node", "h", "low"])
 
-    return source.mapInArrow(run, "node long, h array<long>, low binary").dropDuplicates(["node", "h"])
+    return source.mapInArrow(run, "node long, h array<long>, low binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
@@ -137,18 +132,27 @@ def confirm(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) of all nodes of links (a, b): the smallest node of the component."""
+    """The table (node, label) of all nodes of links (a, b): the smallest node of the component."""
     edges = shared.written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).where("u <> v").distinct(), "edges")
-    labels = shared.written(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label")), "labels")
+    labels = shared.written(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label"), F.lit(True).alias("changed")), "labels")
     while True:
         near = edges.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         hop = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("label").alias("beyond"))
-        new = shared.written(hop.join(jump, "to", "left").select("node", "was", F.least("to", F.coalesce("beyond", "to")).alias("label")), "labels")
-        changed = new.where("label <> was").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
-            return labels
+        label = F.least("to", F.coalesce("beyond", "to"))
+        new = shared.written(hop.join(jump, "to", "left").select("node", label.alias("label"), (label < F.col("was")).alias("changed")), "labels")
+        shared.drop(labels)
+        labels = new
+        if new.where("changed").isEmpty():
+            shared.drop(edges)
+            return new
+
+
+def _by_region(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows (region, m, node, ...) with what a table (region, m, ...) says of their regions; a wide region is dealt over several keys."""
+    keys = lambda m: F.ceil(m / SPREAD)
+    every = table.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), keys(F.col("m")) - 1))).drop("m")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), keys(F.col("m")))).join(every, ["region", "salt"]).drop("salt")
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
@@ -180,39 +184,40 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     nearest = ends.withColumn("k", rank).where(F.col("k") <= NEAREST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # the most central class of each wide region
     w = met.where(wide)
-    common = w.groupBy("region", "rest").agg(F.count("*").alias("c")).groupBy("region").agg(F.max_by("rest", F.struct("c", "rest")).alias("mode"))
-    central = w.join(common, "region").groupBy("node").agg(F.count_if(F.col("rest") == F.col("mode")).alias("core"))
-    hubs = w.join(central, "node").groupBy("region").agg(F.max_by("node", F.struct("core", -F.col("node"))).alias("hub"), F.max_by("n", F.struct("core", -F.col("node"))).alias("nb"))
-    stars = w.select("node", "region", F.col("n").alias("na")).join(hubs, "region").where(alike & (F.col("node") != F.col("hub"))).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    common = w.groupBy("region", "rest").agg(F.count("*").alias("c"), F.max("m").alias("m")).groupBy("region").agg(F.max_by("rest", F.struct("c", "rest")).alias("mode"), F.max("m").alias("m"))
+    central = _by_region(w, common).groupBy("node").agg(F.count_if(F.col("rest") == F.col("mode")).alias("core"))
+    hubs = w.join(central, "node").groupBy("region").agg(F.max_by("node", F.struct("core", -F.col("node"))).alias("hub"), F.max_by("n", F.struct("core", -F.col("node"))).alias("nb"), F.max("m").alias("m"))
+    stars = _by_region(w.select("node", "region", "m", F.col("n").alias("na")), hubs).where(alike & (F.col("node") != F.col("hub"))).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     first = shared.written(nearest.unionAll(stars).distinct(), "pairs")
 
-    sets = shared.written(full_sets(docs, met.select("node").distinct(), doc_id, text, words), "sets")
+    sets = shared.written(full_sets(docs, classes.select("node", "same").join(met.select("node").distinct(), "node", "left_semi"), doc_id, text, words), "sets")
     links = shared.written(confirm(first, sets, similar), "links")
     known = components(links)
 
     # classes of one region in different components
-    placed = met.select("node", "t", "region", "m", "n").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = placed.groupBy("region", "label").agg(F.count("*").alias("c")).groupBy("region").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("c", "label")).alias("main")).where("parts > 1")
-    mixed = placed.join(sizes, "region").select("node", "t", "region", "m", "n", "label", (F.col("label") != F.col("main")).alias("outside"))
-    mixed = shared.written(mixed, "mixed")
+    placed = met.select("node", "t", "region", "m", "n").join(known.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = placed.groupBy("region", "label").agg(F.count("*").alias("c"), F.max("m").alias("m")).groupBy("region").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("c", "label")).alias("main"), F.max("m").alias("m")).where("parts > 1")
+    mixed = _by_region(placed, sizes.drop("parts")).select("node", "t", "region", "m", "n", "label", (F.col("label") != F.col("main")).alias("outside"))
+    signed = shared.written(mixed.join(classes.select("node", "sig"), "node"), "mixed")
 
     def meet(rows: DataFrame, *columns: str) -> DataFrame:
-        """Each block of outside classes beside each block of its region, a row of its own."""
-        chunks = F.ceil(F.col("m") / BLOCK)
-        chunk, every = F.pmod(F.xxhash64("node"), chunks).alias("chunk"), F.max(chunks).alias("chunks")
+        """Each block of outside classes beside each block of its region, a row of its own. chunks: the region's number of blocks."""
+        chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk")
         row = F.struct("node", "n", "label", *columns)
-        packed = lambda df, p: df.groupBy("region", "t", chunk).agg(F.collect_list(row).alias(p), every).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        packed = lambda df, p: df.groupBy("region", "t", "chunks", chunk).agg(F.collect_list(row).alias(p)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         outer = packed(rows.where("outside"), "p").select("region", "t", F.col("chunk").alias("cp"), F.col("other").alias("cq"), "p")
         inner = packed(rows, "q").select("region", F.col("other").alias("cp"), F.col("chunk").alias("cq"), "q")
         return outer.join(inner, ["region", "cp", "cq"]).select("region", "t", "p", "q")
 
-    signed = mixed.join(classes.select("node", "sig"), "node")
     # signatures first: low halves are only sent for classes that have a partner in that region, full sets for pairs that then pass
-    asked = shared.written(meet(signed, "sig").mapInArrow(_compare(similar, False), "region long, node long").distinct(), "asked")
-    likely = meet(signed.join(asked, ["region", "node"]).join(sets.select("node", "low"), "node"), "sig", "low").mapInArrow(_compare(similar, True), "a long, b long")
-    label = components(links.unionAll(confirm(shared.written(likely, "likely"), sets, similar)))
-
-    ids = classes.select("same", "node").join(label, "node", "left").select("same", F.coalesce("label", "node").alias("component_id"))
+    asked = shared.written(meet(signed.withColumn("chunks", F.ceil(F.col("m") / BLOCK)), "sig").mapInArrow(_compare(similar, False), "region long, node long").distinct(), "asked")
+    left = signed.join(asked, ["region", "node"])
+    blocks = left.groupBy("region").agg(F.max("m").alias("m"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(4 * F.sum("n") / BLOCK_BYTES)).alias("chunks"))
+    likely = shared.written(meet(_by_region(left, blocks).join(sets.select("node", "low"), "node"), "sig", "low").mapInArrow(_compare(similar, True), "a long, b long"), "likely")
+    label = components(links.unionAll(confirm(likely, sets, similar)))
+    shared.drop(met, first, sets, links, known, signed, asked, likely)
+
+    ids = classes.select("same", "node").join(label.select("node", "label"), "node", "left").select("same", F.coalesce("label", "node").alias("component_id"))
     out = usable.select("doc_id", "n", "same").join(ids, "same").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = sk.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionAll(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
