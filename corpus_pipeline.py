@@ -15,24 +15,31 @@ from tokenloom.llm import bpe_codec, decontaminate, near_dedup, shared, toxicity
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity reaches the threshold go; the scores are learned from sf_dir's labels."""
     model = toxicity.fit(toxicity.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return toxicity.score(docs, model, name="__toxic").where(F.col("__toxic") < toxicity.THRESHOLD).select(*docs.columns)
+    (name,) = shared.free(docs.columns, "toxic_score")
+    return toxicity.score(docs, model, name=name).where(F.col(name) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; of repeated rows of that id, one."""
-    kept = near_dedup.near_groups(docs).where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
-    stay = docs.join(shared.written(kept, "kept"), F.col("doc_id") == F.col("__id"))
-    first = F.row_number().over(Window.partitionBy("__id").orderBy("text"))
-    again = stay.where("__n > 1").withColumn("__k", first).where("__k = 1")
-    return stay.where("__n = 1").select(*docs.columns).unionAll(again.select(*docs.columns)).unionAll(docs.where("doc_id IS NULL"))
+    """Of each group of near-duplicates the document with the smallest id stays.
+
+    An id stays if one of its rows does; of rows that share it, the one with the smallest text. Rows without an id stay. The ids
+    grow with the input, so they are merged with the documents at every size, never broadcast; documents are exchanged once.
+    """
+    gone, nth = shared.free(docs.columns, "id_gone", "nth")
+    going = near_dedup.near_groups(docs).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(gone)).agg(F.max("kept").alias("stays")).where("NOT stays")
+    going = shared.written(going.select(gone), "going")
+    named = docs.where("doc_id IS NOT NULL").join(going.hint("merge"), F.col("doc_id") == F.col(gone), "left_anti")
+    first = named.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(nth) == 1)
+    return first.select(*docs.columns).unionAll(docs.where("doc_id IS NULL"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    keyed = docs.withColumn("__of", F.md5("text"))
-    hits = decontaminate.contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ["doc_id", "__of"])
-    leaks = shared.written(hits.select(F.col("doc_id").alias("__id"), F.col("__of").alias("__hit")).distinct(), "leaks")
-    return keyed.join(leaks, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__of").eqNullSafe(F.col("__hit")), "left_anti").select(*docs.columns)
+    of, c_id, c_hit = shared.free(docs.columns, "text_md5", "leak_id", "leak_md5")
+    keyed = docs.withColumn(of, F.md5("text"))
+    hits = decontaminate.contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ["doc_id", of])
+    leaks = shared.written(hits.select(F.col("doc_id").alias(c_id), F.col(of).alias(c_hit)).distinct(), "leaks")
+    return keyed.join(leaks, F.col("doc_id").eqNullSafe(F.col(c_id)) & F.col(of).eqNullSafe(F.col(c_hit)), "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
