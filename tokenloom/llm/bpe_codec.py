@@ -183,6 +183,9 @@ class TreeBpe:
 _codecs: dict[tuple, TreeBpe] = {}
 
 
+shared.caches("bpe_codec", _codecs.clear)
+
+
 def codec(name: str = TOKENIZER) -> TreeBpe:
     """This worker's codec, with the words it has seen."""
     if name not in _codecs:
@@ -195,6 +198,7 @@ def encode(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, keep
 
     keep: the columns to pass through (all by default).
     """
+    shared.text_batches(docs.sparkSession)
     new = [("n_tokens", T.LongType())] + ([("ids", T.ArrayType(T.IntegerType(), False)), ("decoded", T.StringType())] if ids else []) + [("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     names = {n for n, _ in new}
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
@@ -203,6 +207,7 @@ def encode(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, keep
     schema = T.StructType([source.schema[c] for c in keep] + [T.StructField(n, t, True) for n, t in new])
 
     def run(batches):
+        shared.only("bpe_codec")
         c = codec(tokenizer)
         for b in shared.small(batches):
             rows = [c.parts(x) for x in b.column(body).to_pylist()]

@@ -160,6 +160,7 @@ def _resolve(k: int, lists: int):
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, vec_id: str = "vec_id", embedding: str = "embedding", lists: int = LISTS, candidates: int = CANDIDATES, query_rows: int = QUERIES) -> DataFrame:
     """(query_id, rank from 1, vec_id, score) of each query's k best candidates."""
+    shared.text_batches(vectors.sparkSession)
     wanted = _usable(queries, vec_id, embedding).groupBy("id").agg(F.min("v").alias("v"))
     q = shared.written(_pack(wanted.select("id", "v"), query_rows, scale), "topk-queries")
     c = shared.written(_pack(_usable(vectors, vec_id, embedding), candidates, scale), "topk-candidates")

@@ -49,6 +49,8 @@ _A = _rng.integers(0, 2**63, K, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**64, K, np.uint64)
 _words = shared.TwoGenerations(lambda word: int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little"), CACHE, each=150)
 
+shared.caches("near_dedup", _words.forget)
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -90,9 +92,11 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 def sketch(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     """(doc_id, n, same, sig) of each row; same: 16 bytes that stand for the set; sig: the signature, for rows that can be linked."""
+    shared.text_batches(docs.sparkSession)
     source = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
 
     def run(batches):
+        shared.only("near_dedup")
         for b in shared.small(batches):
             n, same, sig = [], [], []
             for x in b.column("text").to_pylist():
@@ -113,6 +117,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, words:
     source = docs.select(docs[doc_id].cast("long").alias("node"), docs[text].alias("text")).join(nodes.hint("merge"), "node").distinct()
 
     def run(batches):
+        shared.only("near_dedup")
         for b in shared.small(batches):
             sets = [shingles(x, words) for x in b.column("text").to_pylist()]
             at = [i for i, (s, same) in enumerate(zip(sets, b.column("same").to_pylist(), strict=True)) if _digest(s) == same]  # not another row's of that id

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows taken from an Arrow batch at a time: 256 texts of 100 kB are 25 MB.
 TEXT_BATCH = 256
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -75,8 +78,16 @@ def free(columns, *names: str) -> list[str]:
     return out
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches at ``BATCH_BYTES``: a task holds a few of them, on both sides, beside its own work."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    most = re.fullmatch(r"(\d+)([bkmg]?)b?", spark.conf.get(key).lower())
+    if most is None or int(most[1]) * 1024 ** "bkmg".index(most[2] or "b") > BATCH_BYTES or int(most[1]) == 0:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def small(batches):
-    """Arrow batches in pieces of few rows: what Python objects are made of at a time. Spark bounds the batches themselves in bytes."""
+    """Arrow batches in pieces of few rows: what Python objects are made of at a time."""
     for b in batches:
         for k in range(0, b.num_rows, TEXT_BATCH):
             yield b.slice(k, TEXT_BATCH)
@@ -91,6 +102,25 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: What drops the caches of each operator in a worker process, and the operator that works in it.
+_droppers: dict = {}
+_working: list = [None]
+
+
+def caches(operator: str, drop) -> None:
+    """Registers drop(), which lets go of what the operator keeps in a worker process between tasks."""
+    _droppers[operator] = drop
+
+
+def only(operator: str) -> None:
+    """Called in a worker by an operator that begins: workers are reused, and the caches of others would stay beside its own."""
+    if _working[0] != operator:
+        _working[0] = operator
+        for other, drop in _droppers.items():
+            if other != operator:
+                drop()
+
+
 class TwoGenerations(dict):
     """A cache bounded in bytes: when a generation is full it becomes the old one, whose hits move back in.
 
@@ -101,6 +131,10 @@ class TwoGenerations(dict):
         super().__init__()
         self.make, self.most, self.longest, self.each, self.held, self.old = make, most, longest, each, 0, {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.held, self.old = 0, {}
+
     def __missing__(self, key):
         if len(key) > self.longest:
             return self.make(key)

@@ -300,6 +300,9 @@ class PrefixCounter:
 _counters: dict[str, PrefixCounter] = {}
 
 
+shared.caches("token_counts", _counters.clear)
+
+
 def counter(name: str = MODEL) -> PrefixCounter:
     if name not in _counters:
         _counters[name] = PrefixCounter(name)
@@ -311,6 +314,7 @@ def count_tokens(docs: DataFrame, text: str = "text", model: str = MODEL, limit:
 
     words: also ``word_ends`` and ``word_tokens``, the ends of the words and the count of the text up to each.
     """
+    shared.text_batches(docs.sparkSession)
     new = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]
     if limit is not None:
         new += [T.StructField("over_limit", T.BooleanType()), T.StructField("fits_chars", T.LongType())]
@@ -322,6 +326,7 @@ def count_tokens(docs: DataFrame, text: str = "text", model: str = MODEL, limit:
     source = docs.select(*[docs[c] for c in keep], docs[text].alias(body))
 
     def run(batches):
+        shared.only("token_counts")
         c = counter(model)
         for b in shared.small(batches):
             texts = b.column(body).to_pylist()

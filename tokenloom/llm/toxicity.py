@@ -193,6 +193,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, located: bool = False, name: str = "score") -> DataFrame:
     """docs with ``score`` (or another name); located: also ``offending``, the spans of the offending sentences of documents over the threshold."""
     spark = docs.sparkSession
+    shared.text_batches(spark)
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())]))
     new = [T.StructField(name, T.DoubleType())] + ([T.StructField("offending", spans)] if located else [])
     keep = [c for c in (docs.columns if keep is None else keep) if c not in {f.name for f in new}]
@@ -202,6 +203,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
     def run(batches):
+        shared.only("toxicity")
         m = sent.value
         for b in shared.small(batches):
             texts = b.column(body).to_pylist()
