@@ -1,5 +1,7 @@
 """The library's own operators: hand-made rows, and each query beside its SQL."""
 
+import math
+
 import duckdb
 import numpy as np
 import pytest
@@ -10,6 +12,7 @@ from tokenloom.functions import tokens as K
 from tokenloom.operators import aggregates as A
 from tokenloom.operators import metrics as M
 from tokenloom.operators import relational as R
+from tokenloom.operators import vectors as V
 from tokenloom.plans import catalog
 from tokenloom.sources import sinks
 from tokenloom.sources import text as S
@@ -60,6 +63,140 @@ def test_lookup_fails_on_repeated_keys(spark):
         R.lookup(spark.range(2).withColumnRenamed("id", "k"), spark.createDataFrame([(0, "a"), (0, "b")], "k long, x string"), "k").collect()
 
 
+def test_lookup_of_missing_keys(spark):
+    left, right = spark.range(3).withColumnRenamed("id", "k"), spark.createDataFrame([(0, "a"), (1, "b")], "k long, x string")
+    with pytest.raises(Exception, match="no k: 2"):
+        R.lookup(left, right, "k").collect()
+    assert sorted(map(tuple, R.lookup(left, right, "k", "drop").collect())) == [(0, "a"), (1, "b")]
+    assert sorted(map(tuple, R.lookup(left, right, "k", "null").collect()), key=repr) == [(0, "a"), (1, "b"), (2, None)]
+
+
+def test_ranks_and_plain_folds(spark):
+    for n in (0, 1, 2, 7, 500):
+        df = spark.range(n).select((F.col("id") * 7919 % 100_003).alias("x"), (F.col("id") % 3).alias("g"))
+        xs = sorted(i * 7919 % 100_003 for i in range(n))
+        assert sorted((r.x, r.k, r.k_of) for r in R.ranks(df, "x", "k").collect()) == [(x, i + 1, n) for i, x in enumerate(xs)]
+        got = sorted((r.x, r.fold) for r in R.plain_fold(df, "x").collect())
+        assert got == [(x, int(k)) for x, k in zip(xs, np.concatenate([np.full(len(c), i) for i, c in enumerate(np.array_split(xs, 3))]), strict=True)]
+        for g in range(3):
+            own = sorted((r.x, r.k) for r in R.ranks(df, "x", "k", ["g"]).where(F.col("g") == g).collect())
+            assert [k for _, k in own] == list(range(1, len(own) + 1))
+
+
+def test_caps_leave_other_labels_whole(spark):
+    df = spark.createDataFrame([(i, [None, "a", "b"][i % 3]) for i in range(30)], "id int, l string")
+    got = R.cap_per_label(df, "l", [F.col("id")], 2, ["a"]).groupBy("l").agg(F.count("*"), F.max("id")).collect()
+    assert sorted(map(tuple, got), key=repr) == [("a", 2, 4), ("b", 10, 29), (None, 10, 27)]
+
+
+def test_maps_keep_the_last(spark):
+    m = F.create_map(*map(F.lit, ["a", 1, "b", 2, "c", 1]))
+    other = F.create_map(*map(F.lit, ["b", 9, "d", 3]))
+    r = one(spark, i=K.inverted(m), m=K.merged(m, other), e=K.inverted(F.expr("cast(map() as map<string,int>)")))
+    assert (r["i"], r["m"], r["e"]) == ({1: "c", 2: "b"}, {"a": 1, "b": 9, "c": 1, "d": 3}, {})
+
+
+def test_scaling_keeps_its_moments(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0), (None, 1.0), (None, 2.0), ("a", None)], "g string, v double")
+    z = {(r.g, r.v): r.z for r in A.zscore(df, "v", "g").collect()}
+    assert z["a", 1.0] == pytest.approx(-(2**-0.5)) and z["b", 5.0] is None and z[None, 2.0] == pytest.approx(2**-0.5) and z["a", None] is None
+    kept = A.moments(df, "v", "g")
+    assert A.rescaled(spark.createDataFrame([("a", 4.0)], "g string, v double"), kept, "v", "g", flip=True).first()["z"] == pytest.approx(-(2**0.5))
+
+
+def test_columns_from_values_that_occur(spark):
+    df = spark.createDataFrame([(1, "x", 2.0), (1, "x", 4.0), (2, "new", 1.0), (2, None, 9.0)], "k int, l string, v double")
+    assert A.wide_mean(df, ["k"], F.col("l"), "v").orderBy("k").collect() == [(1, None, 3.0), (2, 1.0, None)]
+    assert A.marks(df, ["k"], "l").columns == ["k", "new", "x"] and [r["x"] for r in A.marks(df, ["k"], "l").collect()] == ["x", "x", "", ""]
+    with pytest.raises(ValueError, match="more than"):
+        A.levels(df, F.col("l"), 1)
+
+
+def test_neighbours_at_distance_zero(spark):
+    near = spark.createDataFrame([(1, 0.0, 7), (1, 0.0, 5), (1, 4.0, 1), (1, 4.0, 1), (1, 4.0, 1), (2, 1.0, 3), (2, 4.0, 9), (2, 4.0, 9)], "q int, dist double, label int")
+    assert sorted(map(tuple, V.means(near, "q", "label").collect())) == [(1, 6.0), (2, 6.0)]
+    assert sorted(map(tuple, V.votes(near, [], "q", "label").collect())) == [(1, 1), (2, 9)]
+    assert sorted(map(tuple, V.votes(near, [], "q", "label", "distance").collect())) == [(1, 5), (2, 3)]
+
+
+def test_principal_components_match_numpy(spark):
+    ids, x = vectors(spark)
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    values, axes = np.linalg.eigh(np.cov(z.T))
+    axes = axes[:, ::-1][:, :2]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(0), [0, 1]])
+    got = {r.vec_id: (r.pc1, r.pc2) for r in catalog.queries()["pca2"](spark, SF).collect()}
+    assert np.abs(np.array([got[i] for i in ids]) - z @ axes).max() < 1e-6
+    shares = [r.share for r in catalog.queries()["pca_variance"](spark, SF).orderBy("component").collect()]
+    assert shares == pytest.approx(list(values[::-1][:2] / values.sum()))
+
+
+def test_linear_svc_separates(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(a) for a in rng.normal(size=4)]) for i in range(200)]
+    df = spark.createDataFrame([(i, v, 0 if v[0] + v[1] > 0 else 9) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    out = catalog.linear_svc(df).collect()
+    assert np.mean([r.label == r.prediction for r in out]) > 0.95
+
+
+def test_signed_rank_test_on_hand_made_pairs(spark):
+    rows = [(1, 125.0, 110.0), (1, 115.0, 122.0), (1, 130.0, 125.0), (1, 140.0, 120.0), (1, 140.0, 140.0), (1, 115.0, 124.0), (1, 140.0, 123.0), (1, 125.0, 137.0), (1, 140.0, 135.0), (1, 135.0, 145.0), (2, 1.0, 1.0)]
+    got = {r.g: r for r in M.signed_rank_test(spark.createDataFrame(rows, "g int, a double, b double"), "a", "b", ["g"]).collect()}
+    r = got[1]
+    z = (27 - 22.5) / (9 * 10 * 19 / 24 - 6 / 48) ** 0.5  # differences of 5 are tied
+    above = math.erfc(z / 2**0.5) / 2
+    assert (r.n, r.w_plus, r.statistic, r.wins, r.total) == (9, 27.0, 18.0, 5, 24.0)
+    assert (r.p_two_sided, r.p_less, r.p_greater) == pytest.approx((2 * above, 1 - above, above), abs=1e-6)
+    assert (got[2].n, got[2].p_two_sided, got[2].wins) == (0, 1.0, 0)
+
+
+def test_spread_fills_the_cores_and_leaves_full_tables(spark):
+    cores = spark.sparkContext.defaultParallelism
+    held = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    assert held(d) < cores and held(S.spread(d)) == cores and S.spread(d).count() == d.count()
+    full = spark.range(0, 100, 1, cores)
+    assert S.spread(full) is full
+
+
+def test_reports_labels_and_folders(spark, tmp_path):
+    r = one(spark, e=S.estimator_report(F.lit("KNN\n{'n_neighbors': 5,\n 'weights': 'distance', 'C': 0.1}\n")))["e"]
+    assert (r["estimator"], r["params"]) == ("KNN", {"n_neighbors": "5", "weights": "distance", "C": "0.1"})
+    with pytest.raises(Exception, match="not a report"):
+        one(spark, e=S.estimator_report(F.lit("KNN\n[1, 2")))
+    table = "SVC  precision  recall\n\n0  0.5  0.25  0.33  4\n1  0.75  0.9  0.8  6\naccuracy  0.7  10\nmacro avg  0.6  0.5  0.55  10\nweighted avg  0.65  0.7  0.66  10\n"
+    t = one(spark, t=S.report_table(F.lit(table)))["t"]
+    assert (t["estimator"], t["0p"], t["1f"], t["accuracy"], t["recall"], t["wf"]) == ("SVC", 0.5, 0.8, 0.7, 0.5, 0.66)
+    with pytest.raises(Exception, match="no cell"):
+        one(spark, t=S.report_table(F.lit("SVC  a")))
+    (tmp_path / "labels.txt").write_text("1.5\n0\n\n2\n")
+    assert sorted(map(tuple, S.label_vector(spark, str(tmp_path / "labels.txt")).collect())) == [(0, 1.5), (1, 0.0), (2, 2.0)]
+    for name in ("seed_1/a_norm.json", "seed_2/b_norm.json", "other/c.json"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text('{"x": 1,\n "y": 2}')
+    assert sorted(r.name for r in S.named_files(spark, str(tmp_path), "*_norm.json").collect()) == ["a_norm", "b_norm"]
+    assert [r.name for r in S.named_files(spark, str(tmp_path), holding="seed_2").collect()] == ["b_norm"]
+    assert sorted(map(tuple, S.json_maps(spark, str(tmp_path), "int").where("name = 'c'").collect())) == [("c", "x", 1), ("c", "y", 2)]
+
+
+def test_sinks_append_cache_and_round_trip(spark, tmp_path):
+    at = lambda n: str(tmp_path / n)
+    for run in (1, 2):
+        sinks.scores(spark.createDataFrame([(run, 0.5)], "run int, roc double"), at("scores"))
+    assert sorted(r.run for r in S.csv(spark, at("scores"), "run int, roc double").collect()) == [1, 2]
+    made = []
+    compute = lambda: made.append(1) or spark.range(3)
+    assert [sinks.cached(spark, at("cache"), compute, task="a", k=k).count() for k in (1, 1, 2)] == [3, 3, 3] and len(made) == 2
+    vocab = catalog.queries()["vocab_ids"](spark, SF)
+    sinks.save_vocabulary(vocab, at("vocab"))
+    assert sorted(map(tuple, sinks.load_vocabulary(spark, at("vocab")).collect())) == sorted(map(tuple, vocab.select("id", "token", "cnt").collect()))
+    split = catalog.queries()["train_val_split"](spark, SF).withColumn("tokenizer", F.lit("atom"))
+    sinks.partitioned(split, at("split"), "tokenizer", "split")
+    assert spark.read.parquet(at("split")).where("tokenizer = 'atom' AND split = 'val'").count() == 100
+    sinks.maps(spark.createDataFrame([("m", {"a": [1, 2]})], "k string, v map<string,array<int>>"), at("json"))
+    assert spark.read.schema("k string, v map<string,array<int>>").json(at("json")).first()["v"] == {"a": [1, 2]}
+
+
 def test_keep_first_and_folds(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None)], "id int, k string")
     assert sorted(r["id"] for r in R.keep_first(df, ["k"], [F.col("id")]).collect()) == [1, 3]

@@ -78,6 +78,22 @@ def leading_symbol(token: Column) -> Column:
     return F.substring(F.upper(F.ltrim(token, F.lit("["))), 1, 1)
 
 
+def _last_of_each(entries: Column, name: str) -> Column:
+    """Entries whose field doesn't come again; for maps of some hundreds of entries."""
+    keys = F.transform(entries, lambda e: e[name])
+    return F.filter(entries, lambda e, i: i == F.size(keys) - F.array_position(F.reverse(keys), e[name]))
+
+
 def inverted(pairs: Column) -> Column:
-    """map value -> key."""
-    return F.map_from_entries(F.transform(F.map_entries(pairs), lambda e: F.struct(e["value"], e["key"])))
+    """map value -> key; of keys with equal values the last one of the map stays."""
+    return F.map_from_entries(F.transform(_last_of_each(F.map_entries(pairs), "value"), lambda e: F.struct(e["value"], e["key"])))
+
+
+def merged(first: Column, second: Column) -> Column:
+    """One map of both; the second's entries win."""
+    return F.map_from_entries(_last_of_each(F.concat(F.map_entries(first), F.map_entries(second)), "key"))
+
+
+def decode_label(target: Column, one_first: Column) -> Column:
+    """Class of a target id: ids begin at 4, and the dictionary holds "1" before "0" or after it."""
+    return F.when(one_first, 5 - target).otherwise(target - 4)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +19,32 @@ def histogram(df: DataFrame, value: str, edges_of: DataFrame, edges_value: str,
     return all_bins.join(counts, "bin", "left").select("bin", F.coalesce("cnt", F.lit(0)).alias("cnt"))
 
 
-def zscore(value: str, *by: str) -> Column:
-    """(x - mean) / sample deviation within the groups; null where the deviation is 0 or undefined."""
-    w = Window.partitionBy(*by)
-    return (F.col(value) - F.avg(value).over(w)) / F.nullif(F.stddev_samp(value).over(w), F.lit(0.0))
+def moments(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """(by, mean, sd): kept beside the data, so that other rows can be put on the same scale later."""
+    return df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+
+
+def rescaled(df: DataFrame, kept: DataFrame, value: str, *by: str, flip: bool = False) -> DataFrame:
+    """df with ``z``: (x - mean) / deviation by a table of moments; flip: with the sign turned, for errors. Null where the deviation is 0 or undefined.
+
+    Groups' moments are summed before the exchange and joined, so a large group isn't one task.
+    """
+    k = kept.select(*[F.col(b).alias(f"__{b}") for b in by], "mean", "sd")
+    z = (F.col(value) - F.col("mean")) / F.nullif(F.col("sd"), F.lit(0.0))
+    match = reduce(lambda a, b: a & b, [df[b].eqNullSafe(F.col(f"__{b}")) for b in by])
+    return df.join(k, match, "left").withColumn("z", -z if flip else z).drop("mean", "sd", *[f"__{b}" for b in by])
+
+
+def zscore(df: DataFrame, value: str, *by: str, flip: bool = False) -> DataFrame:
+    return rescaled(df, moments(df, value, *by), value, *by, flip=flip)
+
+
+def levels(df: DataFrame, level: Column, most: int = 10_000) -> list:
+    """The distinct values of a column that becomes column names; more than ``most`` are an error."""
+    found = [r[0] for r in df.select(level.alias("x")).where("x IS NOT NULL").distinct().orderBy("x").limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} values for columns")
+    return found
 
 
 def best(df: DataFrame, by: list[str], value: str, order: list[Column], largest: bool = True) -> DataFrame:
@@ -37,6 +61,11 @@ def nonzero_mean(value: Column) -> Column:
     return F.coalesce(F.sum(value) / F.nullif(F.count_if(value != 0), F.lit(0)), F.lit(0.0))
 
 
-def wide_mean(df: DataFrame, by: list[str], levels: Column, names: list[str], value: str) -> DataFrame:
-    """Pivot of means with stated columns: one pass, no look-up of the distinct values."""
-    return df.groupBy(*by).agg(*[F.avg(F.when(levels == n, F.col(value))).alias(n) for n in names])
+def wide_mean(df: DataFrame, by: list[str], level: Column, value: str, names: list[str] | None = None) -> DataFrame:
+    """Pivot of means: a column for each value of level, those that occur unless stated; one pass beside their look-up."""
+    return df.groupBy(*by).agg(*[F.avg(F.when(level == n, F.col(value))).alias(n) for n in (levels(df, level) if names is None else names)])
+
+
+def marks(df: DataFrame, keep: list[str], level: str) -> DataFrame:
+    """keep, and a column for each value of level that occurs: "x" in the rows that have it, "" in others."""
+    return df.select(*keep, *[F.when(F.col(level) == v, "x").otherwise("").alias(str(v)) for v in levels(df, F.col(level))])

@@ -69,6 +69,48 @@ def signed_ranks(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     return r.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("n") - F.col("up"))).alias("w_minus"))
 
 
+#: erfc(x) for x >= 0 as a polynomial in 1 / (1 + p x), times exp(-x * x), to 1.5e-7 (Abramowitz and Stegun 7.1.26; fixed values).
+ERFC = (0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429))
+
+
+def normal_above(z: Column) -> Column:
+    """The share of a standard normal distribution above z."""
+    x = F.abs(z) / 2**0.5
+    t = 1 / (1 + ERFC[0] * x)
+    poly = F.lit(0.0)
+    for a in reversed(ERFC[1]):
+        poly = (poly + a) * t
+    half = poly * F.exp(-x * x) / 2
+    return F.when(z >= 0, half).otherwise(1 - half)
+
+
+def signed_rank_test(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
+    """(by, n, w_plus, statistic, p_two_sided, p_less, p_greater, wins, total): paired signed ranks of a - b.
+
+    Zeros are dropped (and count neither as wins nor in n); statistic: the lesser rank sum; p by the normal
+    approximation with the correction for ties, 1 where nothing is left or all of it is tied to nothing; wins: pairs with a > b; total: the sum of a - b.
+    """
+    d = df.withColumn("__d", F.col(a) - F.col(b)).where("__d IS NOT NULL")
+    whole = d.groupBy(*by).agg(F.count_if(F.col("__d") > 0).alias("wins"), F.sum("__d").alias("total"))
+    ties = d.where("__d <> 0").groupBy(*by, F.abs("__d").alias("__m")).agg(F.count("*").alias("t"))
+    ties = ties.groupBy(*by).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    r = whole.join(signed_ranks(df, a, b, by), by, "left").join(ties, by, "left")
+    n, w = F.coalesce("n", F.lit(0)), F.coalesce("w_plus", F.lit(0.0))
+    sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.coalesce("ties", F.lit(0)) / 48)
+    z = F.coalesce((w - n * (n + 1) / 4) / F.nullif(sd, F.lit(0.0)), F.lit(0.0))
+    p = lambda c: F.when(n == 0, F.lit(1.0)).otherwise(c)
+    return r.select(*by, n.alias("n"), w.alias("w_plus"), F.least(w, F.coalesce("w_minus", F.lit(0.0))).alias("statistic"), p(2 * normal_above(F.abs(z))).alias("p_two_sided"), p(normal_above(-z)).alias("p_less"), p(normal_above(z)).alias("p_greater"), "wins", "total")
+
+
+def full_report(df: DataFrame, label: str, predicted: str) -> DataFrame:
+    """``report`` with its averages: classes as text, then "macro avg" (plain means) and "weighted avg" (by support)."""
+    r = report(df, label, predicted)
+    names = ("precision", "recall", "f1")
+    macro = r.agg(F.lit("macro avg").alias("class"), *[F.avg(c).alias(c) for c in names], F.sum("support").alias("support"))
+    weighted = r.agg(F.lit("weighted avg").alias("class"), *[(F.sum(F.col(c) * F.col("support")) / F.nullif(F.sum("support"), F.lit(0))).alias(c) for c in names], F.sum("support").alias("support"))
+    return r.withColumn("class", F.col("class").cast("string")).unionByName(macro).unionByName(weighted)
+
+
 def wilcoxon_p(n: int, w: float) -> float:
     """Two-sided normal approximation, without corrections."""
     import math

@@ -19,12 +19,42 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 
 
 def cap_per_label(df: DataFrame, label: str, order: list[Column], limit: int, capped: list[str] | None = None) -> DataFrame:
-    """At most limit rows of each label (of the labels given, if any), in order; others stay whole."""
+    """At most limit rows of each label (of the labels given, if any), in order; others stay whole and unsorted."""
     rank = F.row_number().over(Window.partitionBy(label).orderBy(*order))
-    keep = F.col("__k") <= limit
-    if capped is not None:
-        keep = keep | ~F.coalesce(F.col(label).isin(capped), F.lit(False))
-    return df.withColumn("__k", rank).where(keep).drop("__k")
+    first = lambda rows: rows.withColumn("__k", rank).where(F.col("__k") <= limit).drop("__k")  # noqa: E731  limited before the exchange
+    if capped is None:
+        return first(df)
+    named = F.coalesce(F.col(label).isin(capped), F.lit(False))
+    return first(df.where(named)).unionAll(df.where(~named))
+
+
+def ranks(df: DataFrame, by: str, name: str, within: list[str] = (), ranges: int = 64) -> DataFrame:
+    """Adds the rank from 1 by a numeric column of distinct values (within the groups, if any), and ``<name>_of``, the number of rows ranked.
+
+    The order is cut into ranges by a sketch of the quantiles; a rank is the rows of the ranges before plus the place in
+    one's own, so no task sorts a whole table or group.
+    """
+    cuts = df.agg(F.percentile_approx(by, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 1000).alias("__c"))
+    r = df.join(F.broadcast(cuts), how="cross").withColumn("__b", F.size(F.filter("__c", lambda c: c < F.col(by)))).drop("__c")  # one row
+    n = r.groupBy(*within, "__b").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*within)
+    n = n.select(*within, "__b", F.coalesce(F.sum("__n").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__a"), F.sum("__n").over(w).alias(f"{name}_of"))
+    own = F.row_number().over(Window.partitionBy(*within, "__b").orderBy(by))
+    return r.join(n, [*within, "__b"]).withColumn(name, (F.col("__a") + own).cast("long")).drop("__a", "__b")
+
+
+def plain_fold(df: DataFrame, by: str, folds: int = 3) -> DataFrame:
+    """Adds ``fold``: consecutive parts of the order, the first ones longer by one row where the rows don't divide."""
+    r = ranks(df, by, "__k")
+    size, longer = F.floor(F.col("__k_of") / folds), F.col("__k_of") % folds
+    at = F.col("__k") - 1
+    fold = F.when(at < longer * (size + 1), F.floor(at / (size + 1))).otherwise(longer + F.floor((at - longer * (size + 1)) / F.greatest(size, F.lit(1))))
+    return r.withColumn("fold", fold.cast("int")).drop("__k", "__k_of")
+
+
+def predefined_fold(parts: dict[int, DataFrame]) -> DataFrame:
+    """Union of frames with ``fold``: the number each was given, -1 for rows that are always trained on."""
+    return reduce(lambda a, b: a.unionByName(b), [df.withColumn("fold", F.lit(k)) for k, df in parts.items()])
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -56,8 +86,17 @@ def group_fold(seed: int, group: Column, folds: int = 3) -> Column:
     return F.conv(F.substring(seeded(seed, group), 1, 8), 16, 10).cast("long") % folds
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Inner join with a table whose key is unique; a key that isn't fails when it is met."""
+def lookup(left: DataFrame, right: DataFrame, key: str, missing: str = "raise") -> DataFrame:
+    """Each row of left with the row of its key in a table whose key is unique; a key that isn't fails when it is met.
+
+    missing: what a row without one does: "raise" fails when it is met, "drop" leaves it out, "null" keeps it.
+    """
     n = F.count("*").over(Window.partitionBy(key))
     right = right.withColumn("__n", n).withColumn(key, F.when(F.col("__n") == 1, F.col(key)).otherwise(F.raise_error(F.concat(F.lit(f"{key} isn't unique: "), F.col(key).cast("string"))).cast(right.schema[key].dataType))).drop("__n")
-    return left.join(right, key)
+    if missing == "drop":
+        return left.join(right, key)
+    joined = left.join(right.withColumn("__hit", F.lit(True)), key, "left")
+    if missing == "raise":
+        found = F.when(F.col("__hit"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit(f"no {key}: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(left.schema[key].dataType))
+        joined = joined.withColumn(key, found)
+    return joined.drop("__hit")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,7 +46,8 @@ def r6(c):
     return F.round(c, 6)
 
 
-ATOMS_SQL = r"'(<unk>|\[[^\]]+]|Br?|Cl?|N|O|S|P|F|I|b|c|n|o|s|p|\(|\)|\.|=|#|-|\+|\\|\/|:|~|@|\?|>>?|\*|\$|\%[0-9]{2}|[0-9])'"
+ATOMS_SQL = f"'{K.ATOM_PATTERN}'"
+SPECIALS_SQL = ", ".join(f"'{s}'" for s in K.SPECIALS)
 TOKENS_SQL = f"list_filter(string_split(regexp_replace(text, {ATOMS_SQL}, chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
 
 # -- scans, filters, projections
@@ -193,7 +195,7 @@ def star_lookup_join(li, p, s):
 
 @query("documents", sql="""WITH a AS (SELECT doc_id, unnest(range(len(w)))::INTEGER AS pos, unnest(w) AS word FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)),
 b AS (SELECT doc_id, unnest(range(len(w)))::INTEGER AS pos, unnest(list_transform(w, lambda x: length(x))) AS n FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))
-SELECT doc_id, pos, word, n FROM a JOIN b USING (doc_id, pos) WHERE pos < 5""")
+SELECT doc_id, pos, word, n FROM a JOIN b USING (doc_id, pos)""")
 def positional_join(d):
     w = F.split("text", " ")
     a = d.select("doc_id", F.posexplode(w).alias("pos", "word"))
@@ -219,7 +221,7 @@ def outer_align(li):
     return R.outer_join(g(li.where("l_quantity < 10"), "n"), g(li.where("l_returnflag <> 'A'"), "m"), ["f", "s"])
 
 
-@query("embeddings", sql="SELECT vec_id, unnest(range(3))::INTEGER AS pos, round(unnest(list_transform(range(1, 4), lambda i: embedding[i]::DOUBLE + embedding[i + 3]::DOUBLE)), 6) AS s FROM embeddings")
+@query("embeddings", sql="SELECT vec_id, unnest(range(h))::INTEGER AS pos, round(unnest(list_transform(range(1, h + 1), lambda i: embedding[i]::DOUBLE + embedding[i + h]::DOUBLE)), 6) AS s FROM (SELECT *, ((len(embedding) + 1) // 2)::BIGINT AS h FROM embeddings)")
 def arrays_zip_explode(e):
     half = F.ceil(F.size("embedding") / 2).cast("int")
     z = F.arrays_zip(F.slice("embedding", F.lit(1), half).alias("a"), F.slice("embedding", half + 1, half).alias("b"))
@@ -251,12 +253,12 @@ def knn_exact(e):
     return V.nearest(_neighbours(e), "q_id", "vec_id", V.squared(F.col("qe"), F.col("e")), 5).select("q_id", "vec_id", "rank", r6("dist").alias("dist"))
 
 
-@query("embeddings", sql=f"WITH v AS ({_V}) SELECT a.vec_id AS a_id, b.vec_id AS b_id, round({_DOT.format('a.e', 'b.e')} / (sqrt({_DOT.format('a.e', 'a.e')}) * sqrt({_DOT.format('b.e', 'b.e')})), 6) AS cos FROM v a, v b WHERE a.vec_id < 40 AND b.vec_id < 40")
+@query("embeddings", sql=f"WITH v AS ({_V}) SELECT a.vec_id AS a_id, b.vec_id AS b_id, round({_DOT.format('a.e', 'b.e')} / (sqrt({_DOT.format('a.e', 'a.e')}) * sqrt({_DOT.format('b.e', 'b.e')})), 6) AS cos FROM v a, v b")
 def cosine_matrix(e):
     return V.pairs(e.select(F.col("vec_id").alias("a_id"), V.doubles("embedding").alias("x")), e.select(F.col("vec_id").alias("b_id"), V.doubles("embedding").alias("y"))).select("a_id", "b_id", r6(V.cosine(F.col("x"), F.col("y"))).alias("cos"))
 
 
-@query("embeddings", sql=f"WITH v AS ({_V}) SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(exp(-{_SQ.format('a.e', 'b.e')} / len(a.e)), 6) AS k FROM v a, v b WHERE a.vec_id < 30 AND b.vec_id < 60")
+@query("embeddings", sql=f"WITH v AS ({_V}) SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(exp(-{_SQ.format('a.e', 'b.e')} / len(a.e)), 6) AS k FROM v a, v b")
 def rbf_kernel(e):
     p = V.pairs(e.select(F.col("vec_id").alias("a_id"), V.doubles("embedding").alias("x")), e.select(F.col("vec_id").alias("b_id"), V.doubles("embedding").alias("y")))
     return p.select("a_id", "b_id", r6(F.exp(-V.squared(F.col("x"), F.col("y")) / F.size("x"))).alias("k"))
@@ -264,22 +266,47 @@ def rbf_kernel(e):
 
 @query("embeddings", sql=f"{_KNN}, v2 AS (SELECT q_id, q_label, label, count(*) AS n FROM r WHERE rank <= 11 GROUP BY ALL) SELECT q_id, q_label, arg_min(label, -n * 1000 + label) AS predicted FROM v2 GROUP BY ALL")
 def knn_vote(e):
-    n = V.nearest(_neighbours(e), "q_id", "vec_id", V.squared(F.col("qe"), F.col("e")), 11).groupBy("q_id", "q_label", "label").agg(F.count("*").alias("n"))
-    return n.groupBy("q_id", "q_label").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("predicted"))
+    near = V.nearest(_neighbours(e), "q_id", "vec_id", V.squared(F.col("qe"), F.col("e")), 11)
+    return V.votes(near, ["q_label"], "q_id", "label").select("q_id", "q_label", "predicted")
 
 
-@query("embeddings", sql=f"{_KNN} SELECT q_id, round(sum(label / sqrt(dist)) / sum(1 / sqrt(dist)), 6) AS predicted FROM r WHERE rank <= 5 GROUP BY q_id")
+_WEIGHTED = "SELECT *, CASE WHEN min(dist) OVER (PARTITION BY q_id{0}) = 0 THEN (dist = 0)::INTEGER::DOUBLE ELSE 1 / sqrt(dist) END AS w FROM {1}"
+
+
+@query("embeddings", sql=f"{_KNN}, x AS ({_WEIGHTED.format('', 'r')} WHERE rank <= 11), v2 AS (SELECT q_id, q_label, label, sum(w) AS n FROM x GROUP BY ALL) SELECT q_id, q_label, arg_min(label, (-n, label)) AS predicted FROM v2 GROUP BY ALL")
+def knn_vote_weighted(e):
+    near = V.nearest(_neighbours(e), "q_id", "vec_id", V.squared(F.col("qe"), F.col("e")), 11)
+    return V.votes(near, ["q_label"], "q_id", "label", "distance").select("q_id", "q_label", "predicted")
+
+
+@query("embeddings", sql=f"{_KNN} , x AS ({_WEIGHTED.format('', 'r')} WHERE rank <= 5) SELECT q_id, round(sum(label * w) / sum(w), 6) AS predicted FROM x GROUP BY q_id")
 def knn_regress(e):
     n = V.nearest(_neighbours(e), "q_id", "vec_id", V.squared(F.col("qe"), F.col("e")), 5)
-    return n.groupBy("q_id").agg(r6(F.sum(F.col("label") / F.sqrt("dist")) / F.sum(1 / F.sqrt("dist"))).alias("predicted"))
+    return V.means(n, "q_id", "label").select("q_id", r6("predicted").alias("predicted"))
+
+
+#: Neighbours come from the folds that the query isn't in.
+_CV = f"""WITH v AS ({_V}), d AS (SELECT q.vec_id AS q_id, q.label AS q_label, q.vec_id % 3 AS fold, c.vec_id, c.label, {_SQ.format('q.e', 'c.e')} AS dist FROM v q JOIN v c ON q.vec_id % 3 <> c.vec_id % 3 WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, vec_id)::INTEGER AS rank FROM d),
+g AS (SELECT * FROM r JOIN (VALUES (1), (5), (11)) x(k) ON rank <= k),
+w AS (SELECT k, 'uniform' AS weights, q_id, q_label, fold, label, 1.0::DOUBLE AS w FROM g UNION ALL SELECT k, 'distance', q_id, q_label, fold, label, w FROM ({_WEIGHTED.format(', k', 'g')})),
+n AS (SELECT k, weights, q_id, q_label, fold, label, sum(w) AS n FROM w GROUP BY ALL),
+p AS (SELECT k, weights, q_id, q_label, fold, arg_min(label, (-n, label)) AS y FROM n GROUP BY ALL),
+a AS (SELECT k, weights, fold, avg((y = q_label)::INTEGER) AS accuracy FROM p GROUP BY ALL),
+m AS (SELECT k, weights, round(avg(accuracy), 6) AS accuracy, round(stddev_pop(accuracy), 6) AS sd FROM a GROUP BY ALL)
+SELECT k, weights, accuracy, sd, rank() OVER (ORDER BY accuracy DESC)::INTEGER AS rank FROM m"""
 
 
-@query("embeddings", sql=f"{_KNN}, g AS (SELECT unnest([1, 5, 11]) AS k), v2 AS (SELECT k, q_id, q_label, label, count(*) AS n FROM r JOIN g ON rank <= k GROUP BY ALL), p AS (SELECT k, q_id, q_label, arg_min(label, -n * 1000 + label) AS y FROM v2 GROUP BY ALL) SELECT k, (q_id // 20 % 3)::INTEGER AS fold, round(avg((y = q_label)::INTEGER), 6) AS accuracy FROM p GROUP BY ALL")
+@query("embeddings", sql=_CV)
 def grid_search_knn(e):
-    n = V.nearest(_neighbours(e), "q_id", "vec_id", V.squared(F.col("qe"), F.col("e")), 11)
-    n = n.withColumn("k", F.explode(F.array(*[F.lit(k) for k in (1, 5, 11)]))).where("rank <= k").groupBy("k", "q_id", "q_label", "label").agg(F.count("*").alias("n"))
-    p = n.groupBy("k", "q_id", "q_label").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("y"))
-    return p.groupBy("k", (F.floor(F.col("q_id") / 20) % 3).cast("int").alias("fold")).agg(r6(F.avg((F.col("y") == F.col("q_label")).cast("int"))).alias("accuracy"))
+    """Cross-validated: each query is judged by the other two folds, for each k and both weights; rank 1 is best."""
+    near = V.nearest(_neighbours(e).where("q_id % 3 <> vec_id % 3"), "q_id", "vec_id", V.squared(F.col("qe"), F.col("e")), 11)
+    near = near.withColumn("fold", F.col("q_id") % 3).withColumn("k", F.explode(F.array(*[F.lit(k) for k in (1, 5, 11)]))).where("rank <= k")
+    by = ["k", "fold", "q_label"]
+    p = reduce(DataFrame.unionAll, [V.votes(near, by, "q_id", "label", w).withColumn("weights", F.lit(w)) for w in ("uniform", "distance")])
+    a = p.groupBy("k", "weights", "fold").agg(F.avg((F.col("predicted") == F.col("q_label")).cast("int")).alias("a"))
+    m = a.groupBy("k", "weights").agg(r6(F.avg("a")).alias("accuracy"), r6(F.stddev_pop("a")).alias("sd"))
+    return m.withColumn("rank", F.rank().over(Window.orderBy(F.desc("accuracy"))))  # a row for each setting
 
 
 @query("embeddings", sql="WITH x AS (SELECT vec_id, unnest(range(64))::INTEGER AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT pos, avg(x) AS a, stddev_pop(x) AS s FROM x GROUP BY pos) SELECT vec_id, pos, round((x - a) / s, 5) AS z FROM x JOIN m USING (pos)")
@@ -289,12 +316,13 @@ def standardize(e):
 
 @query("embeddings")
 def pca2(e):
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    return V.pca(e, "vec_id", "embedding")[0]
 
-    v = e.select("vec_id", array_to_vector(V.doubles("embedding")).alias("v"))
-    v = StandardScaler(withMean=True, inputCol="v", outputCol="z").fit(v).transform(v)
-    return PCA(k=2, inputCol="z", outputCol="p").fit(v).transform(v).select("vec_id", vector_to_array("p")[0].alias("pc1"), vector_to_array("p")[1].alias("pc2"))
+
+@query("embeddings")
+def pca_variance(e):
+    shares = V.pca(e, "vec_id", "embedding")[1]
+    return e.sparkSession.createDataFrame([(k + 1, x) for k, x in enumerate(shares)], "component int, share double")
 
 
 @query("embeddings")
@@ -346,12 +374,10 @@ def group_mean(e):
     return e.groupBy("event_type", "user_id").agg(r6(F.avg("value")).alias("mean"))
 
 
-@query("lineitem", sql="""SELECT l_returnflag, round(avg(l_quantity) FILTER (WHERE l_linestatus = 'O' AND l_linenumber = 1), 6) AS "O_1",
-round(avg(l_quantity) FILTER (WHERE l_linestatus = 'F' AND l_linenumber = 1), 6) AS "F_1", round(avg(l_quantity) FILTER (WHERE l_linestatus = 'F' AND l_linenumber = 2), 6) AS "F_2" FROM lineitem GROUP BY 1""")
+@query("lineitem", sql="SELECT l_returnflag, " + ", ".join(f"""round(avg(l_quantity) FILTER (WHERE l_linestatus = '{s}' AND l_linenumber = {k}), 6) AS "{s}_{k}\"""" for s in "FO" for k in range(1, 8)) + " FROM lineitem GROUP BY 1")
 def pivot_mean(li):
-    names = ["O_1", "F_1", "F_2"]
-    wide = A.wide_mean(li, ["l_returnflag"], F.concat_ws("_", "l_linestatus", "l_linenumber"), names, "l_quantity")
-    return wide.select("l_returnflag", *[r6(n).alias(n) for n in names])
+    wide = A.wide_mean(li, ["l_returnflag"], F.concat_ws("_", "l_linestatus", "l_linenumber"), "l_quantity")
+    return wide.select("l_returnflag", *[r6(n).alias(n) for n in wide.columns[1:]])
 
 
 @query("events", sql="SELECT event_type, round(avg(value), 6) AS mean, round(median(value), 6) AS med, round(stddev_pop(value), 6) AS sd, list(DISTINCT user_id % 5 ORDER BY user_id % 5) AS members FROM events GROUP BY 1")
@@ -382,7 +408,7 @@ def group_collect(n, r):
     return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).groupBy("r_name").agg(F.sort_array(F.collect_list("n_name")).alias("names"))  # 25 rows
 
 
-@query("documents", sql="SELECT DISTINCT lang, unnest(list_distinct(string_split(text, ' '))) AS word FROM documents WHERE length(text) < 2000")
+@query("documents", sql="SELECT DISTINCT lang, unnest(list_distinct(string_split(text, ' '))) AS word FROM documents")
 def distinct_tokens(d):
     return d.select("lang", F.explode(F.array_distinct(F.split("text", " "))).alias("word")).distinct()
 
@@ -408,7 +434,23 @@ def cv_best_params(p):
 
 @query("events", sql="SELECT event_id, round((value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0), 6) AS z FROM events WINDOW w AS (PARTITION BY event_type)")
 def zscore_by_group(e):
-    return e.select("event_id", r6(A.zscore("value", "event_type")).alias("z"))
+    return A.zscore(e, "value", "event_type").select("event_id", r6("z").alias("z"))
+
+
+@query("events", sql="SELECT event_type, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd FROM events GROUP BY 1")
+def zscore_moments(e):
+    return A.moments(e, "value", "event_type").select("event_type", r6("mean").alias("mean"), r6("sd").alias("sd"))
+
+
+@query("events", sql="WITH m AS (SELECT event_type, avg(value) AS mean, stddev_samp(value) AS sd FROM events WHERE user_id % 2 = 0 GROUP BY 1) SELECT event_id, round(-((value - mean) / nullif(sd, 0)), 6) AS z FROM events LEFT JOIN m USING (event_type) WHERE user_id % 2 = 1")
+def zscore_rescaled(e):
+    kept = A.moments(e.where("user_id % 2 = 0"), "value", "event_type")
+    return A.rescaled(e.where("user_id % 2 = 1"), kept, "value", "event_type", flip=True).select("event_id", r6("z").alias("z"))
+
+
+@query("events", sql="WITH z AS (SELECT user_id, event_type, (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) AS z FROM events WINDOW w AS (PARTITION BY event_type)), m AS (SELECT user_id, event_type, avg(z) AS z FROM z GROUP BY ALL) SELECT user_id, round(avg(z), 6) AS z FROM m GROUP BY 1")
+def zscore_row_mean(e):
+    return A.zscore(e, "value", "event_type").groupBy("user_id", "event_type").agg(F.avg("z").alias("z")).groupBy("user_id").agg(r6(F.avg("z")).alias("z"))
 
 
 @query("supplier", sql="SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey)::INTEGER AS pos FROM supplier")
@@ -418,7 +460,7 @@ def sorted_slices(s):
 
 @query("orders", sql="""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'x' ELSE '' END AS "F", CASE WHEN o_orderstatus = 'O' THEN 'x' ELSE '' END AS "O", CASE WHEN o_orderstatus = 'P' THEN 'x' ELSE '' END AS "P" FROM orders""")
 def one_hot(o):
-    return o.select("o_orderkey", *[F.when(F.col("o_orderstatus") == v, "x").otherwise("").alias(v) for v in ("F", "O", "P")])
+    return A.marks(o, ["o_orderkey"], "o_orderstatus")
 
 
 # -- order, samples, splits
@@ -439,8 +481,8 @@ def cap_per_label(e):
     return R.cap_per_label(e.select("vec_id", "label"), "label", [F.col("vec_id")], 20, [0, 1, 2])
 
 
-@query("lineitem", "orders", sql=f"SELECT o_orderkey, big FROM (SELECT o_orderkey, (o_totalprice > 200000)::INTEGER AS big, row_number() OVER (PARTITION BY o_totalprice > 200000 ORDER BY md5('{SEED}|' || o_orderkey)) AS k FROM orders) WHERE k <= 50")
-def balanced_sample(_, o):
+@query("orders", sql=f"SELECT o_orderkey, big FROM (SELECT o_orderkey, (o_totalprice > 200000)::INTEGER AS big, row_number() OVER (PARTITION BY o_totalprice > 200000 ORDER BY md5('{SEED}|' || o_orderkey)) AS k FROM orders) WHERE k <= 50")
+def balanced_sample(o):
     o = o.select("o_orderkey", (F.col("o_totalprice") > 200000).cast("int").alias("big"))
     return R.cap_per_label(o, "big", [R.seeded(SEED, F.col("o_orderkey"))], 50)
 
@@ -456,10 +498,28 @@ def train_val_split(d):
     return d.select("doc_id").join(val, "doc_id", "left").select("doc_id", F.coalesce("split", F.lit("train")).alias("split"))
 
 
-@query("embeddings", sql=f"SELECT vec_id, label, CASE WHEN percent_rank() OVER (PARTITION BY label ORDER BY md5('{SEED}|' || vec_id)) < 0.2 THEN 'test' ELSE 'train' END AS split FROM embeddings")
+@query("embeddings", sql=f"SELECT vec_id, label, CASE WHEN percent_rank() OVER (PARTITION BY label ORDER BY ('0x' || substr(md5('{SEED}|' || vec_id), 1, 15))::BIGINT) < 0.2 THEN 'test' ELSE 'train' END AS split FROM embeddings")
 def stratified_split(e):
-    rank = F.percent_rank().over(Window.partitionBy("label").orderBy(R.seeded(SEED, F.col("vec_id"))))
-    return e.select("vec_id", "label", F.when(rank < 0.2, "test").otherwise("train").alias("split"))
+    order = F.conv(F.substring(R.seeded(SEED, F.col("vec_id")), 1, 15), 16, 10).cast("long")
+    r = R.ranks(e.select("vec_id", "label", order.alias("o")), "o", "k", ["label"])
+    share = (F.col("k") - 1) / F.greatest(F.col("k_of") - 1, F.lit(1))
+    return r.select("vec_id", "label", F.when(share < 0.2, "test").otherwise("train").alias("split"))
+
+
+@query("documents", sql="WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM documents) SELECT doc_id, (CASE WHEN k < (n % 3) * (n // 3 + 1) THEN k // (n // 3 + 1) ELSE n % 3 + (k - (n % 3) * (n // 3 + 1)) // greatest(n // 3, 1) END)::INTEGER AS fold FROM r")
+def plain_kfold(d):
+    return R.plain_fold(d.select("doc_id"), "doc_id").select("doc_id", "fold")
+
+
+@query("documents", "labels", sql="SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 1 ELSE 0 END AS fold FROM documents")
+def predefined_split(d, lab):
+    ids = d.select("doc_id")
+    return R.predefined_fold({0: ids.join(lab, "doc_id", "left_anti"), 1: ids.join(lab, "doc_id", "left_semi")})
+
+
+@query("orders", sql=f"SELECT o_custkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('{SEED}|' || o_custkey), o_custkey) AS k FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders)) WHERE k <= 64")
+def distinct_capped(o):
+    return R.cap_per_label(o.select("o_custkey", "o_orderpriority").distinct(), "o_orderpriority", [R.seeded(SEED, F.col("o_custkey")), F.col("o_custkey")], 64)
 
 
 @query("events", sql=f"SELECT event_id, ('0x' || substr(md5('{SEED}|' || user_id), 1, 8))::BIGINT % 3 AS fold FROM events")
@@ -467,7 +527,7 @@ def group_kfold(e):
     return e.select("event_id", R.group_fold(SEED, F.col("user_id")).alias("fold"))
 
 
-@query("orders", sql="SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey LIMIT 200")
+@query("orders", sql="SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey")
 def multi_key_sort(o):
     return o.orderBy(F.desc("o_orderpriority"), "o_totalprice", "o_orderkey").select("o_orderkey", "o_orderpriority")
 
@@ -482,12 +542,12 @@ def array_sort_filter(d):
     return d.select("doc_id", F.array_sort(F.filter(F.array_distinct(F.split("text", " ")), lambda x: F.length(x) > 12)).alias("words"))
 
 
-_VOCAB = f"""tok AS (SELECT unnest({TOKENS_SQL}) AS token FROM documents), cnt AS (SELECT token, count(*) AS cnt FROM tok WHERE token NOT IN ('<s>', '<pad>', '</s>', '<unk>', '<mask>', '<cls>', '<sep>') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 993),
-vocab AS (SELECT (row_number() OVER (ORDER BY cnt DESC, token) + 6)::INTEGER AS id, token, cnt FROM cnt UNION ALL SELECT i::INTEGER, t, 0 FROM (VALUES (0, '<s>'), (1, '<pad>'), (2, '</s>'), (3, '<unk>'), (4, '<mask>'), (5, '<cls>'), (6, '<sep>')) s(i, t))"""
+_VOCAB = f"""tok AS (SELECT unnest({TOKENS_SQL}) AS token FROM documents), cnt AS (SELECT token, count(*) AS cnt FROM tok WHERE token NOT IN ({SPECIALS_SQL}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 993),
+vocab AS (SELECT (row_number() OVER (ORDER BY cnt DESC, token) + 6)::INTEGER AS id, token, cnt FROM cnt UNION ALL SELECT i::INTEGER, t, 0 FROM (SELECT unnest(range({len(K.SPECIALS)})) AS i, unnest([{SPECIALS_SQL}]) AS t) s)"""
 
 
 def _tokens(d):
-    return d.select("doc_id", K.tokenize(F.col("text")).alias("t"))
+    return S.spread(d.select("doc_id", "text")).select("doc_id", K.tokenize(F.col("text")).alias("t"))
 
 
 def _vocab(d):
@@ -497,7 +557,7 @@ def _vocab(d):
 @query("documents", sql=f"SELECT doc_id, unnest(range(len({TOKENS_SQL})))::INTEGER AS pos, unnest({TOKENS_SQL}) AS token FROM documents")
 def regex_tokenize(d):
     # outer: no filter on the array's size is inferred, which would tokenize twice
-    return d.select("doc_id", F.posexplode_outer(K.tokenize(F.col("text"))).alias("pos", "token")).where("token IS NOT NULL")
+    return _tokens(d).select("doc_id", F.posexplode_outer("t").alias("pos", "token")).where("token IS NOT NULL")
 
 
 @query("documents", sql=f"WITH {_VOCAB} SELECT token, cnt FROM vocab WHERE id > 6")
@@ -577,18 +637,36 @@ def parse_vector_json(e):
     return e.select("vec_id", F.round(F.aggregate(F.from_json(text, "array<double>"), F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
-@query("embeddings", sql="SELECT vec_id, " + ", ".join(f"embedding[{i + 1}] AS e{i}" for i in range(8)) + " FROM embeddings")
+@query("embeddings", sql="SELECT vec_id, " + ", ".join(f"embedding[{i + 1}] AS e{i}" for i in range(64)) + " FROM embeddings")
 def widen_vector(e):
     width = e.agg(F.max(F.size("embedding"))).first()[0] or 0
     return e.select("vec_id", *[F.get("embedding", F.lit(i)).alias(f"e{i}") for i in range(width)])
 
 
-@query("nation", sql="SELECT n_regionkey, n_nationkey AS v, n_name AS k FROM nation")
+def _map(value):
+    return F.map_from_entries(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct("n_name", value.alias("v"))))))
+
+
+@query("nation", sql="SELECT n_regionkey, n_nationkey % 3 AS v, max(n_name) AS k FROM nation GROUP BY 1, 2")
 def map_invert(n):
-    m = n.groupBy("n_regionkey").agg(F.map_from_entries(F.collect_list(F.struct("n_name", "n_nationkey"))).alias("m"))
+    """Values come again within a region: the last key, by name, stays."""
+    m = n.groupBy("n_regionkey").agg(_map(F.col("n_nationkey") % 3).alias("m"))
     return m.select("n_regionkey", F.explode(K.inverted(F.col("m"))).alias("v", "k"))
 
 
+@query("nation", sql="SELECT n_regionkey, n_name AS k, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey + 100 ELSE n_nationkey END AS v FROM nation WHERE n_nationkey % 5 > 0 OR n_nationkey % 2 = 0")
+def map_merge(n):
+    key = F.col("n_nationkey")
+    m = n.groupBy("n_regionkey").agg(_map(F.when(key % 5 > 0, key)).alias("a"), _map(F.when(key % 2 == 0, key + 100)).alias("b"))
+    return m.select("n_regionkey", F.explode(K.merged(F.col("a"), F.col("b"))).alias("k", "v"))
+
+
+@query("embeddings", sql="SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 6)) AS e FROM embeddings")
+def narrow_vector(e):
+    wide = widen_vector(e)
+    return wide.select("vec_id", F.array(*[r6(F.col(c).cast("double")) for c in wide.columns[1:]]).alias("e"))
+
+
 @query("part", sql=r"SELECT p_partkey, regexp_replace(replace(p_name, ' ', '_'), '[^A-Za-z_]', '', 'g') AS name FROM part")
 def regex_clean(p):
     return p.select("p_partkey", F.regexp_replace(F.replace("p_name", F.lit(" "), F.lit("_")), "[^A-Za-z_]", "").alias("name"))
@@ -599,9 +677,10 @@ def bround_stats(e):
     return e.groupBy("event_type").agg(F.bround(F.avg("value"), 3).alias("mean"), F.format_string("%.1f", 100.0 * F.count_if(F.col("value") > 50) / F.count("*")).alias("pct"))
 
 
-@query("labels", sql="SELECT doc_id, CASE WHEN toxic = 1 THEN 5 - quality ELSE quality + 4 - 4 END AS cls, round(exp(-quality), 6) AS p FROM labels")
+@query("labels", sql="SELECT doc_id, CASE WHEN quality = 1 THEN 1 - toxic ELSE toxic END AS cls, round(1.0 / (1 + doc_id % 7), 6) AS p FROM labels")
 def label_decode(lab):
-    return lab.select("doc_id", F.when(F.col("toxic") == 1, 5 - F.col("quality")).otherwise(F.col("quality")).alias("cls"), r6(F.exp(-F.col("quality").cast("double"))).alias("p"))
+    """Target ids 4 and 5, in a dictionary whose order quality tells, and a log-probability."""
+    return lab.select("doc_id", K.decode_label(F.col("toxic") + 4, F.col("quality") == 1).alias("cls"), r6(F.exp(-F.log(1.0 + F.col("doc_id") % 7))).alias("p"))
 
 
 @query("documents", sql=f"WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY md5('1|' || doc_id)) AS k FROM documents), b AS (SELECT lang, row_number() OVER (ORDER BY md5('{SEED}|' || doc_id)) AS k FROM documents) SELECT doc_id, lang AS shuffled FROM a JOIN b USING (k)")
@@ -625,6 +704,34 @@ def lead_lines(c):
 # -- unions
 
 
+@query("customer", "supplier", sql="SELECT c_nationkey AS nk FROM customer UNION SELECT s_nationkey FROM supplier")
+def distinct_union(c, s):
+    return c.select(F.col("c_nationkey").alias("nk")).union(s.select("s_nationkey")).distinct()
+
+
+@query("orders", "customer", sql="SELECT o_custkey AS id, o_totalprice AS x, 'train' AS origin FROM orders UNION ALL SELECT c_custkey, c_acctbal, 'test' FROM customer")
+def origin_union(o, c):
+    train, test = o.select(F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("x")), c.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"))
+    return train.withColumn("origin", F.lit("train")).unionByName(test.withColumn("origin", F.lit("test")))
+
+
+@query("orders", sql="SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1e-5 WHEN '2-HIGH' THEN 5e-5 ELSE 5e-6 END AS lr FROM orders")
+def param_lookup(o):
+    best = [("1-URGENT", 1e-5), ("2-HIGH", 5e-5), ("3-MEDIUM", 5e-6), ("4-NOT SPECIFIED", 5e-6), ("5-LOW", 5e-6)]
+    return R.lookup(o, o.sparkSession.createDataFrame(best, "o_orderpriority string, lr double"), "o_orderpriority").select("o_orderkey", "lr")
+
+
+@query("lineitem", sql="SELECT l_orderkey, l_extendedprice, l_linenumber, l_linestatus FROM lineitem")
+def name_pattern_projection(li):
+    return li.select("l_orderkey", *[c for c in li.columns if "price" in c or "line" in c])
+
+
+@query("events", sql="SELECT event_id FROM events WHERE value IS NOT NULL AND value < 50 AND user_id IN (SELECT user_id FROM events WHERE event_type = 'view') AND user_id IN (SELECT user_id FROM events WHERE event_type = 'click')")
+def threshold_both_present(e):
+    has = lambda kind: e.where(F.col("event_type") == kind).select("user_id")
+    return e.where("value IS NOT NULL AND value < 50").join(has("view"), "user_id", "left_semi").join(has("click"), "user_id", "left_semi").select("event_id")
+
+
 @query("customer", "supplier", sql="SELECT c_custkey AS id, c_acctbal AS bal, c_mktsegment AS seg FROM customer UNION ALL SELECT s_suppkey, s_acctbal, NULL FROM supplier")
 def union_by_name(c, s):
     a = c.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("bal"), F.col("c_mktsegment").alias("seg"))
@@ -672,26 +779,48 @@ def regression_metrics(li):
     return m.select(*[r6(c).alias(c) for c in m.columns])
 
 
-@query("labels", sql=f"""WITH x AS (SELECT y, (s >= 0.5)::INTEGER AS p FROM {_SCORED}), c AS (SELECT k AS class, count(*) FILTER (WHERE y = k) AS y, count(*) FILTER (WHERE p = k) AS p, count(*) FILTER (WHERE y = k AND p = k) AS h FROM x, (VALUES (0), (1)) v(k) GROUP BY 1)
-SELECT class, round(coalesce(h / nullif(p, 0), 0), 6) AS precision, round(coalesce(h / nullif(y, 0), 0), 6) AS recall, round(coalesce(2 * h / nullif(y + p, 0), 0), 6) AS f1, y AS support FROM c""")
+@query("labels", sql=f"""WITH x AS (SELECT y, (s >= 0.5)::INTEGER AS p FROM {_SCORED}), c AS (SELECT k AS class, count(*) FILTER (WHERE y = k) AS y, count(*) FILTER (WHERE p = k) AS p, count(*) FILTER (WHERE y = k AND p = k) AS h FROM x, (VALUES (0), (1)) v(k) GROUP BY 1),
+r AS (SELECT class::VARCHAR AS class, coalesce(h / nullif(p, 0), 0) AS precision, coalesce(h / nullif(y, 0), 0) AS recall, coalesce(2 * h / nullif(y + p, 0), 0) AS f1, y AS support FROM c),
+u AS (SELECT * FROM r UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM r UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM r)
+SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support::BIGINT AS support FROM u""")
 def classification_report(lab):
-    r = M.report(_scored(lab).withColumn("p", (F.col("s") >= 0.5).cast("int")), "y", "p")
+    r = M.full_report(_scored(lab).withColumn("p", (F.col("s") >= 0.5).cast("int")), "y", "p")
     return r.select("class", *[r6(c).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
-@query("lineitem", sql="""WITH m AS (SELECT l_suppkey % 3 AS g, l_suppkey, round(avg(l_quantity) FILTER (WHERE l_returnflag = 'A'), 2) - round(avg(l_quantity) FILTER (WHERE l_returnflag = 'R'), 2) AS d FROM lineitem GROUP BY 1, 2),
-r AS (SELECT g, d, avg(k) OVER (PARTITION BY g, round(abs(d), 6)) AS rk FROM (SELECT g, d, row_number() OVER (PARTITION BY g ORDER BY round(abs(d), 6)) AS k FROM m WHERE round(abs(d), 6) <> 0))
-SELECT g, count(*) AS n, sum(rk) FILTER (WHERE d > 0) AS w_plus, sum(rk) FILTER (WHERE d < 0) AS w_minus FROM r GROUP BY 1""")
-def wilcoxon_stat(li):
+_PAIRED = """m AS (SELECT l_suppkey % 3 AS g, l_suppkey, round(round(avg(l_quantity) FILTER (WHERE l_returnflag = 'A'), 2) - round(avg(l_quantity) FILTER (WHERE l_returnflag = 'R'), 2), 6) AS d FROM lineitem GROUP BY 1, 2),
+r AS (SELECT g, d, avg(k) OVER (PARTITION BY g, abs(d)) AS rk FROM (SELECT g, d, row_number() OVER (PARTITION BY g ORDER BY abs(d)) AS k FROM m WHERE d <> 0))"""
+
+
+def _paired(li):
     mean = lambda f: F.round(F.avg(F.when(F.col("l_returnflag") == f, F.col("l_quantity"))), 2)
-    m = li.groupBy((F.col("l_suppkey") % 3).alias("g"), "l_suppkey").agg(F.round(mean("A") - mean("R"), 6).alias("a")).withColumn("b", F.lit(0.0))
-    return M.signed_ranks(m, "a", "b", ["g"])
+    return li.groupBy((F.col("l_suppkey") % 3).alias("g"), "l_suppkey").agg(F.round(mean("A") - mean("R"), 6).alias("a")).withColumn("b", F.lit(0.0))
+
+
+@query("lineitem", sql=f"WITH {_PAIRED} SELECT g, count(*) AS n, sum(rk) FILTER (WHERE d > 0) AS w_plus, sum(rk) FILTER (WHERE d < 0) AS w_minus FROM r GROUP BY 1")
+def wilcoxon_stat(li):
+    return M.signed_ranks(_paired(li), "a", "b", ["g"])
+
+
+_ABOVE = "CASE WHEN {0} >= 0 THEN {1} ELSE 1 - {1} END"
+_TAIL = "((((({4} * t + {3}) * t + {2}) * t + {1}) * t + {0}) * t * exp(-z * z / 2) / 2)".format(*[f"({a})" for a in M.ERFC[1]])
+
+
+@query("lineitem", sql=f"""WITH {_PAIRED}, w AS (SELECT g, count(*) FILTER (WHERE d > 0) AS wins, sum(d) AS total FROM m WHERE d IS NOT NULL GROUP BY 1),
+t AS (SELECT g, sum(c * c * c - c) AS ties FROM (SELECT g, count(*) AS c FROM m WHERE d <> 0 GROUP BY g, abs(d)) GROUP BY 1),
+s AS (SELECT g, count(*) AS n, sum(rk) FILTER (WHERE d > 0) AS wp, sum(rk) FILTER (WHERE d < 0) AS wm FROM r GROUP BY 1),
+z AS (SELECT *, (wp - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM s JOIN t USING (g) JOIN w USING (g)),
+p AS (SELECT *, 1 / (1 + {M.ERFC[0]} * abs(z) / sqrt(2)) AS t FROM z), q AS (SELECT *, {_TAIL} AS tail FROM p)
+SELECT g, n, round(wp, 6) AS w_plus, round(least(wp, wm), 6) AS statistic, round(2 * tail, 6) AS p_two_sided, round({_ABOVE.format('-z', 'tail')}, 6) AS p_less, round({_ABOVE.format('z', 'tail')}, 6) AS p_greater, wins, round(total, 6) AS total FROM q""")
+def wilcoxon_test(li):
+    t = M.signed_rank_test(_paired(li), "a", "b", ["g"])
+    return t.select("g", "n", *[r6(c).alias(c) for c in ("w_plus", "statistic", "p_two_sided", "p_less", "p_greater")], "wins", r6("total").alias("total"))
 
 
-@query("embeddings", sql="SELECT round(-1.1 * greatest(abs(min(x)), abs(max(x))), 6) AS lo, round(1.1 * greatest(abs(min(x)), abs(max(x))), 6) AS hi FROM (SELECT embedding[1]::DOUBLE AS x FROM embeddings)")
+@query("embeddings", sql="SELECT round(-1.1 * greatest(abs(min(x)), abs(max(x))), 6) AS lo, round(1.1 * greatest(abs(min(x)), abs(max(x))), 6) AS hi FROM (SELECT unnest(embedding)::DOUBLE AS x FROM embeddings)")
 def axis_limits(e):
-    x = F.get("embedding", F.lit(0)).cast("double")
-    return e.agg(F.greatest(F.abs(F.min(x)), F.abs(F.max(x))).alias("m")).select(r6(-1.1 * F.col("m")).alias("lo"), r6(1.1 * F.col("m")).alias("hi"))
+    x = F.col("x")
+    return e.select(F.explode(V.doubles("embedding")).alias("x")).agg(F.greatest(F.abs(F.min(x)), F.abs(F.max(x))).alias("m")).select(r6(-1.1 * F.col("m")).alias("lo"), r6(1.1 * F.col("m")).alias("hi"))
 
 
 @query("labels", sql="SELECT quality, floor(count(*) / 16.0 * 10)::INTEGER AS steps, floor(0.16 * floor(count(*) / 16.0 * 10))::INTEGER AS warmup FROM labels GROUP BY 1")
