@@ -32,7 +32,7 @@ from . import shared
 
 SHARDS, SEED = 16, 20240229
 #: Bytes of a bucket, by the plan's own estimate of its size; rows of a bucket where it has none.
-BUCKET, BUCKET_ROWS = 8 << 20, 20_000
+BUCKET, BUCKET_ROWS = 1 << 20, 4_000
 #: The library's sampler takes populations below this number.
 NUMPY_MOST = 10**9
 #: What a seed is for.
