@@ -30,7 +30,7 @@ from . import shared
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes of a generation of cached words with a mark in front; of pairs of tokens.
-CACHE, PAIRS = 128 << 20, 300_000
+CACHE, PAIRS = 192 << 20, 300_000
 
 
 class PrefixCounter:
