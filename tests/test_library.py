@@ -11,6 +11,7 @@ import compare
 from tokenloom.functions import tokens as K
 from tokenloom.operators import aggregates as A
 from tokenloom.operators import metrics as M
+from tokenloom.operators import models as D
 from tokenloom.operators import relational as R
 from tokenloom.operators import vectors as V
 from tokenloom.plans import catalog
@@ -139,6 +140,73 @@ def test_linear_svc_separates(spark):
     assert np.mean([r.label == r.prediction for r in out]) > 0.95
 
 
+def _labelled(spark):
+    rng = np.random.default_rng(5)
+    y = [i % 3 for i in range(240)]
+    x = rng.normal(size=(240, 4)) * [1.0, 2.0, 0.5, 1.0] + 4 * np.eye(4)[y]
+    rows = [(i, "abc"[c], [float(a) for a in v]) for i, (c, v) in enumerate(zip(y, x))]
+    odd = [(900, None, [1.0] * 4), (901, "a", None), (902, "b", [float("nan")] * 4)]
+    return spark.createDataFrame(rows + odd, "id long, y string, v array<double>").repartition(5), np.array(y), x
+
+
+def test_discriminant_matches_numpy(spark):
+    df, y, x = _labelled(spark)
+    out, ratios = D.discriminant(df, "id", "y", "v")
+    means = np.array([x[y == c].mean(axis=0) for c in range(3)])
+    within = sum((x[y == c] - means[c]).T @ (x[y == c] - means[c]) for c in range(3)) / 237
+    between = sum(80 * np.outer(m - x.mean(axis=0), m - x.mean(axis=0)) for m in means) / 2
+    values = np.sort(np.linalg.eigvals(np.linalg.inv(within) @ between).real)[::-1]
+    assert ratios == pytest.approx(list(values[:2]))
+    rows = sorted(out.collect())
+    assert [r.id for r in rows] == list(range(240))
+    p = np.array([[r.ld1, r.ld2] for r in rows])
+    inner = sum((p[y == c] - p[y == c].mean(axis=0)).T @ (p[y == c] - p[y == c].mean(axis=0)) for c in range(3)) / 237
+    assert np.allclose(inner, np.eye(2)) and np.allclose(p.mean(axis=0), 0)
+    dealt = df.drop("y").join(R.permuted(df.where("id < 240"), "id", "y", "y", 9), "id")
+    assert D.discriminant(dealt, "id", "y", "v")[1][0] < ratios[0] / 10
+    with pytest.raises(ValueError):
+        D.discriminant(df.where("y = 'a'"), "id", "y", "v")
+
+
+def test_balanced_logistic_separates(spark):
+    df, y, _ = _labelled(spark)
+    few = df.where("y <> 'c' OR id < 30")
+    out = D.balanced_logistic(few, "id", "y", "v").collect()
+    assert len(out) == 170 and np.mean([r.label == r.predicted for r in out]) > 0.95
+    assert {r.predicted for r in D.balanced_logistic(df.where("y = 'a'"), "id", "y", "v").collect()} == {"a"}
+    assert D.balanced_logistic(df.where("false"), "id", "y", "v").collect() == []
+
+
+def test_complete_linkage_matches_its_definition(spark):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 9, size=(12, 2))  # with ties
+    d = lambda i, j: float(np.abs(x[i] - x[j]).sum())
+    pairs = spark.createDataFrame([(f"i{i:02}", f"i{j:02}", d(i, j)) for i in range(12) for j in range(i)], "a string, b string, d double")
+    clusters = {i: [i] for i in range(12)}
+    for r in sorted(D.complete_linkage(pairs, "a", "b", "d").collect()):
+        height, left, right = min((max(d(p, q) for p in clusters[a] for q in clusters[b]), a, b) for a in clusters for b in clusters if a < b)
+        assert (r.left, r.right, r.height) == (left, right, height)
+        clusters[12 + r.step] = clusters.pop(left) + clusters.pop(right)
+        assert r["size"] == len(clusters[12 + r.step])
+    assert len(clusters) == 1
+    with pytest.raises(ValueError):
+        D.complete_linkage(pairs.where("a <> 'i03' OR b <> 'i01'"), "a", "b", "d")
+
+
+def test_greedy_split_fills_train_with_smaller_groups(spark):
+    sizes = {"a": 6, "b": 3, None: 2, "d": 2, "e": 1, "f": 1, "g": 1, "h": 1, "i": 1, "j": 1, "k": 1}
+    rows = [g for g, n in sizes.items() for _ in range(n)]
+    df = spark.createDataFrame([(i, g) for i, g in enumerate(rows)], "id long, g string")
+    train, valid, want = [], [], {}
+    for g in sorted(sizes, key=lambda g: (-sizes[g], -rows.index(g))):
+        fits = "train" if len(train) + sizes[g] <= 0.5 * 20 else "valid" if len(train) + len(valid) + sizes[g] <= 0.8 * 20 else "test"
+        {"train": train, "valid": valid}.get(fits, []).extend([g] * sizes[g])
+        want[g] = fits
+    got = D.greedy_split(df, "id", "g", 0.5, 0.3).collect()
+    assert len(got) == 20 and {r.g: r.split for r in got} == want and set(want.values()) == {"train", "valid", "test"}
+    assert D.greedy_split(df.where("false"), "id", "g").collect() == []
+
+
 def test_signed_rank_test_on_hand_made_pairs(spark):
     rows = [(1, 125.0, 110.0), (1, 115.0, 122.0), (1, 130.0, 125.0), (1, 140.0, 120.0), (1, 140.0, 140.0), (1, 115.0, 124.0), (1, 140.0, 123.0), (1, 125.0, 137.0), (1, 140.0, 135.0), (1, 135.0, 145.0), (2, 1.0, 1.0)]
     got = {r.g: r for r in M.signed_rank_test(spark.createDataFrame(rows, "g int, a double, b double"), "a", "b", ["g"]).collect()}

@@ -100,3 +100,26 @@ def lookup(left: DataFrame, right: DataFrame, key: str, missing: str = "raise")
         found = F.when(F.col("__hit"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit(f"no {key}: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(left.schema[key].dataType))
         joined = joined.withColumn(key, found)
     return joined.drop("__hit")
+
+
+def with_status(df: DataFrame, checks: dict[str, Column], values: list[str], ok: str = "ok") -> DataFrame:
+    """df with ``status``: the name of the first check that holds, else ok; values are null in rows that aren't ok. No row is lost, none raises."""
+    status = F.lit(ok)
+    for name, holds in reversed(checks.items()):
+        status = F.when(holds, name).otherwise(status)
+    df = df.withColumn("status", status)
+    return df.withColumns({v: F.when(F.col("status") == ok, F.col(v)) for v in values})
+
+
+def permuted(df: DataFrame, key: str, value: str, name: str, seed: int) -> DataFrame:
+    """(key, name): the values dealt to the keys anew, in a reproducible order.
+
+    Ranks come from counts by the leading hex digits of the order: no task orders the whole table.
+    """
+
+    def ranked(rows, seed, *cols):
+        h = rows.select(*cols, seeded(seed, F.col(key)).alias("__h")).withColumn("__b", F.substring("__h", 1, 3))
+        n = h.groupBy("__b").agg(F.count("*").alias("__n")).withColumn("__a", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        return h.join(F.broadcast(n), "__b").withColumn("__k", F.col("__a") + F.row_number().over(Window.partitionBy("__b").orderBy("__h"))).select(*cols, "__k")  # 4096 counts
+
+    return ranked(df, 1, key).join(ranked(df, seed, key, value).select(F.col(value).alias(name), "__k"), "__k").select(key, name)

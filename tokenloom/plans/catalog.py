@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions import tokens as K
 from tokenloom.operators import aggregates as A
 from tokenloom.operators import metrics as M
+from tokenloom.operators import models as D
 from tokenloom.operators import relational as R
 from tokenloom.operators import vectors as V
 from tokenloom.sources import text as S
@@ -336,6 +337,33 @@ def linear_svc(e):
     return LinearSVC(maxIter=20, weightCol="w").fit(v).transform(v).select("vec_id", "label", "prediction")
 
 
+@query("embeddings")
+def discriminant2(e):
+    return D.discriminant(e, "vec_id", "label", "embedding")[0]
+
+
+@query("embeddings")
+def discriminant_control(e):
+    """The variance between classes as a multiple of that within, with the labels and with labels dealt anew."""
+    dealt = e.select("vec_id", "embedding").join(R.permuted(e, "vec_id", "label", "label", SEED), "vec_id")
+    rows = [(kind, j + 1, x) for kind, df in (("labels", e), ("control", dealt)) for j, x in enumerate(D.discriminant(df, "vec_id", "label", "embedding")[1])]
+    return e.sparkSession.createDataFrame(rows, "kind string, component int, ratio double")
+
+
+@query("embeddings")
+def balanced_logistic(e):
+    return D.balanced_logistic(e, "vec_id", "label", "embedding")
+
+
+@query("embeddings")
+def label_linkage(e):
+    """Complete linkage of the labels by the distances of their mean vectors."""
+    m = e.select("label", F.posexplode(V.doubles("embedding")).alias("pos", "x")).groupBy("label", "pos").agg(F.avg("x").alias("x"))
+    pairs = m.select(F.col("label").alias("a"), "pos", "x").join(m.select(F.col("label").alias("b"), "pos", F.col("x").alias("y")), "pos").where("a < b")
+    d = pairs.groupBy("a", "b").agg(F.sqrt(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y")))).alias("d"))
+    return D.complete_linkage(d, "a", "b", "d")
+
+
 # -- aggregations
 
 
@@ -527,6 +555,34 @@ def group_kfold(e):
     return e.select("event_id", R.group_fold(SEED, F.col("user_id")).alias("fold"))
 
 
+_FITS = "CASE WHEN tr + s <= 0.8 * n THEN {} WHEN tr + va + s <= 0.9 * n THEN {} ELSE {} END"
+
+
+@query("events", sql=f"""WITH RECURSIVE g AS (SELECT user_id, s, row_number() OVER (ORDER BY s DESC, f DESC) AS k FROM (SELECT user_id, count(*) AS s, min(event_id) AS f FROM events GROUP BY 1)),
+n AS (SELECT count(*) AS n FROM events), w AS (SELECT 0::BIGINT AS k, 0::BIGINT AS tr, 0::BIGINT AS va, '' AS split UNION ALL
+SELECT g.k, (tr + {_FITS.format('s', '0', '0')})::BIGINT, (va + {_FITS.format('0', 's', '0')})::BIGINT, {_FITS.format("'train'", "'valid'", "'test'")} FROM w JOIN g ON g.k = w.k + 1 CROSS JOIN n)
+SELECT event_id, split FROM events JOIN g USING (user_id) JOIN w USING (k)""")
+def greedy_group_split(e):
+    return D.greedy_split(e.select("event_id", "user_id"), "event_id", "user_id").select("event_id", "split")
+
+
+@query("documents", sql="SELECT doc_id, status, CASE WHEN status = 'ok' THEN len(string_split(text, ' ')) END::INTEGER AS words FROM (SELECT *, CASE WHEN coalesce(text, '') = '' THEN 'empty' WHEN length(text) > 5000 THEN 'too long' WHEN contains(text, 'License') THEN 'licence' ELSE 'ok' END AS status FROM documents)")
+def row_or_status(d):
+    d = d.withColumn("words", F.size(F.split("text", " ")))
+    checks = {"empty": F.coalesce("text", F.lit("")) == "", "too long": F.length("text") > 5000, "licence": F.contains(F.col("text"), F.lit("License"))}
+    return R.with_status(d, checks, ["words"]).select("doc_id", "status", "words")
+
+
+@query("orders", "lineitem", "customer", sql="""SELECT o_orderkey, status, CASE WHEN status = 'ok' THEN n END AS n FROM (SELECT o_orderkey, n, CASE WHEN n IS NULL THEN 'unassigned' WHEN worst >= 0.08 THEN 'penalty' WHEN c_custkey IS NULL THEN 'unknown' ELSE 'ok' END AS status
+FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, max(l_discount) AS worst FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON o_orderkey = l_orderkey LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey)""")
+def assignment_status(o, li, c):
+    """Files, what was assigned to them and checks of it: every file gets a status."""
+    a = li.where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.max("l_discount").alias("worst"))
+    known = c.where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("known"))
+    rows = o.select("o_orderkey", "o_custkey").join(a, "o_orderkey", "left").join(known, "o_custkey", "left")
+    return R.with_status(rows, {"unassigned": F.col("n").isNull(), "penalty": F.col("worst") >= 0.08, "unknown": F.col("known").isNull()}, ["n"]).select("o_orderkey", "status", "n")
+
+
 @query("orders", sql="SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey")
 def multi_key_sort(o):
     return o.orderBy(F.desc("o_orderpriority"), "o_totalprice", "o_orderkey").select("o_orderkey", "o_orderpriority")
@@ -685,14 +741,7 @@ def label_decode(lab):
 
 @query("documents", sql=f"WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY md5('1|' || doc_id)) AS k FROM documents), b AS (SELECT lang, row_number() OVER (ORDER BY md5('{SEED}|' || doc_id)) AS k FROM documents) SELECT doc_id, lang AS shuffled FROM a JOIN b USING (k)")
 def label_permutation(d):
-    # ranks from counts by the leading hex digits of the order: no total order in one task
-    def ranked(df, seed, *cols):
-        h = df.select(*cols, R.seeded(seed, F.col("doc_id")).alias("h")).withColumn("b", F.substring("h", 1, 2))
-        n = h.groupBy("b").agg(F.count("*").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        return h.join(F.broadcast(n), "b").withColumn("k", F.col("ahead") + F.row_number().over(Window.partitionBy("b").orderBy("h"))).select(*cols, "k")  # 256 counts
-
-    a, b = ranked(d.select("doc_id"), 1, "doc_id"), ranked(d.select("doc_id", "lang"), SEED, "doc_id", "lang").select(F.col("lang").alias("shuffled"), "k")
-    return a.join(b, "k").select("doc_id", "shuffled")
+    return R.permuted(d, "doc_id", "lang", "shuffled", SEED)
 
 
 @query("conversations", sql="SELECT conv_id, turn, lead(role) OVER w AS next_role, lag(length(text)) OVER w AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)")
