@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat_format, decontaminate, exact_topk, near_dedup, shuffle_shards, token_counts, toxicity, url_filter, warc
+from . import bpe_codec, chat_format, decontaminate, exact_topk, near_dedup, phrases, pq_dedup, shuffle_shards, token_counts, toxicity, url_filter, warc, whitening
 
 #: Rules of the URL query (fixed values): verdict, host, path.
 URL_RULES = [
@@ -163,6 +163,53 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode(table(spark, sf_dir, "documents"), keep=["doc_id"], ids=False)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+    each = rows.select("vec_id", "n", F.col("deviation").cast("long").alias("deviation"), "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+#: All phrases of 1 to 4 words are counted as strings, without lists or pruning.
+SQL_OP12 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS t FROM p),
+n AS (SELECT lang, sum(len(t))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(t) - k + 2), lambda i: array_to_string(t[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4)) s(k) WHERE len(t) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS t FROM f WHERE k > 1),
+parts AS (SELECT lang, k, a, t, unnest(range(2, k)) AS m FROM c),
+inside AS (SELECT lang, a, array_to_string(t[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, k, a, t, m, unnest(range(1, k - m + 2)) AS i FROM parts)),
+kept AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM inside WHERE inside.lang = c.lang AND inside.phrase = c.phrase AND 100 * inside.a::HUGEINT >= 80 * c.a::HUGEINT)),
+cuts AS (SELECT lang, phrase, a, t, unnest(range(1, k)) AS cut FROM kept),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, cut, x.a AS l, y.a AS r, ((2000000::HUGEINT * cuts.a) // (x.a + y.a))::BIGINT AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(t[1:cut], ' ') JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(t[cut + 1:], ' ')
+), worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM worst)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+def op13_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.near_groups(table(spark, sf_dir, "embeddings"))
+
+
+SQL_OP13 = """
+WITH RECURSIVE every AS (SELECT row_number() OVER () AS k, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+v AS (SELECT * FROM every WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.k AS x, b.k AS y FROM v a JOIN v b ON a.label = b.label AND a.k <> b.k AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(x, y) AS (SELECT k, k FROM every UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+c AS (SELECT r.x AS k, min(t.vec_id) AS component_id FROM reach r JOIN every t ON r.y = t.k GROUP BY r.x),
+m AS (SELECT x AS k, count(*) AS n_links FROM links GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM every JOIN c USING (k) LEFT JOIN m USING (k)
+"""
+
+
 def queries() -> dict:
     return {
         "op1_chat_format": op1_chat_format,
@@ -175,8 +222,11 @@ def queries() -> dict:
         "op8_exact_topk": op8_exact_topk,
         "op9_decontaminate": op9_decontaminate,
         "op10_bpe_codec": op10_bpe_codec,
+        "op11_whitening": op11_whitening,
+        "op12_collocations": op12_collocations,
+        "op13_pq_dedup": op13_pq_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": SQL_OP1, "op3_near_dedup": SQL_OP3, "op5_warc": SQL_OP5, "op6_url_filter": SQL_OP6, "op8_exact_topk": SQL_OP8, "op9_decontaminate": SQL_OP9}
+    return {"op1_chat_format": SQL_OP1, "op3_near_dedup": SQL_OP3, "op5_warc": SQL_OP5, "op6_url_filter": SQL_OP6, "op8_exact_topk": SQL_OP8, "op9_decontaminate": SQL_OP9, "op12_collocations": SQL_OP12, "op13_pq_dedup": SQL_OP13}
