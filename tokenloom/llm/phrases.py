@@ -32,7 +32,7 @@ from . import shared
 
 LEAST, LONGEST, SHARE, TOP = 30, 4, 80, 2000
 #: Bytes of text of a block, and of those turned into words at a time.
-BLOCK, STEP = 32 << 20, 2 << 20
+BLOCK, STEP = 16 << 20, 1 << 20
 #: Keys over which a language's best phrases are found before they meet.
 SALTS = 64
 _END = re.compile(rb"[.,;:!?\n-\r]")
@@ -51,11 +51,11 @@ def _unpacked(b: bytes) -> np.ndarray:
 def _lists(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, bytes, bytes]:
     """Vertical lists: the distinct keys, the lengths of their lists, and the positions, sorted by key: differences to the one before, each list's first as it is."""
     order = np.argsort(key, kind="stable")
-    distinct, first, n = np.unique(key[order], return_index=True, return_counts=True)
-    at = at[order]
+    key, at = key[order], at[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
     step = np.diff(at, prepend=0)
     step[first] = at[first]
-    return distinct, _packed(n), _packed(step)
+    return key[first], _packed(np.diff(first, append=len(key))), _packed(step)
 
 
 def _positions(lengths: bytes, steps: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -134,11 +134,14 @@ def index(docs: DataFrame, text: str = "text", lang: str = "lang", block: int =
 
 
 def _frequent(lengths: DataFrame, keys: list[str], least: int) -> tuple[DataFrame, DataFrame]:
-    """(block, *keys, id, a) of the keys that occur at least so often, in each block that has them; (id, *keys, a) once for each."""
-    total = F.sum("c").over(Window.partitionBy(*keys))
-    kept = shared.written(lengths.withColumn("a", total).where(F.col("a") >= least).drop("c"), "phrase-kept")
-    once = shared.written(kept.groupBy(*keys).agg(F.max("a").alias("a")).withColumn("id", F.monotonically_increasing_id()), "phrase-ids")
-    return kept.drop("a").join(once, keys), once
+    """(block, *keys, id, a) of the keys that occur at least so often, in each block that has them; (id, *keys, a) once for each.
+
+    A key's id is the smallest of its rows' numbers: its rows are together for the sum already, so the lengths are exchanged once.
+    """
+    together = Window.partitionBy(*keys)
+    often = lengths.withColumn("a", F.sum("c").over(together)).where(F.col("a") >= least).drop("c")
+    kept = shared.written(often.withColumn("row", F.monotonically_increasing_id()).withColumn("id", F.min("row").over(together)).drop("row"), "phrase-kept")
+    return kept, shared.written(kept.groupBy("id").agg(*[F.max(k).alias(k) for k in (*keys, "a")]), "phrase-ids")
 
 
 def _by_block(kept: DataFrame, *columns: str) -> DataFrame:
