@@ -32,7 +32,7 @@ from . import shared
 
 LEAST, LONGEST, SHARE, TOP = 30, 4, 80, 2000
 #: Bytes of text of a block, and of those turned into words at a time.
-BLOCK, STEP = 16 << 20, 1 << 20
+BLOCK, STEP = 32 << 20, 1 << 20
 #: Keys over which a language's best phrases are found before they meet.
 SALTS = 64
 _END = re.compile(rb"[.,;:!?\n-\r]")
@@ -87,10 +87,11 @@ class _Block:
         self.size += len(data)
 
     def row(self, lang: str) -> pa.RecordBatch:
+        words = pa.array([w.decode("utf-8", "surrogatepass") for w, n in self.words.items() if n >= 0], pa.string())
         ids = np.concatenate(self.parts)
+        self.words = self.parts = None
         at = np.flatnonzero(ids >= 0)
         _, lengths, steps = _lists(ids[at], at)
-        words = pa.array([w.decode("utf-8", "surrogatepass") for w, n in self.words.items() if n >= 0], pa.string())
         return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([len(at)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.array([lengths], pa.binary()), pa.array([steps], pa.binary())], names=["lang", "n", "words", "lengths", "steps"])
 
 
@@ -232,13 +233,13 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     counted = blocks.select("block", "lang", "words", "lengths").mapInArrow(lengths, "block long, lang string, phrase string, local int, c long")
     kept, once = _frequent(counted, ["lang", "phrase"], least)
     lists = shared.written(blocks.select("block", "words", "lengths", "steps").hint("merge").join(_by_block(kept, "local", "id").hint("merge"), "block").mapInArrow(_first_lists, LISTS), "phrase-lists")
-    shared.drop(blocks)
+    shared.drop(blocks, kept)
     levels = [once.select("id", "lang", "phrase", F.col("id").alias("w1"), "a")]
     for k in range(2, longest + 1):
         kept, once = _frequent(lists.mapInArrow(_candidates, "block long, first long, word long, c long"), ["first", "word"], least)
         if k < longest:
             new = shared.written(lists.hint("merge").join(_by_block(kept, "first", "word", "id").hint("merge"), "block").mapInArrow(_next_lists, LISTS), "phrase-lists")
-        shared.drop(lists)
+        shared.drop(lists, kept)
         lists = new if k < longest else None
         before = levels[-1]
         own = [F.col(f"w{i}") for i in range(1, k)]
@@ -251,6 +252,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         # l of the cut after i words is the frequency of the first i words, whatever follows: heads carry theirs
         cuts = [c for i in range(1, k) for c in (f"l{i}", f"r{i}")]
         levels.append(shared.written(found.select("id", "lang", F.concat_ws(" ", "head", "tail").alias("phrase"), *[f"w{i}" for i in range(1, k + 1)], "a", *cuts), "phrase-level"))
+        shared.drop(once)
     return totals, levels
 
 
