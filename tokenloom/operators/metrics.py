@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -84,14 +84,34 @@ def normal_above(z: Column) -> Column:
     return F.when(z >= 0, half).otherwise(1 - half)
 
 
-def signed_rank_test(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
-    """(by, n, w_plus, statistic, p_two_sided, p_less, p_greater, wins, total): paired signed ranks of a - b.
+def rank_sum_tails(spark: SparkSession, most: int) -> DataFrame:
+    """(n, w, at_most, at_least): the share of the 2**n signings of the ranks 1 to n whose positive ranks sum to at most, and at least, w.
 
-    Zeros are dropped (and count neither as wins nor in n); statistic: the lesser rank sum; p by the normal
-    approximation with the correction for ties, 1 where nothing is left or all of it is tied to nothing; wins: pairs with a > b; total: the sum of a - b.
+    Counted by a dynamic programme over ranks: a sum of n ranks has rank n or hasn't. most**3 / 6 rows.
+    """
+    rows, counts = [], [1]
+    for n in range(1, most + 1):
+        counts = [(counts[w] if w < len(counts) else 0) + (counts[w - n] if w >= n else 0) for w in range(len(counts) + n)]
+        below = 0
+        for w, c in enumerate(counts):
+            rows.append((n, float(w), (below + c) / 2**n, (2**n - below) / 2**n))
+            below += c
+    return spark.createDataFrame(rows, "n long, w double, at_most double, at_least double")
+
+
+#: Pairs up to which the distribution of rank sums is counted out.
+EXACT = 50
+
+
+def signed_rank_test(df: DataFrame, a: str, b: str, by: list[str], method: str = "auto", exact: int = EXACT) -> DataFrame:
+    """(by, n, w_plus, statistic, p_two_sided, p_less, p_greater, wins, total, method): paired signed ranks of a - b.
+
+    Zeros are dropped (and count neither as wins nor in n); statistic: the lesser rank sum; wins: pairs with a > b; total: the sum of a - b.
+    method: "auto" counts all signings of the ranks where at most ``exact`` differences are left and none are zero or tied, and takes the normal
+    approximation elsewhere, with the correction for ties (p is 1 where nothing is left); "normal" takes it everywhere. The result says which.
     """
     d = df.withColumn("__d", F.col(a) - F.col(b)).where("__d IS NOT NULL")
-    whole = d.groupBy(*by).agg(F.count_if(F.col("__d") > 0).alias("wins"), F.sum("__d").alias("total"))
+    whole = d.groupBy(*by).agg(F.count_if(F.col("__d") > 0).alias("wins"), F.sum("__d").alias("total"), F.count_if(F.col("__d") == 0).alias("__zeros"))
     ties = d.where("__d <> 0").groupBy(*by, F.abs("__d").alias("__m")).agg(F.count("*").alias("t"))
     ties = ties.groupBy(*by).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     r = whole.join(signed_ranks(df, a, b, by), by, "left").join(ties, by, "left")
@@ -99,7 +119,13 @@ def signed_rank_test(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.coalesce("ties", F.lit(0)) / 48)
     z = F.coalesce((w - n * (n + 1) / 4) / F.nullif(sd, F.lit(0.0)), F.lit(0.0))
     p = lambda c: F.when(n == 0, F.lit(1.0)).otherwise(c)
-    return r.select(*by, n.alias("n"), w.alias("w_plus"), F.least(w, F.coalesce("w_minus", F.lit(0.0))).alias("statistic"), p(2 * normal_above(F.abs(z))).alias("p_two_sided"), p(normal_above(-z)).alias("p_less"), p(normal_above(z)).alias("p_greater"), "wins", "total")
+    out = r.select(*by, n.alias("n"), w.alias("w_plus"), F.least(w, F.coalesce("w_minus", F.lit(0.0))).alias("statistic"), p(2 * normal_above(F.abs(z))).alias("p_two_sided"), p(normal_above(-z)).alias("p_less"), p(normal_above(z)).alias("p_greater"), "wins", "total", (F.lit(method == "auto") & (n > 0) & (n <= exact) & (F.coalesce("ties", F.lit(0)) == 0) & (F.col("__zeros") == 0)).alias("__exact"))
+    if method == "auto":
+        tails = rank_sum_tails(df.sparkSession, exact).select(F.col("n").alias("__n"), F.col("w").alias("__w"), "at_most", "at_least")
+        out = out.join(F.broadcast(tails), F.col("__exact") & (F.col("n") == F.col("__n")) & (F.col("w_plus") == F.col("__w")), "left")  # exact**3 / 6 rows
+        both = F.least(F.lit(1.0), 2 * F.least("at_most", "at_least"))
+        out = out.withColumns({c: F.coalesce(x, F.col(c)) for c, x in (("p_two_sided", both), ("p_less", F.col("at_most")), ("p_greater", F.col("at_least")))})
+    return out.withColumn("method", F.when(F.col("__exact"), "exact").otherwise("normal")).drop("__exact", "__n", "__w", "at_most", "at_least")
 
 
 def full_report(df: DataFrame, label: str, predicted: str) -> DataFrame:
@@ -109,13 +135,3 @@ def full_report(df: DataFrame, label: str, predicted: str) -> DataFrame:
     macro = r.agg(F.lit("macro avg").alias("class"), *[F.avg(c).alias(c) for c in names], F.sum("support").alias("support"))
     weighted = r.agg(F.lit("weighted avg").alias("class"), *[(F.sum(F.col(c) * F.col("support")) / F.nullif(F.sum("support"), F.lit(0))).alias(c) for c in names], F.sum("support").alias("support"))
     return r.withColumn("class", F.col("class").cast("string")).unionByName(macro).unionByName(weighted)
-
-
-def wilcoxon_p(n: int, w: float) -> float:
-    """Two-sided normal approximation, without corrections."""
-    import math
-
-    if n == 0:
-        return 1.0
-    z = (w - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
-    return math.erfc(abs(z) / math.sqrt(2))

@@ -28,8 +28,10 @@ def cap_per_label(df: DataFrame, label: str, order: list[Column], limit: int, ca
     return first(df.where(named)).unionAll(df.where(~named))
 
 
-def ranks(df: DataFrame, by: str, name: str, within: list[str] = (), ranges: int = 64) -> DataFrame:
-    """Adds the rank from 1 by a numeric column of distinct values (within the groups, if any), and ``<name>_of``, the number of rows ranked.
+def ranks(df: DataFrame, by: str, name: str, within: list[str] = (), ranges: int = 64, tie: list[str] = ()) -> DataFrame:
+    """Adds the rank from 1 by a numeric column (within the groups, if any), and ``<name>_of``, the number of rows ranked.
+
+    by and tie together must be distinct, else rows that are equal get their ranks in any order.
 
     The order is cut into ranges by a sketch of the quantiles; a rank is the rows of the ranges before plus the place in
     one's own, so no task sorts a whole table or group.
@@ -39,7 +41,7 @@ def ranks(df: DataFrame, by: str, name: str, within: list[str] = (), ranges: int
     n = r.groupBy(*within, "__b").agg(F.count("*").alias("__n"))
     w = Window.partitionBy(*within)
     n = n.select(*within, "__b", F.coalesce(F.sum("__n").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__a"), F.sum("__n").over(w).alias(f"{name}_of"))
-    own = F.row_number().over(Window.partitionBy(*within, "__b").orderBy(by))
+    own = F.row_number().over(Window.partitionBy(*within, "__b").orderBy(by, *tie))
     return r.join(n, [*within, "__b"]).withColumn(name, (F.col("__a") + own).cast("long")).drop("__a", "__b")
 
 

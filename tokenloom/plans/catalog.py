@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import tokens as K
 from tokenloom.operators import aggregates as A
+from tokenloom.operators import folds as G
+from tokenloom.operators import machines as X
 from tokenloom.operators import metrics as M
 from tokenloom.operators import models as D
 from tokenloom.operators import relational as R
@@ -337,6 +339,47 @@ def linear_svc(e):
     return LinearSVC(maxIter=20, weightCol="w").fit(v).transform(v).select("vec_id", "label", "prediction")
 
 
+def _mapped(e):
+    return e.select("vec_id", "label", X.fourier("embedding", 64, 128, gamma=1.0, seed=SEED).alias("z"))
+
+
+def _fitted(e, kind, vector):
+    m = X.fit(e, "label", vector, kind)
+    return e.select("vec_id", "label", m.predicted(m.margins(V.doubles(vector))).alias("predicted"))
+
+
+@query("embeddings")
+def svc_linear_classes(e):
+    """All labels at once, each against the rest."""
+    return _fitted(e, "classify", "embedding")
+
+
+@query("embeddings")
+def svc_rbf(e):
+    return _fitted(_mapped(e), "classify", "z")
+
+
+@query("embeddings")
+def svr_linear(e):
+    return _fitted(e, "regress", "embedding")
+
+
+@query("embeddings")
+def svr_rbf(e):
+    return _fitted(_mapped(e), "regress", "z")
+
+
+@query("embeddings")
+def grid_search_machines(e):
+    """Linear and kernel machines by each of the three scores, over three folds."""
+    m = e.withColumn("z", X.fourier("embedding", 64, 128, gamma=1.0, seed=SEED)).withColumn("fold", (F.col("vec_id") % 3).cast("int"))
+    m = m.withColumn("low", (F.col("label") < 5).cast("int"))
+    runs = [("linear", "embedding"), ("rbf", "z")]
+    scores = [("accuracy", "classify", "label"), ("roc_auc", "classify", "low"), ("neg_rmse", "regress", "label")]
+    parts = [X.grid_search(m, label, v, "fold", kind, scoring).select(F.lit(kernel).alias("kernel"), F.lit(scoring).alias("scoring"), "c", "score", "sd", "rank") for kernel, v in runs for scoring, kind, label in scores]
+    return reduce(DataFrame.unionAll, parts)
+
+
 @query("embeddings")
 def discriminant2(e):
     return D.discriminant(e, "vec_id", "label", "embedding")[0]
@@ -555,6 +598,30 @@ def group_kfold(e):
     return e.select("event_id", R.group_fold(SEED, F.col("user_id")).alias("fold"))
 
 
+#: Groups one by one, in the order of their shapes: to the fold that shares least with them. x: rows by fold and class.
+_DEALT = """WITH RECURSIVE u AS (SELECT user_id, {counts} AS v, ('0x' || substr(md5('{seed}|' || user_id), 1, 15))::BIGINT AS h FROM events GROUP BY user_id),
+t AS (SELECT list(1 / (s * s)::DOUBLE ORDER BY c) AS w FROM (SELECT c, sum(v[c]) AS s FROM u, (SELECT unnest(range(1, (SELECT max(len(v)) FROM u) + 1)) AS c) GROUP BY c)),
+g AS (SELECT user_id, v, row_number() OVER (ORDER BY list_sum(v) DESC, v DESC, h, user_id) AS k, row_number() OVER (PARTITION BY v ORDER BY h, user_id) AS r FROM u),
+s AS (SELECT 0::BIGINT AS k, [list_transform(w, lambda y: 0::BIGINT), list_transform(w, lambda y: 0::BIGINT), list_transform(w, lambda y: 0::BIGINT)] AS x, 0 AS f, w FROM t
+UNION ALL SELECT k, list_transform([1, 2, 3], lambda i: CASE WHEN i = f THEN list_transform(list_zip(x[i], v), lambda z: z[1] + z[2]) ELSE x[i] END), f, w
+FROM (SELECT g.k, g.v, s.x, s.w, list_min(list_transform([1, 2, 3], lambda i: [list_sum(list_transform(list_zip(x[i], g.v, w), lambda z: z[1] * z[2] * z[3])), list_sum(x[i])::DOUBLE, i::DOUBLE]))[3]::INTEGER AS f FROM s JOIN g ON g.k = s.k + 1)),
+p AS (SELECT g.v, s.f - 1 AS fold, row_number() OVER (PARTITION BY g.v ORDER BY s.f) AS r FROM g JOIN s USING (k))
+SELECT event_id, fold::INTEGER AS fold FROM events JOIN g USING (user_id) JOIN p USING (v, r)"""
+
+
+_TYPES = "[" + ", ".join(f"count(*) FILTER (WHERE event_type = '{t}')" for t in ("click", "error", "purchase", "signup", "view")) + "]"
+
+
+@query("events", sql=_DEALT.format(counts="[count(*)]", seed=SEED))
+def balanced_group_folds(e):
+    return G.group_folds(e.select("event_id", "user_id"), "user_id", seed=SEED).select("event_id", "fold")
+
+
+@query("events", sql=_DEALT.format(counts=_TYPES, seed=SEED))
+def stratified_group_folds(e):
+    return G.group_folds(e.select("event_id", "user_id", "event_type"), "user_id", "event_type", seed=SEED).select("event_id", "fold")
+
+
 _FITS = "CASE WHEN tr + s <= 0.8 * n THEN {} WHEN tr + va + s <= 0.9 * n THEN {} ELSE {} END"
 
 
@@ -862,10 +929,26 @@ z AS (SELECT *, (wp - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - t
 p AS (SELECT *, 1 / (1 + {M.ERFC[0]} * abs(z) / sqrt(2)) AS t FROM z), q AS (SELECT *, {_TAIL} AS tail FROM p)
 SELECT g, n, round(wp, 6) AS w_plus, round(least(wp, wm), 6) AS statistic, round(2 * tail, 6) AS p_two_sided, round({_ABOVE.format('-z', 'tail')}, 6) AS p_less, round({_ABOVE.format('z', 'tail')}, 6) AS p_greater, wins, round(total, 6) AS total FROM q""")
 def wilcoxon_test(li):
-    t = M.signed_rank_test(_paired(li), "a", "b", ["g"])
+    t = M.signed_rank_test(_paired(li), "a", "b", ["g"], method="normal")
     return t.select("g", "n", *[r6(c).alias(c) for c in ("w_plus", "statistic", "p_two_sided", "p_less", "p_greater")], "wins", r6("total").alias("total"))
 
 
+#: The subsets of the ranks 1 to n with each sum, from those of the ranks 1 to n - 1.
+@query("orders", sql="""WITH RECURSIVE m AS (SELECT o_custkey // 40 AS g, max(o_totalprice) FILTER (WHERE o_orderkey % 2 = 1) - max(o_totalprice) FILTER (WHERE o_orderkey % 2 = 0) AS d FROM orders GROUP BY o_custkey),
+c(n, w, c) AS (SELECT 0::BIGINT, 0::BIGINT, 1::HUGEINT UNION ALL SELECT n + 1, w + x * (n + 1), sum(c) FROM c, (VALUES (0), (1)) t(x) WHERE n < 40 GROUP BY 1, 2),
+tails AS (SELECT n, w, sum(c) OVER (PARTITION BY n ORDER BY w) / pow(2, n) AS at_most, sum(c) OVER (PARTITION BY n ORDER BY w DESC) / pow(2, n) AS at_least FROM c),
+r AS (SELECT g, d, row_number() OVER (PARTITION BY g ORDER BY abs(d)) AS k FROM m WHERE d <> 0),
+s AS (SELECT g, count(*) AS n, coalesce(sum(k) FILTER (WHERE d > 0), 0) AS w, count(DISTINCT abs(d)) AS kinds FROM r GROUP BY g)
+SELECT g, n, w::DOUBLE AS w_plus, round(at_most, 9) AS p_less, round(at_least, 9) AS p_greater, round(least(1, 2 * least(at_most, at_least)), 9) AS p_two_sided
+FROM s JOIN tails USING (n, w) WHERE kinds = n AND g NOT IN (SELECT g FROM m WHERE d = 0)""")
+def wilcoxon_exact(o):
+    """Customers' dearest odd order against the dearest even one, in groups of 40 customers; groups with ties or zeros have no exact p."""
+    dearest = lambda odd: F.max(F.when(F.col("o_orderkey") % 2 == odd, F.col("o_totalprice")))
+    pairs = o.groupBy(F.floor(F.col("o_custkey") / 40).alias("g"), "o_custkey").agg(dearest(1).alias("a"), dearest(0).alias("b"))
+    t = M.signed_rank_test(pairs, "a", "b", ["g"]).where("method = 'exact'")
+    return t.select("g", "n", "w_plus", *[F.round(c, 9).alias(c) for c in ("p_less", "p_greater", "p_two_sided")])
+
+
 @query("embeddings", sql="SELECT round(-1.1 * greatest(abs(min(x)), abs(max(x))), 6) AS lo, round(1.1 * greatest(abs(min(x)), abs(max(x))), 6) AS hi FROM (SELECT unnest(embedding)::DOUBLE AS x FROM embeddings)")
 def axis_limits(e):
     x = F.col("x")
