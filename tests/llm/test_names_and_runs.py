@@ -1,0 +1,47 @@
+"""Columns whose names differ from an output's in case only, and long runs of spaces."""
+
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from tokenloom.llm import bpe_codec, token_counts, toxicity, url_filter
+
+
+def test_columns_that_differ_in_case_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "some text", 5, "x", 0.5, 1), (2, None, 6, "y", 0.1, 0)], "doc_id long, text string, N_TOKENS int, Ids_Sha256 string, Score double, toxic int")
+    counted = token_counts.count_tokens(docs, limit=3)
+    assert [c for c in counted.columns if c.lower() == "n_tokens"] == ["n_tokens"]
+    assert sorted(r.n_tokens for r in counted.select("n_tokens").collect()) == [0, 2]
+    encoded = bpe_codec.encode(docs)
+    assert [c for c in encoded.columns if c.lower() == "ids_sha256"] == ["ids_sha256"]
+    assert encoded.select("ids_sha256", "N_TOKENS").count() == 2
+    labelled = spark.createDataFrame([(i, ("awful " if i % 2 else "kind ") * 9, i % 2) for i in range(40)], "doc_id long, text string, toxic int")
+    model = toxicity.fit(toxicity.training_rows(labelled.drop("toxic"), labelled.select("doc_id", "toxic")))
+    scored = toxicity.score(docs, model)
+    assert [c for c in scored.columns if c.lower() == "score"] == ["score"]
+    assert scored.where(F.col("score").between(0, 1)).count() == 2
+    pages = spark.createDataFrame([(1, "http://a.com/x", "h", "v")], "page_id long, url string, HOST string, Verdict string")
+    judged = url_filter.judge_urls(pages, [("block", "com", "/")])
+    assert sorted(c for c in judged.columns if c.lower() in ("host", "verdict")) == ["host", "verdict"]
+    assert judged.select("host", "verdict").first() == ("a.com", "block")
+
+
+@pytest.mark.parametrize("around", [("", ""), ("a", "b"), ("x ", "\n  y")])
+def test_runs_of_spaces_of_every_length_match_the_library(around):
+    c = token_counts.counter()
+    for n in [*range(300), 1000, 4097, 70_000]:
+        text = around[0] + " " * n + around[1]
+        assert c.count(text) == len(c.sp.encode(text)), n
+
+
+def test_million_spaces_take_linear_time():
+    c = token_counts.counter()
+    for x in (" ", "\t", token_counts.MARK):
+        start = time.time()
+        assert c.count("a" + x * 1_000_000 + "b") == len(c.sp.encode("a" + x * 1_000_000 + "b"))
+        assert time.time() - start < 20  # a second or two; cubic time would never end
+    text = " " * 100_000
+    cut = c.longest(text, 1000)
+    assert len(c.sp.encode(text[:cut])) <= 1000 < len(c.sp.encode(text[: cut + 1]))
+    assert len(c.runs) <= token_counts.RUNS + 2

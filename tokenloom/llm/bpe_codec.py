@@ -201,7 +201,7 @@ def encode(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, keep
     shared.text_batches(docs.sparkSession)
     new = [("n_tokens", T.LongType())] + ([("ids", T.ArrayType(T.IntegerType(), False)), ("decoded", T.StringType())] if ids else []) + [("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     names = {n for n, _ in new}
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    keep = shared.without(docs.columns if keep is None else keep, names)
     (body,) = shared.free(keep, "text_to_encode")
     source = docs.select(*[docs[c] for c in keep], docs[text].alias(body))
     schema = T.StructType([source.schema[c] for c in keep] + [T.StructField(n, t, True) for n, t in new])

@@ -78,6 +78,12 @@ def free(columns, *names: str) -> list[str]:
     return out
 
 
+def without(columns, names) -> list[str]:
+    """The columns that none of the names replaces, whatever the case of their letters."""
+    taken = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in taken]
+
+
 def text_batches(spark: SparkSession) -> None:
     """Bounds Arrow batches at ``BATCH_BYTES``: a task holds a few of them, on both sides, beside its own work."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

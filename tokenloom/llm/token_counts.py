@@ -9,7 +9,7 @@ a search in them and, inside one word, a look at that word's own prefix counts.
 
 The rules are those of the sentencepiece BPE model with byte fallback: a word mark in front of the text,
 each space a word mark, characters outside the vocabulary as their UTF-8 bytes, no begin or end token.
-Runs of word marks have equal scores and are counted by simulating the merges from the left, once per length.
+Runs of word marks have equal scores and are counted by simulating the merges from the left, all lengths in one pass.
 
 Defined results: null text counts as empty (0 tokens, no words); control strings in a text are ordinary text; a text without any space is
 one word, of any length (time and memory grow in proportion to it); an empty table gives an empty result; repeated rows are counted
@@ -19,6 +19,7 @@ each; other columns pass through, except that columns named like an output colum
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes of a generation of cached words with a mark in front; of pairs of tokens.
 CACHE, PAIRS = 192 << 20, 300_000
+#: Word marks in a row whose counts are kept between texts.
+RUNS = 1 << 16
 
 
 class PrefixCounter:
@@ -49,7 +52,10 @@ class PrefixCounter:
         self.endings |= dict.fromkeys(self.rank, True)
         self.inside = {p[k : k + 2] for p in self.rank for k in range(len(p) - 1)}
         self.fits: dict[tuple[str, str], bool] = {}
-        self.runs: dict[int, int] = {0: 0}
+        # lengths of the entries that are word marks alone, and whether merging any of them counts the same
+        self.marks = {len(p) for p in self.rank if not p.strip(MARK)}
+        self.even = len({self.rank[MARK * k] for k in self.marks if k > 1}) <= 1
+        self.runs = array("l", [0])
         self.table: tuple[str, list[int], list[str], list[int], list[int]] = ("", [0], [""], [0], [0])
         # totals of words with and without the mark in front
         self.marked = shared.TwoGenerations(self._total_marked, CACHE, each=130)
@@ -111,27 +117,43 @@ class PrefixCounter:
         self.fits[a, b] = known
         return known
 
-    def run_of_marks(self, n: int) -> int:
-        """Tokens of n word marks alone."""
-        if n not in self.runs:
-            can = lambda k: MARK * k in self.rank
-            if len({self.rank[MARK * k] for k in range(2, n + 1) if can(k)}) > 1:
-                self.runs[n] = len(self.merge(MARK * n))
-                return self.runs[n]
-            # equal scores: the leftmost pair that can merge does; no two neighbours in out can
-            out: list[int] = []
-            left = n
-            while left:
-                if out and can(out[-1] + 1):
-                    out[-1] += 1
-                    left -= 1
-                else:
-                    out.append(2 if left > 1 and can(2) else 1)
-                    left -= out[-1]
-                while len(out) > 1 and can(out[-2] + out[-1]):
-                    out[-2:] = [out[-2] + out[-1]]
-            self.runs[n] = len(out)
-        return self.runs[n]
+    def runs_of_marks(self, n: int) -> array:
+        """counts[k]: tokens of k word marks alone, for all k up to n at least; in one pass, kept up to ``RUNS``."""
+        if n < len(self.runs):
+            return self.runs
+        if not self.even:  # unequal scores: merged out, each length by itself
+            counts = array("l", [len(self.merge(MARK * k)) for k in range(n + 1)])
+        else:
+            counts = self._even_runs(max(n, min(RUNS, 2 * len(self.runs) + 256)))
+        if n <= RUNS:
+            self.runs = counts
+        return counts
+
+    def _even_runs(self, n: int) -> array:
+        """With equal scores the leftmost pair that can merge does. So marks are taken from the left, by pairs where two merge, and what
+        has been taken doesn't depend on how many follow, but for a last single mark: one stack gives the counts of all lengths. A token
+        has a bounded length, so each mark looks back at a bounded part of the stack.
+        """
+        can = self.marks.__contains__
+        out: list[int] = []
+        counts = array("l", [0])
+        while len(counts) <= n:
+            if out and can(out[-1] + 1):
+                out[-1] += 1
+                taken = 1
+            else:
+                taken = 2 if can(2) else 1
+                if taken == 2:  # as many as now and one: the single mark merges back as far as it can
+                    top, k = 1, len(out)
+                    while k and can(out[k - 1] + top):
+                        k -= 1
+                        top += out[k]
+                    counts.append(k + 1)
+                out.append(taken)
+            while len(out) > 1 and can(out[-2] + out[-1]):
+                out[-2:] = [out[-2] + out[-1]]
+            counts.append(len(out))
+        return counts
 
     def prefixes(self, chunk: str) -> list[int]:
         """counts[i]: tokens of the first i characters, for a chunk with at most one mark, in front; ``heads[i]`` then is the length of the first.
@@ -216,9 +238,8 @@ class PrefixCounter:
         if marks <= 1:
             return self.prefixes(MARK * marks + word)
         # the run's last mark is the first token of mark + word, alone or with the word's beginning
-        out = [self.run_of_marks(k) for k in range(marks + 1)]
-        alone, run, run_but_one = self.prefixes(MARK + word), self.run_of_marks(marks), self.run_of_marks(marks - 1)
-        return out + [run_but_one + n if head > 1 else run + n - 1 for n, head in zip(alone[2:], self.heads[2:], strict=True)]
+        runs, alone = self.runs_of_marks(marks), self.prefixes(MARK + word)
+        return [*runs[: marks + 1], *(runs[marks - 1] + n if head > 1 else runs[marks] + n - 1 for n, head in zip(alone[2:], self.heads[2:], strict=True))]
 
     def word_counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(ends, counts): the end of each word (characters of the text), and the tokens of the text up to there.
@@ -266,7 +287,11 @@ class PrefixCounter:
     def _word_total(self, marks: int, word: str) -> int:
         """Tokens of some marks and a word."""
         if marks > 1 or not word:
-            return self._with_run(marks, word)[-1]
+            runs = self.runs_of_marks(marks)
+            if not word or marks <= 1:
+                return runs[marks] if not word else self._with_run(marks, word)[-1]
+            n = self.prefixes(MARK + word)[-1]
+            return runs[marks - 1] + n if self.heads[-1] > 1 else runs[marks] + n - 1
         if "\n" in self.rank:
             return self.marked[word]
         head, *lines = word.split("\n")
@@ -321,7 +346,7 @@ def count_tokens(docs: DataFrame, text: str = "text", model: str = MODEL, limit:
     if words:
         new += [T.StructField(n, T.ArrayType(T.IntegerType(), False)) for n in ("word_ends", "word_tokens")]
     names = {f.name for f in new}
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    keep = shared.without(docs.columns if keep is None else keep, names)
     (body,) = shared.free(keep, "text_to_count")
     source = docs.select(*[docs[c] for c in keep], docs[text].alias(body))
 

@@ -196,7 +196,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     shared.text_batches(spark)
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())]))
     new = [T.StructField(name, T.DoubleType())] + ([T.StructField("offending", spans)] if located else [])
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in {f.name for f in new}]
+    keep = shared.without(docs.columns if keep is None else keep, [f.name for f in new])
     (body,) = shared.free(keep, "text_to_score")
     source = docs.select(*[docs[c] for c in keep], docs[text].alias(body))
     sent = spark.sparkContext.broadcast(model)  # BINS floats

@@ -88,7 +88,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule] | DataFrame, url: str = "url"
     """pages with host, path, rule and verdict; rules: tuples, or a table (verdict, host, path)."""
     spark = pages.sparkSession
     new = ["host", "path", "rule", "verdict"]
-    keep = [c for c in (pages.columns if keep is None else keep) if c not in new]
+    keep = shared.without(pages.columns if keep is None else keep, new)
     if isinstance(rules, DataFrame):
         table = rules.select("verdict", "host", "path")
         size = table.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 64), F.lit(0))).first()[0]
