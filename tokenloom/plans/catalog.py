@@ -16,6 +16,8 @@ from tokenloom.operators import metrics as M
 from tokenloom.operators import models as D
 from tokenloom.operators import relational as R
 from tokenloom.operators import vectors as V
+from tokenloom.sources import corpora as C
+from tokenloom.sources import sinks as O
 from tokenloom.sources import text as S
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -407,6 +409,85 @@ def label_linkage(e):
     return D.complete_linkage(d, "a", "b", "d")
 
 
+# -- tables written by sinks and read back
+
+
+@query("supplier", sql="SELECT s_suppkey AS title, s_nationkey AS atoms, s_suppkey % 7 AS bonds, s_name AS name, s_acctbal AS balance, 'ok' AS status FROM supplier")
+def sdf_round_trip(s):
+    path = C.folder(s.sparkSession, "sdf")
+    structure = F.concat(F.lit("made\n\n"), F.lpad(F.col("s_nationkey").cast("string"), 3, " "), F.lpad((F.col("s_suppkey") % 7).cast("string"), 3, " "), F.lit("  0  0"))
+    C.write_sdf(s, C.sdf_record(F.col("s_suppkey").cast("string"), structure, {"name": F.col("s_name"), "balance": F.col("s_acctbal")}), path)
+    r = C.property_columns(C.sdf(s.sparkSession, path), {"name": "string", "balance": "double"})
+    return r.select(F.col("title").cast("long").alias("title"), F.col("atoms").cast("long").alias("atoms"), F.col("bonds").cast("long").alias("bonds"), "name", "balance", "status")
+
+
+@query("documents", sql="""SELECT (k - 1) // 1000 AS chunk, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY k)) AS lines FROM (
+SELECT line, row_number() OVER (ORDER BY doc_id, line_no) AS k FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY 1""")
+def lines_by_thousands(d):
+    """The documents' lines, written in order, split into files of 1000 lines, and read again: lines of each file, in its order."""
+    spark = d.sparkSession
+    whole, parts = C.folder(spark, "lines"), C.folder(spark, "parts")
+    O.text_lines(d.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), F.col("text"), whole)
+    C.split_lines(spark, whole, parts, 1000)
+    files = spark.read.text(parts, wholetext=True).select("chunk", F.regexp_replace("value", r"\n\z", "").alias("v"))  # a file is 1000 lines
+    return files.select(F.col("chunk").cast("long").alias("chunk"), F.size(F.split("v", "\n")).cast("long").alias("n"), F.md5("v").alias("lines"))
+
+
+@query("customer", sql="SELECT c_custkey, c_nationkey, c_acctbal FROM customer")
+def shards_merged(c):
+    """Three shards, merged into one table; the shards go."""
+    spark, path = c.sparkSession, C.folder(c.sparkSession, "shards")
+    for k in range(3):
+        C.add_shard(c.where(F.col("c_custkey") % 3 == k).select("c_custkey", "c_nationkey", "c_acctbal"), path)
+    return C.merge_shards(spark, path, f"{path}/merged", remove=True)
+
+
+@query("customer", sql="SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer")
+def csv_round_trip(c):
+    """Written with a header, read by position under other names."""
+    path = C.folder(c.sparkSession, "csv")
+    O.csv(c.select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), path)
+    return S.csv(c.sparkSession, path, "id long, name string, balance double, segment string")
+
+
+@query("orders", sql="SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
+def partitioned_round_trip(o):
+    path = C.folder(o.sparkSession, "partitioned")
+    O.partitioned(o.select("o_orderkey", "o_totalprice", "o_orderstatus"), path, "o_orderstatus")
+    return o.sparkSession.read.parquet(path).select("o_orderkey", "o_totalprice", "o_orderstatus")
+
+
+@query("lineitem", sql="SELECT l_returnflag AS run, count(*) AS n, round(avg(l_quantity), 6) AS score FROM lineitem GROUP BY 1")
+def scores_appended(li):
+    """Each flag's score is appended to one table by a run of its own."""
+    path = C.folder(li.sparkSession, "scores")
+    rows = li.groupBy(F.col("l_returnflag").alias("run")).agg(F.count("*").alias("n"), r6(F.avg("l_quantity")).alias("score"))
+    for flag in ("A", "N", "R"):
+        O.scores(rows.where(F.col("run") == flag), path)
+    return S.csv(li.sparkSession, path, "run string, n long, score double")
+
+
+@query("events", sql="SELECT event_type AS token, count(*) AS cnt FROM events GROUP BY 1")
+def vocabulary_round_trip(e):
+    path = C.folder(e.sparkSession, "vocabulary")
+    O.save_vocabulary(K.vocabulary(e.select("event_type"), "event_type"), path)
+    return O.load_vocabulary(e.sparkSession, path).where(~F.col("token").isin(K.SPECIALS)).select("token", "cnt")
+
+
+@query("part", sql="SELECT p_partkey, rpad(p_partkey::VARCHAR, 10, ' ') || rpad(coalesce(p_brand, ''), 12, ' ') || rpad(p_size::VARCHAR, 4, ' ') AS line FROM part")
+def fixed_width_lines(p):
+    return p.select("p_partkey", O.fixed_width([("p_partkey", 10), ("p_brand", 12), ("p_size", 4)]).alias("line"))
+
+
+@query("customer", sql="SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1")
+def cached_table(c):
+    """Computed and written once; the second call reads."""
+    spark, path = c.sparkSession, C.folder(c.sparkSession, "cached")
+    compute = lambda: c.groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    O.cached(spark, path, compute, table="customer", by="c_nationkey")
+    return O.cached(spark, path, lambda: c.limit(0).groupBy("c_nationkey").agg(F.count("*").alias("n")), table="customer", by="c_nationkey")
+
+
 # -- aggregations
 
 
