@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tokenloom.functions import configs as N
 from tokenloom.functions import tokens as K
 from tokenloom.operators import aggregates as A
 from tokenloom.operators import folds as G
@@ -409,6 +410,29 @@ def label_linkage(e):
     return D.complete_linkage(d, "a", "b", "d")
 
 
+# -- settings in names
+
+
+@query("part", sql="""SELECT p_partkey, string_split(n, '_')[1] AS embedding, string_split(n, '_')[2] AS tokenizer, string_split(n, '_')[3] AS dataset, coalesce(string_split(n, '_')[4], 'bart') AS architecture
+FROM (SELECT p_partkey, replace(p_type, ' ', '_') || '_' || p_size || CASE WHEN p_partkey % 2 = 0 THEN '_standard_roberta' ELSE '_isomers' END AS n FROM part)""")
+def tokenizer_names(p):
+    end = F.when(F.col("p_partkey") % 2 == 0, "_standard_roberta").otherwise("_isomers")
+    named = p.select("p_partkey", F.concat(F.replace("p_type", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_size").cast("string"), end).alias("n"))
+    return named.select("p_partkey", N.parse_tokenizer(F.col("n")).alias("t")).select("p_partkey", "t.*")
+
+
+@query("lineitem", sql="SELECT l_orderkey, l_linenumber, l_discount::DOUBLE AS learning_rate, l_tax::DOUBLE AS dropout, CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey::VARCHAR END AS seed FROM lineitem")
+def hyperparameter_names(li):
+    end = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("_seed_"), F.col("l_suppkey").cast("string"))).otherwise("")
+    named = li.select("l_orderkey", "l_linenumber", F.concat(F.col("l_discount").cast("string"), F.lit("_"), F.col("l_tax").cast("string"), end).alias("n"))
+    return named.select("l_orderkey", "l_linenumber", N.parse_hyperparams(F.col("n"), seed=True).alias("h")).select("l_orderkey", "l_linenumber", "h.*")
+
+
+@query("nation", sql="""SELECT n_name AS task, tokenizer, mode, lr FROM nation, (VALUES ('smiles'), ('selfies')) a(tokenizer), (VALUES ('standard'), ('isomers')) b(mode), (VALUES (5e-6::DOUBLE), (1e-5), (5e-5)) c(lr)""")
+def settings_grid(n):
+    return N.grid(n.select(F.col("n_name").alias("task")), tokenizer=["smiles", "selfies"], mode=["standard", "isomers"], lr=[5e-6, 1e-5, 5e-5])
+
+
 # -- tables written by sinks and read back
 
 

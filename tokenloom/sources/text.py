@@ -50,7 +50,8 @@ def json_maps(spark: SparkSession, path: str, value: str = "string") -> DataFram
 
 def estimator_report(content: Column) -> Column:
     """struct<estimator, params> of a report: its first line, then a literal of names and scalars that may go over lines."""
-    rest = F.array_join(F.transform(F.slice(F.split(content, "\n"), 2, 1_000_000), lambda x: F.trim(x)), "")
+    line = F.split(content, "\n")
+    rest = F.array_join(F.transform(F.slice(line, 2, F.size(line)), lambda x: F.trim(x)), "")
     pairs = F.regexp_extract_all(rest, F.lit(r"'([^']*)'\s*:\s*('[^']*'|[^,{}]+)"), F.lit(0))
     entry = lambda p: F.struct(F.regexp_extract(p, r"^'([^']*)'", 1).alias("key"), F.trim(F.regexp_replace(F.regexp_replace(p, r"^'[^']*'\s*:\s*", ""), "'", "")).alias("value"))
     good = rest.rlike(r"(?s)^\s*\{.*\}\s*$")
@@ -112,6 +113,9 @@ def attention_tables(rows: DataFrame, file: str = "path", no: str = "line_no", l
 
 
 def after_marker(rows: DataFrame, marker: str, file: str = "path", no: str = "line_no", line: str = "line") -> DataFrame:
-    """(file, value): the line after each marker line."""
+    """(file, value): the line after each marker line, null where none follows; a file without a marker fails."""
     w = Window.partitionBy(file).orderBy(no)
-    return rows.withColumn("value", F.lead(line).over(w)).where(F.trim(line) == marker).select(file, F.trim("value").alias("value"))
+    marked = F.coalesce(F.trim(line) == marker, F.lit(False))
+    r = rows.withColumns({"value": F.lead(line).over(w), "__n": F.count_if(marked).over(Window.partitionBy(file)), "__m": marked, "__k": F.row_number().over(w)})
+    missing = F.raise_error(F.concat(F.lit(f"no line {marker!r} in "), F.col(file).cast("string"))).cast("string")
+    return r.where(F.col("__m") | ((F.col("__n") == 0) & (F.col("__k") == 1))).select(file, F.when(F.col("__n") == 0, missing).otherwise(F.trim("value")).alias("value"))
