@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions import configs as N
 from tokenloom.functions import tokens as K
 from tokenloom.operators import aggregates as A
+from tokenloom.operators import clusters as L
 from tokenloom.operators import folds as G
 from tokenloom.operators import machines as X
 from tokenloom.operators import metrics as M
@@ -401,13 +402,31 @@ def balanced_logistic(e):
     return D.balanced_logistic(e, "vec_id", "label", "embedding")
 
 
+def _label_means(e):
+    return e.select("label", F.posexplode(V.doubles("embedding")).alias("pos", "x")).where("label IS NOT NULL").groupBy("label", "pos").agg(F.avg("x").alias("x"))
+
+
+def _apart(rows):
+    """(a, b, d): the distance of each two labels' rows (label, pos, x)."""
+    other = rows.select(F.col("label").alias("b"), "pos", F.col("x").alias("y"))
+    pairs = rows.select(F.col("label").alias("a"), "pos", "x").join(other, "pos").where("a < b")
+    return pairs.groupBy("a", "b").agg(F.sqrt(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y")))).alias("d"))
+
+
 @query("embeddings")
 def label_linkage(e):
     """Complete linkage of the labels by the distances of their mean vectors."""
-    m = e.select("label", F.posexplode(V.doubles("embedding")).alias("pos", "x")).groupBy("label", "pos").agg(F.avg("x").alias("x"))
-    pairs = m.select(F.col("label").alias("a"), "pos", "x").join(m.select(F.col("label").alias("b"), "pos", F.col("x").alias("y")), "pos").where("a < b")
-    d = pairs.groupBy("a", "b").agg(F.sqrt(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y")))).alias("d"))
-    return D.complete_linkage(d, "a", "b", "d")
+    return L.linkage(_apart(_label_means(e)), "a", "b", "d")
+
+
+@query("embeddings")
+def similarity_linkage(e):
+    """Complete linkage of the labels by the distances of their rows in the matrix of their means' cosines."""
+    m = _label_means(e)
+    both = m.join(m.select(F.col("label").alias("other"), "pos", F.col("x").alias("y")), "pos").groupBy("label", "other")
+    dot = lambda a, b: F.sum(F.col(a) * F.col(b))
+    cosines = both.agg((dot("x", "y") / F.nullif(F.sqrt(dot("x", "x")) * F.sqrt(dot("y", "y")), F.lit(0.0))).alias("x"))
+    return L.linkage(_apart(cosines.select("label", F.col("other").alias("pos"), F.coalesce("x", F.lit(0.0)).alias("x"))), "a", "b", "d")
 
 
 # -- settings in names
