@@ -47,7 +47,8 @@ def test_signed_ranks_beyond_the_exact_case(spark):
     assert 5 not in got
     normal = {r.g: r for r in M.signed_rank_test(df, "a", "b", ["g"], method="normal").collect()}
     assert abs(normal[4].p_two_sided - got[4].p_two_sided) < 0.01
-    assert got[3].p_less == normal[3].p_less
+    for g in (1, 2, 3):
+        assert [got[g][c] for c in ("p_two_sided", "p_less", "p_greater")] == [normal[g][c] for c in ("p_two_sided", "p_less", "p_greater")]
     z = (4.5 - 3) / math.sqrt(14 / 4 - 6 / 48)  # ranks 1.5, 1.5 and 3
     assert got[1].p_greater == pytest.approx(math.erfc(z / math.sqrt(2)) / 2, abs=1e-6)
 

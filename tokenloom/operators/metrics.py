@@ -123,7 +123,7 @@ def signed_rank_test(df: DataFrame, a: str, b: str, by: list[str], method: str =
     if method == "auto":
         tails = rank_sum_tails(df.sparkSession, exact).select(F.col("n").alias("__n"), F.col("w").alias("__w"), "at_most", "at_least")
         out = out.join(F.broadcast(tails), F.col("__exact") & (F.col("n") == F.col("__n")) & (F.col("w_plus") == F.col("__w")), "left")  # exact**3 / 6 rows
-        both = F.least(F.lit(1.0), 2 * F.least("at_most", "at_least"))
+        both = F.when(F.col("at_most").isNotNull(), F.least(F.lit(1.0), 2 * F.least("at_most", "at_least")))  # least passes over nulls
         out = out.withColumns({c: F.coalesce(x, F.col(c)) for c, x in (("p_two_sided", both), ("p_less", F.col("at_most")), ("p_greater", F.col("at_least")))})
     return out.withColumn("method", F.when(F.col("__exact"), "exact").otherwise("normal")).drop("__exact", "__n", "__w", "at_most", "at_least")
 
