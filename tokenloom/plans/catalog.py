@@ -373,11 +373,15 @@ def svr_rbf(e):
     return _fitted(_mapped(e), "regress", "z")
 
 
+#: Steps at which the fits of a grid search are stopped: each is a pass or more over the rows.
+SEARCH_STEPS = 12
+
+
 def _searched(e, scoring, kind, label):
     """Linear and kernel machines over three folds."""
     m = e.withColumn("z", X.fourier("embedding", 64, 128, gamma=1.0, seed=SEED)).withColumn("fold", (F.col("vec_id") % 3).cast("int"))
     m = m.withColumn("low", (F.col("label") < 5).cast("int"))
-    runs = [X.grid_search(m, label, v, "fold", kind, scoring).select(F.lit(kernel).alias("kernel"), "c", "score", "sd", "rank") for kernel, v in (("linear", "embedding"), ("rbf", "z"))]
+    runs = [X.grid_search(m, label, v, "fold", kind, scoring, steps=SEARCH_STEPS).select(F.lit(kernel).alias("kernel"), "c", "score", "sd", "rank") for kernel, v in (("linear", "embedding"), ("rbf", "z"))]
     return runs[0].unionAll(runs[1])
 
 
