@@ -1,0 +1,115 @@
+"""Cores of line notations, their keys, and splits by them."""
+
+import itertools
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tokenloom.functions import tokens as K
+from tokenloom.operators import scaffolds as W
+
+
+def cores(spark, strings):
+    df = spark.createDataFrame(list(enumerate(strings)), "i int, s string").select("i", W.core(K.tokenize(F.coalesce("s", F.lit("")))).alias("c"))
+    return [(r.status, r.core_atoms, r.key) for r in df.select("i", "c.*", W.core_key(F.col("c.core")).alias("key")).orderBy("i").collect()]
+
+
+SAME = [
+    ["c1ccccc1", "Cc1ccccc1", "c1ccccc1CCO", "OC(=O)c%12ccc(N)cc%12", "[H]c1ccccc1", "c1ccc(cc1)[N+](=O)[O-]"],
+    ["C1CCC1C1CC1", "C1CC1C1CCC1", "NC1C(C2CC2F)CC1"],
+    ["c1ccc(cc1)-c1ccccc1", "c1ccccc1c1ccccc1"],  # a bond between rings is single, written or not
+    ["c1cc[nH]c1", "Cn1cccc1"],
+    ["C1CCC2CCCCC2C1", "C1CC2CCCCC2CC1"],  # two rings that share a bond
+    ["C1CCCC1C1CCCC1", "C1(CCCC1)C1CCCC1"],  # as many atoms and bonds, and of the same degrees, as the one before
+    ["C1CC1.CCC", "CCCC.C1CC1"],
+    ["CCO", "N#N", "CC(C)(C)C.O"],
+    ["C1CC=1", "C=1CC1", "C1C=C1"],
+    ["C1CC[NH2+]1", "C1C[N+](C)(C)C1"],
+    ["C1CCN1", "C1CNC1"],
+]
+
+
+def test_equal_cores_have_equal_keys(spark):
+    strings = [s for group in SAME for s in group]
+    got = cores(spark, strings)
+    assert all(s == "ok" for s, _, _ in got)
+    keys = iter(got)
+    groups = [{next(keys)[2] for _ in group} for group in SAME]
+    assert [len(g) for g in groups] == [1] * len(SAME)
+    assert len(set.union(*groups)) == len(SAME)
+    assert groups[7] == {""}
+
+
+@pytest.mark.parametrize(("text", "status"), [(None, "no atoms"), ("", "no atoms"), ("C1CC", "open ring"), ("C(C", "open branch"), ("CC=", "open bond"), ("C11", "repeated bond"), ("C1C1", "repeated bond"), ("C=1CC#1", "two kinds of bond"), ("C1.C1", "ring over a dot"), ("C)C", "unreadable token"), ("a long walk", "unreadable token"), ("CC>>CC", "unreadable token"), ("(C)", "unreadable token"), ("=C", "unreadable token"), ("[]", "unreadable token")])
+def test_strings_that_are_not_read(spark, text, status):
+    assert cores(spark, [text]) == [(status, None, None)]
+
+
+def written(n, bonds, order):
+    """A string of a connected graph, walked from order's first atom in that order."""
+    near = {a: [b for b in order if (a, b) in bonds or (b, a) in bonds] for a in range(n)}
+    tree, seen = {}, set()
+
+    def walk(a, above):
+        seen.add(a)
+        tree[a] = []
+        for b in near[a]:
+            if b not in seen:
+                tree[a].append(b)
+                walk(b, a)
+
+    walk(order[0], None)
+    inside = {frozenset((a, b)) for a in tree for b in tree[a]}
+    rings = [tuple(x) for x in bonds if frozenset(x) not in inside]
+    text = lambda a: "C" + "".join(f"%{k + 10}" for k, r in enumerate(rings) if a in r) + "".join(f"({text(b)})" for b in tree[a])
+    return text(order[0])
+
+
+def test_random_graphs_against_peeling_by_the_definition(spark):
+    rng = random.Random(5)
+    strings, expected, key = [], [], []
+    for g in range(30):
+        n = rng.randrange(3, 11)
+        bonds = {(rng.randrange(b), b) for b in range(1, n)}
+        bonds |= set(rng.sample([x for x in itertools.combinations(range(n), 2) if x not in bonds], min(rng.randrange(4), n * (n - 1) // 2 - len(bonds))))
+        left, atoms = set(bonds), set(range(n))
+        while drop := {a for a in atoms if sum(a in x for x in left) < 2}:
+            atoms -= drop
+            left = {x for x in left if not drop & set(x)}
+        for _ in range(3):
+            strings.append(written(n, bonds, rng.sample(range(n), n)))
+            expected.append(len(atoms))
+            key.append(frozenset(left) and g)
+    got = cores(spark, strings)
+    assert [c for _, c, _ in got] == expected
+    for k in range(0, len(strings), 3):
+        assert len({x[2] for x in got[k : k + 3]}) == 1
+
+
+def isomorphic(one, two, n):
+    return any({frozenset((p[a], p[b])) for a, b in one} == {frozenset(x) for x in two} for p in itertools.permutations(range(n)))
+
+
+def test_keys_tell_all_small_graphs_apart():
+    every = list(itertools.combinations(range(5), 2))
+    kinds = {}
+    for size in range(11):
+        for bonds in itertools.combinations(every, size):
+            if all(sum(a in x for x in bonds) >= 2 for a in range(5)):
+                kinds.setdefault(W._key("//C," * 4 + "//C|" + ",".join(f"{a} {b} -" for a, b in bonds)), []).append(bonds)
+    firsts = [v[0] for v in kinds.values()]
+    assert len(firsts) > 5
+    assert not any(isomorphic(a, b, 5) for a, b in itertools.combinations(firsts, 2))
+    assert all(isomorphic(v[0], v[-1], 5) for v in kinds.values())
+
+
+def test_long_strings_and_split(spark):
+    long = "C1CC1" + "CN(O)" * 100_000
+    assert cores(spark, [long])[0][:2] == ("ok", 3)
+    strings = ["Cc1ccccc1"] * 8 + ["C1CC1O"] + ["CCO"] + ["C1C", None]
+    df = spark.createDataFrame([(i, s, "x") for i, s in enumerate(strings)], "id long, s string, status string")
+    got = {r.id: (r.status, r.split) for r in W.scaffold_split(df, "id", "s").collect()}
+    assert [got[i][1] for i in range(12)] == ["train"] * 8 + ["test", "valid"] + [None, None]  # of two single ones the later is first
+    assert got[10] == ("open ring", None) and got[11] == ("no atoms", None)
+    assert W.scaffold_split(df.limit(0), "id", "s").count() == 0

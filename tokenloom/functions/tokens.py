@@ -97,3 +97,20 @@ def merged(first: Column, second: Column) -> Column:
 def decode_label(target: Column, one_first: Column) -> Column:
     """Class of a target id: ids begin at 4, and the dictionary holds "1" before "0" or after it."""
     return F.when(one_first, 5 - target).otherwise(target - 4)
+
+
+def map_checks(tokens: Column, items: Column) -> Column:
+    """struct of four booleans about a token map, null where tokens or items are: ``distinct_from``, ``distinct_to``, ``complete``, ``same_letters``.
+
+    tokens: of one notation. items: array<struct<pos, token, at>>, of which pos and token are those of the other notation and at is a position in tokens, from 0.
+    distinct_from: no pos occurs twice. distinct_to: no at does. complete: every token of letters only is some item's. same_letters: where an item's
+    token in tokens has letters, its letters and @ signs, in capitals, stand in the other's token side by side; an at beyond the tokens has none.
+    Sets are of positions, so time grows with the length. Empty arrays pass.
+    """
+    at = F.transform(items, lambda x: x["at"])
+    pos = F.transform(items, lambda x: x["pos"])
+    letters = F.filter(F.transform(tokens, lambda t, i: F.when(t.rlike(r"^\p{L}+$"), i)), lambda i: i.isNotNull())
+    own = lambda x: F.get(tokens, x["at"])
+    differs = F.exists(items, lambda x: F.coalesce(own(x).rlike(r"\p{L}") & ~F.contains(x["token"], F.upper(F.regexp_replace(own(x), r"[^\p{L}@]", ""))), F.lit(False)))
+    known = tokens.isNotNull() & items.isNotNull()
+    return F.when(known, F.struct((F.size(F.array_distinct(pos)) == F.size(pos)).alias("distinct_from"), (F.size(F.array_distinct(at)) == F.size(at)).alias("distinct_to"), (F.size(F.array_except(letters, at)) == 0).alias("complete"), (~differs).alias("same_letters")))

@@ -17,6 +17,7 @@ from tokenloom.operators import machines as X
 from tokenloom.operators import metrics as M
 from tokenloom.operators import models as D
 from tokenloom.operators import relational as R
+from tokenloom.operators import scaffolds as W
 from tokenloom.operators import vectors as V
 from tokenloom.sources import corpora as C
 from tokenloom.sources import sinks as O
@@ -773,6 +774,42 @@ def greedy_group_split(e):
     return D.greedy_split(e.select("event_id", "user_id"), "event_id", "user_id").select("event_id", "split")
 
 
+_RINGS = "3 + o_custkey % 5 AS r, 3 + (o_orderkey // 7) % 5 AS s, o_orderkey % 4 AS l, CASE WHEN o_orderkey % 7 = 3 THEN 'open ring' ELSE 'ok' END AS status, o_orderkey % 11 = 5 AS chain"
+
+
+def _ring_strings(o):
+    """A string of two rings and what lies between them for each order, with a tail, in one of three ways of writing; some have no ring, in some a ring isn't closed."""
+    r, s, l, tail = 3 + F.col("o_custkey") % 5, 3 + F.floor(F.col("o_orderkey") / 7) % 5, F.col("o_orderkey") % 4, F.col("o_custkey") % 3
+    of = lambda c, n: F.repeat(F.lit(c), n.cast("int"))
+    ahead = F.concat(F.lit("C1"), of("C(F)", r - 2), F.lit("C1"), of("O", l), F.lit("C2"), of("C", s - 2), F.lit("C2"), of("N", tail))
+    back = F.concat(of("Cl", tail % 2), F.lit("C%12("), of("C", s - 2), F.lit("[C@@H]%12)"), of("O", l), F.lit("C%11"), of("[CH2:3]", r - 2), F.lit("C%11"))
+    inside = F.concat(F.lit("N("), of("C", tail), F.lit(")C3"), of("C", s - 2), F.lit("C3"), of("O", l), F.lit("C1"), of("C", r - 2), F.lit("C1"))
+    way = F.when(F.col("o_custkey") % 4 == 0, ahead).when(F.col("o_custkey") % 4 == 1, back).otherwise(inside)
+    text = F.when(F.col("o_orderkey") % 7 == 3, F.concat(F.lit("C9"), way)).when(F.col("o_orderkey") % 11 == 5, F.concat(F.lit("C"), of("(N)C", r), F.lit("=O"))).otherwise(way)
+    return o.select("o_orderkey", text.alias("text"))
+
+
+_CORES = f"c AS (SELECT o_orderkey, status, CASE WHEN status <> 'ok' THEN NULL WHEN chain THEN '' ELSE concat_ws(' ', least(r, s), l, greatest(r, s)) END AS core, CASE WHEN status = 'ok' THEN CASE WHEN chain THEN 0 ELSE r + s + l END END AS core_atoms FROM (SELECT o_orderkey, {_RINGS} FROM orders))"
+
+
+@query("orders", sql=f"WITH {_CORES} SELECT o_orderkey, status, core_atoms, CASE WHEN status = 'ok' THEN min(o_orderkey) OVER (PARTITION BY status = 'ok', core) END AS first FROM c")
+def scaffold_keys(o):
+    """Each order's string, its core's size and the first order with an equal core; the SQL knows the cores from the numbers that the strings are made of."""
+    c = _ring_strings(o).select("o_orderkey", W.core(K.tokenize(F.col("text"))).alias("c"))
+    keyed = c.select("o_orderkey", "c.status", F.col("c.core_atoms").cast("long").alias("core_atoms"), W.core_key(F.col("c.core")).alias("key"))
+    first = keyed.where("key IS NOT NULL").groupBy("key").agg(F.min("o_orderkey").alias("first"))
+    return keyed.join(first, "key", "left").select("o_orderkey", "status", "core_atoms", "first")
+
+
+@query("orders", sql=f"""WITH RECURSIVE {_CORES}, g AS (SELECT core, s, row_number() OVER (ORDER BY s DESC, f DESC) AS k FROM (SELECT core, count(*) AS s, min(o_orderkey) AS f FROM c WHERE status = 'ok' GROUP BY 1)),
+n AS (SELECT count(*) AS n FROM c WHERE status = 'ok'), w AS (SELECT 0::BIGINT AS k, 0::BIGINT AS tr, 0::BIGINT AS va, '' AS split UNION ALL
+SELECT g.k, (tr + {_FITS.format('s', '0', '0')})::BIGINT, (va + {_FITS.format('0', 's', '0')})::BIGINT, {_FITS.format("'train'", "'valid'", "'test'")} FROM w JOIN g ON g.k = w.k + 1 CROSS JOIN n)
+SELECT o_orderkey, status, split FROM c LEFT JOIN g USING (core) LEFT JOIN w USING (k)""")
+def scaffold_split(o):
+    """Whole groups of one core go to train, valid or test."""
+    return W.scaffold_split(_ring_strings(o), "o_orderkey", "text").select("o_orderkey", "status", "split")
+
+
 @query("documents", sql="SELECT doc_id, status, CASE WHEN status = 'ok' THEN len(string_split(text, ' ')) END::INTEGER AS words FROM (SELECT *, CASE WHEN coalesce(text, '') = '' THEN 'empty' WHEN length(text) > 5000 THEN 'too long' WHEN contains(text, 'License') THEN 'licence' ELSE 'ok' END AS status FROM documents)")
 def row_or_status(d):
     d = d.withColumn("words", F.size(F.split("text", " ")))
@@ -1099,3 +1136,21 @@ def axis_limits(e):
 def training_steps(lab):
     s = lab.groupBy("quality").agg(F.floor(F.count("*") / 16 * 10).cast("int").alias("steps"))
     return s.withColumn("warmup", F.floor(0.16 * F.col("steps")).cast("int"))
+
+
+#: A map from letters in brackets to tokens: one position is given twice in some documents, one left out in others, one is wrong.
+_MAP_SQL = f"""WITH t AS (SELECT doc_id, {TOKENS_SQL} AS t FROM documents), p AS (SELECT doc_id, t, list_filter(range(len(t)), lambda i: regexp_matches(t[i + 1], '^\\p{{L}}+$')) AS a FROM t),
+m AS (SELECT doc_id, t, a, list_transform(CASE WHEN doc_id % 5 = 1 THEN a[2:] ELSE a END, lambda i: {{'pos': i, 'at': i, 'token': '[' || upper(t[i + 1]) || ']'}}) AS m FROM p),
+n AS (SELECT doc_id, t, a, CASE WHEN len(m) > 0 AND doc_id % 5 = 2 THEN list_concat(m, [{{'pos': m[1].pos, 'at': len(t), 'token': '[]'}}]) WHEN len(m) > 0 AND doc_id % 5 = 3 THEN list_concat(m, [{{'pos': len(t), 'at': m[1].at, 'token': '[]'}}]) ELSE m END AS m FROM m)"""
+
+
+@query("documents", sql=_MAP_SQL + """ SELECT doc_id, len(list_distinct(list_transform(m, lambda x: x.pos))) = len(m) AS distinct_from, len(list_distinct(list_transform(m, lambda x: x."at"))) = len(m) AS distinct_to,
+NOT (doc_id % 5 = 1 AND len(a) > 0) AS complete, NOT (doc_id % 5 = 3 AND len(m) > 0) AS same_letters FROM n""")
+def token_map_checks(d):
+    """Four checks of a map from a token in brackets to each token of letters, with an item too few or too many in some documents."""
+    t, m = F.col("t"), F.col("m")
+    letters = F.filter(F.transform(t, lambda x, i: F.when(x.rlike(r"^\p{L}+$"), F.struct(i.alias("pos"), F.concat(F.lit("["), F.upper(x), F.lit("]")).alias("token"), i.alias("at")))), lambda x: x.isNotNull())
+    item = lambda pos, at: F.array(F.struct(pos.alias("pos"), F.lit("[]").alias("token"), at.alias("at")))
+    some, case = F.size(m) > 0, F.col("doc_id") % 5
+    made = F.when((case == 1) & some, F.slice(m, 2, F.size(m))).when((case == 2) & some, F.concat(m, item(F.get(m, F.lit(0))["pos"], F.size(t)))).when((case == 3) & some, F.concat(m, item(F.size(t), F.get(m, F.lit(0))["at"]))).otherwise(m)
+    return _tokens(d).withColumn("m", letters).withColumn("m", made).select("doc_id", K.map_checks(t, m).alias("c")).select("doc_id", "c.*")
