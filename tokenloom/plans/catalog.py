@@ -20,6 +20,7 @@ from tokenloom.operators import relational as R
 from tokenloom.operators import scaffolds as W
 from tokenloom.operators import vectors as V
 from tokenloom.sources import corpora as C
+from tokenloom.sources import packed as P
 from tokenloom.sources import sinks as O
 from tokenloom.sources import text as S
 
@@ -493,6 +494,16 @@ def lines_by_thousands(d):
     return files.select(F.col("chunk").cast("long").alias("chunk"), F.size(F.split("v", "\n")).cast("long").alias("n"), F.md5("v").alias("lines"))
 
 
+@query("lineitem", sql="SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS parts, len(list(l_partkey)) AS n FROM lineitem GROUP BY 1")
+def packed_ids(li):
+    """Each order's parts as a row of packed ids, behind the order's number, read back."""
+    spark, path = li.sparkSession, C.folder(li.sparkSession, "packed")
+    rows = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x"))
+    P.write_packed(rows, F.concat(F.array("l_orderkey"), F.col("x.l_partkey")), path, code=5)
+    read = P.read_packed(spark, path)
+    return read.select(F.get("ids", F.lit(0)).alias("l_orderkey"), F.slice("ids", 2, F.size("ids")).alias("parts"), (F.size("ids") - 1).cast("long").alias("n"))
+
+
 @query("customer", sql="SELECT c_custkey, c_nationkey, c_acctbal FROM customer")
 def shards_merged(c):
     """Three shards, merged into one table; the shards go."""
@@ -786,7 +797,7 @@ def _ring_strings(o):
     inside = F.concat(F.lit("N("), of("C", tail), F.lit(")C3"), of("C", s - 2), F.lit("C3"), of("O", l), F.lit("C1"), of("C", r - 2), F.lit("C1"))
     way = F.when(F.col("o_custkey") % 4 == 0, ahead).when(F.col("o_custkey") % 4 == 1, back).otherwise(inside)
     text = F.when(F.col("o_orderkey") % 7 == 3, F.concat(F.lit("C9"), way)).when(F.col("o_orderkey") % 11 == 5, F.concat(F.lit("C"), of("(N)C", r), F.lit("=O"))).otherwise(way)
-    return o.select("o_orderkey", text.alias("text"))
+    return S.spread(o.select("o_orderkey", text.alias("text")))
 
 
 _CORES = f"c AS (SELECT o_orderkey, status, CASE WHEN status <> 'ok' THEN NULL WHEN chain THEN '' ELSE concat_ws(' ', least(r, s), l, greatest(r, s)) END AS core, CASE WHEN status = 'ok' THEN CASE WHEN chain THEN 0 ELSE r + s + l END END AS core_atoms FROM (SELECT o_orderkey, {_RINGS} FROM orders))"
