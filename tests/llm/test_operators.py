@@ -234,6 +234,55 @@ def test_shard_query_on_a_table(spark):
     assert sorted((r.shard, r.slot) for r in rows) == [(s, k) for s in range(16) for k in range(len(rows) // 16 + (s < len(rows) % 16))]
 
 
+def _arc(version, records, pack):
+    parts = [warc.arc_header(version, "old")] + [h + b"\n" + body + b"\n" for h, body in records]
+    return b"".join(map(warc.member, parts)) if pack == "each" else warc.member(b"".join(parts)) if pack == "whole" else b"".join(parts)
+
+
+@pytest.mark.parametrize("pack", ["each", "whole", "none"])
+def test_arc_of_others(spark, tmp_path, pack):
+    http = b"HTTP/1.0 200 OK\r\n\r\n"
+    big = b"line one\nline two\n" * 20_000
+    records = [
+        (b"http://a.org/two words here 1.2.3.4 19990102030405 text/html %d" % len(http + big), http + big),
+        (b"http://a.org/no-length 1.2.3.4 19990102030405 text/html x", b"lost 12"),
+        (b"few 7", b"1234567"),
+        (b"http://a.org/copy 1.2.3.4 19990102030405 text/html %d" % len(http + big), http + big),
+        (b"http://a.org/empty 1.2.3.4 19990102030405 text/html 0", b""),
+        (b"http://a.org/cut 1.2.3.4 19990102030405 text/html 99", b"short"),
+    ]
+    folder = tmp_path / "arc"
+    folder.mkdir()
+    (folder / ("x.arc" if pack == "none" else "x.arc.gz")).write_bytes(_arc(1, records, pack))
+    (folder / "y.arc").write_bytes(_arc(2, [(b"http://b.org/a b c 1.2.3.4 19990102030405 text/html 200 - - 0 y 3", b"abc")], "none"))
+    got = warc.read_arc(spark, f"file://{folder}", strict=False).collect()
+    x = [(r.url, r.status, None if r.payload is None else len(r.payload)) for r in sorted(got, key=lambda r: r.offset) if r.archive.startswith("x")]
+    ok = [("http://a.org/two words here", "ok", len(big)), ("http://a.org/copy", "ok", len(big)), ("http://a.org/empty", "ok", 0)]
+    if pack == "whole":  # nothing after the first bad record of a member is read
+        ok = ok[:1]
+    assert [r for r in x[1:] if r[1] == "ok"] == ok
+    assert ("http://a.org/no-length", "no length", None) in x
+    assert len({r.offset for r in got if r.archive.startswith("x")}) == len(x)
+    assert [(r.url, bytes(r.payload)) for r in got if r.archive == "y.arc"][1:] == [("http://b.org/a b c", b"abc")]
+    with pytest.raises(Exception, match="no length"):
+        warc.read_arc(spark, f"file://{folder}").collect()
+    out = f"file://{tmp_path}/warc"
+    warc.convert(spark, f"file://{folder}", out, strict=False)
+    back = warc.read_warc(spark, out).where("record_type <> 'warcinfo'").collect()
+    assert sorted(r.url for r in back) == sorted([u for u, _, _ in ok] + ["http://b.org/a b c"])
+    assert len({r.record_id for r in back}) == len(back)
+
+
+def test_arc_that_is_broken_or_long(spark):
+    packed = _arc(1, [(b"u 1.2.3.4 19990102030405 t 3", b"abc"), (b"v 1.2.3.4 19990102030405 t 3", b"abc")], "each")
+    assert [r["status"] for r in warc.parse_arc("n", packed[:-4], strict=False)] == ["ok", "ok", "ok", "broken gzip"]
+    assert list(warc.parse_arc("n", b"")) == []
+    junk = [(b"w" * 3_000_000 + b" 7", b""), (b"u 1.2.3.4 19990102030405 t 3", b"abc")]  # a line that is no header
+    assert [r["status"] for r in warc.parse_arc("n", _arc(1, junk, "none"), strict=False)] == ["ok", "no length", "ok"]
+    many = [(b"u%d 1.2.3.4 19990102030405 t 1000" % k, b"x" * 1000) for k in range(2000)]
+    assert [len(r["body"]) for r in warc.parse_arc("n", _arc(1, many, "whole"))][1:] == [1000] * 2000  # one member of 2 MB
+
+
 def test_warc_converts_both_versions(spark):
     big = "é" * 600
     assert warc._fs("file:/tmp")[1] == "/tmp"

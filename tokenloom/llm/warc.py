@@ -1,6 +1,6 @@
 """Operator 5: a converter from legacy ARC archives to WARC.
 
-ARC files are gzip members, one record each: a header line whose fields depend on the version that the
+ARC files are gzip members, mostly one record each, or not packed: a header line whose fields depend on the version that the
 ``filedesc`` record states (1: url, ip, date, type, length; 2: also result code, checksum, location, offset, file
 name), then as many bytes as the line declares. The converter synthesises WARC headers: identifiers from the archive's name and
 the record's offset, ISO timestamps, types (warcinfo, response, resource, revisit) and digests. Of records with equal
@@ -8,7 +8,11 @@ payloads of at least ``min_revisit`` bytes one is the response, that with the la
 revisits that refer to it.
 
 A first pass makes an index (archive, offset, page id, digest) of the records that can have copies; copies are found in the index alone, so payloads are never
-exchanged, and an archive's revisits go to its conversion as one list. Archives are read as streams, record by record, so a task holds one record.
+exchanged, and an archive's revisits go to its conversion as one list. Archives are read as streams, record by record, so a task holds one record, however they are packed.
+
+The fields of a header line are cut from the right, so URLs may hold spaces. Records that can't be read are errors, or, where ``strict`` is False, rows with a status and without a body:
+"no length", "too few fields", "no version", "cut off" (fewer bytes than declared) or "broken gzip" (nothing after it in the file is read). After one, the reader goes on at the next member of a packed file, in one that isn't packed at
+the next line that ends like a header (a date of 14 digits and a length).
 
 Archives are written below the shared folder, through pyarrow's file systems, under names that hold the task attempt's number; the
 manifest, a table that Spark commits, names those of the attempts that count. Readers go by the manifest, so files left by lost executors are never read; a
@@ -37,7 +41,7 @@ from . import shared
 
 #: Bytes of payload and records after which an archive is closed; zlib level; bytes read at a time; bytes of rows handed over at a time.
 ARCHIVE, RECORDS, LEVEL, PIECE, HANDED = 64 << 20, 50_000, 1, 1 << 16, 4 << 20
-MIN_REVISIT = 1000
+MIN_REVISIT, LINE = 1000, 1 << 20
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 #: Printable ASCII without white space and %, which needs quoting for the way back.
 SAFE = "".join(chr(c) for c in range(33, 127) if chr(c) != "%")
@@ -121,7 +125,7 @@ def archives(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         found = spark.read.schema(WROTE).parquet(f"{folder}/{MANIFEST}").select("archive", F.concat(F.lit(folder + "/"), "file").alias("path"))
     else:
-        found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind}.gz").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("archive"), "path")
+        found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{kind}.gz,{kind}}}").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("archive"), "path")
     return found.repartition(max(1, min(found.count(), 50_000)))
 
 
@@ -189,60 +193,154 @@ def write_arc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
     return _committed(spark, source.mapInArrow(run, WROTE), folder)
 
 
-def parse_arc(name: str, content):
-    """The records of an ARC file (bytes or a stream): dicts by field, with offset and body; the declared length decides where a record ends."""
-    fields: list[str] = []
-    for offset, data in members(content):
-        at = 0
-        while at < len(data):
-            end = data.index(b"\n", at)
-            line = data[at:end].decode("utf-8", "replace").split(" ")
-            length = int(line[-1])
-            body = data[end + 1 : end + 1 + length]
-            if len(body) < length:
-                raise ValueError(f"{name}: the record at {offset} declares {length} bytes and has {len(body)}")
-            at = end + 1 + length
-            while data[at : at + 1] == b"\n":
-                at += 1
-            if line[0].startswith("filedesc://"):
-                version = int(body.split(b" ", 1)[0])
-                if version not in FIELDS:
-                    raise ValueError(f"{name}: ARC version {version}")
-                fields = FIELDS[version].split()
-                yield {"URL": line[0], "IP-address": line[1], "Archive-date": line[2], "Content-type": line[3], "offset": offset, "body": body}
+class _Unpacked:
+    """The bytes of an ARC file (a stream), gzip members or not, a piece at a time; ``at``: how many were given out or passed over."""
+
+    def __init__(self, f):
+        self.f, self.at, self.buffer = f, 0, b""
+        self.raw = f.read(PIECE)
+        self.z = zlib.decompressobj(31) if self.raw[:2] == b"\x1f\x8b" else None
+        self.packed = self.z is not None
+
+    def more(self) -> bool:
+        """Another piece into the buffer; False at the end of a member, or of a file that isn't packed."""
+        if not self.packed:
+            piece, self.raw = self.raw or self.f.read(PIECE), b""
+            self.buffer += piece
+            return bool(piece)
+        while not self.z.eof:
+            self.raw = self.raw or self.f.read(PIECE)
+            if not self.raw:
+                raise zlib.error("cut off")
+            piece = self.z.decompress(self.raw, PIECE)
+            self.raw = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
+            if piece:
+                self.buffer += piece
+                return True
+        return False
+
+    def member(self) -> bool:
+        """Passes over what is left of a member; False after the last."""
+        while self.buffer or self.more():
+            self.at += len(self.buffer)
+            self.buffer = b""
+        self.raw = self.raw or self.f.read(PIECE)
+        if not self.packed or not self.raw.strip(b"\0"):
+            return False
+        self.z = zlib.decompressobj(31)
+        return True
+
+    def take(self, n: int) -> bytes:
+        """n bytes, or what a member has."""
+        pieces = []
+        while n and (self.buffer or self.more()):
+            piece, self.buffer = self.buffer[:n], self.buffer[n:]
+            pieces.append(piece)
+            n -= len(piece)
+        data = b"".join(pieces)
+        self.at += len(data)
+        return data
+
+    def line(self) -> bytes | None:
+        """Up to a line feed, without it; None at a member's end. Of a line of more than LINE bytes, which is no header, the start and a mark."""
+        line, end = None, -1
+        while end < 0 and (self.buffer or self.more()):
+            end = self.buffer.find(b"\n")
+            piece = self.take(end + 1 if end >= 0 else len(self.buffer))
+            if line is None or len(line) <= LINE:
+                line = (line or b"") + piece
+        return line if line is None else line[:80] + b" ..." if len(line) > LINE else line.removesuffix(b"\n")
+
+
+HEADER_END = re.compile(rb" \d{14} (?:\S+ )+\d+$")
+
+
+def parse_arc(name: str, content, strict: bool = True):
+    """The records of an ARC file (bytes or a stream): dicts by field, with offset (where the header begins in the unpacked file), body and status; the declared length decides where a record ends."""
+    source, fields = _Unpacked(io.BytesIO(content) if isinstance(content, bytes) else content), []
+
+    def bad(at, status, url=None, more=""):
+        if strict:
+            raise ValueError(f"{name}: the record at {at}: {status}{more}")
+        return {"URL": url, "IP-address": None, "Archive-date": None, "Content-type": None, "offset": at, "body": None, "status": status}
+
+    try:
+        lost = False  # in a file that isn't packed, after a record that can't be read
+        while True:
+            at = source.at
+            line = source.line()
+            if line is None:
+                if not source.member():
+                    return
+                lost = False
+                continue
+            if not line.strip(b"\r") or lost and not HEADER_END.search(line):
+                continue
+            lost, problem, body, length = False, None, None, line.rsplit(b" ", 1)[-1].strip(b"\r")
+            named = line.strip(b"\r").decode("utf-8", "replace")
+            if not length.isdigit():
+                problem = "no length"
+            elif named.startswith("filedesc://"):
+                body = source.take(int(length))
+                version = body.split(b" ", 1)[0]
+                if len(body) < int(length):
+                    problem = "cut off"
+                elif not version.isdigit() or int(version) not in FIELDS:
+                    problem = "no version"
+                else:
+                    fields = FIELDS[int(version)].split()
+                    url, ip, date, mime = (named.split(" ") + [""] * 4)[:4]
+                    yield {"URL": url, "IP-address": ip, "Archive-date": date, "Content-type": mime, "offset": at, "body": body, "status": "ok"}
+                    continue
+            elif not fields:
+                problem = "no version"
+            elif len(parts := named.rsplit(" ", len(fields) - 1)) < len(fields):
+                problem = "too few fields"
             else:
-                if len(line) != len(fields):
-                    raise ValueError(f"{name}: the record at {offset} has {len(line)} fields, its version {len(fields)}")
-                yield dict(zip(fields, line, strict=True)) | {"offset": offset, "body": body}
+                body = source.take(int(length))
+                if len(body) == int(length):
+                    yield dict(zip(fields, parts, strict=True)) | {"offset": at, "body": body, "status": "ok"}
+                    continue
+                problem = "cut off"
+            yield bad(at, problem, named.split(" ", 1)[0], f", declares {int(length)} bytes and has {len(body)}" if problem == "cut off" else "")
+            if not source.packed:
+                lost = True
+            elif not source.member():
+                return
+    except zlib.error:
+        yield bad(source.at, "broken gzip")
 
 
 def _url(field: str) -> str | None:
     return None if field == "-" else "" if field == "%" else unquote_to_bytes(field).decode("utf-8", "replace")
 
 
-def _parsed(name: str, content):
-    """The records of an ARC file: dicts with what the converter needs; file descriptions have no HTTP header."""
-    for r in parse_arc(name, content):
+def _parsed(name: str, content, strict: bool = True):
+    """The records of an ARC file: dicts with what the converter needs; file descriptions have no HTTP header, records that can't be read no payload."""
+    for r in parse_arc(name, content, strict):
+        if r["status"] != "ok":
+            yield dict.fromkeys(("archive", "offset", "url", "ip", "date", "mime", "page_id", "http", "payload")) | {"archive": name, "offset": r["offset"], "url": r["URL"], "status": r["status"]}
+            continue
         http, gap, payload = r["body"].partition(b"\r\n\r\n") if r["body"].startswith(b"HTTP/") else (None, b"", r["body"])
         own = re.search(rb"(?im)^X-Page-Id: (-?\d+)", http or b"")
-        yield {"archive": name, "offset": r["offset"], "url": _url(r["URL"]), "ip": r["IP-address"], "date": r["Archive-date"], "mime": r["Content-type"], "page_id": int(own[1]) if own else None, "http": http and http + gap, "payload": payload}
+        yield {"archive": name, "offset": r["offset"], "url": _url(r["URL"]), "ip": r["IP-address"], "date": r["Archive-date"], "mime": r["Content-type"], "page_id": int(own[1]) if own else None, "http": http and http + gap, "payload": payload, "status": "ok"}
 
 
-PARSED = "archive string, offset long, url string, ip string, date string, mime string, page_id long, http binary, payload binary"
+PARSED = "archive string, offset long, url string, ip string, date string, mime string, page_id long, http binary, payload binary, status string"
 INDEX = "archive string, offset long, page_id long, digest binary"
 
 
-def read_arc(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record of a folder's ARC files."""
-    read = lambda name, f: (tuple(r.values()) for r in _parsed(name, f))
-    return archives(spark, folder, "arc").mapInArrow(lambda batches: _rows(_paths(batches), read, PARSED, lambda r: 500 + len(r[-1])), PARSED)
+def read_arc(spark: SparkSession, folder: str, strict: bool = True) -> DataFrame:
+    """One row per record of a folder's ARC files; strict: False gives records that can't be read a status instead of an error."""
+    read = lambda name, f: (tuple(r.values()) for r in _parsed(name, f, strict))
+    return archives(spark, folder, "arc").mapInArrow(lambda batches: _rows(_paths(batches), read, PARSED, lambda r: 500 + len(r[-2] or b"")), PARSED)
 
 
-def index_arc(spark: SparkSession, folder: str, least: int) -> DataFrame:
+def index_arc(spark: SparkSession, folder: str, least: int, strict: bool = True) -> DataFrame:
     """(archive, offset, page_id, digest) of the responses with payloads of at least that many bytes."""
 
     def read(name, f):
-        for r in _parsed(name, f):
+        for r in _parsed(name, f, strict):
             if r["http"] is not None and len(r["payload"]) >= least:
                 yield name, r["offset"], r["page_id"], hashlib.sha1(r["payload"]).digest()
 
@@ -296,9 +394,9 @@ def convert_record(r: dict) -> bytes:
     return warc_record([("WARC-Type", "revisit"), *fields, *to], r["http"])
 
 
-def convert(spark: SparkSession, arc: str, warc: str, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """Converts all ARC files of a folder, each to a WARC file; returns the manifest of those."""
-    index = shared.written(index_arc(spark, arc, min_revisit), "arc-index")
+def convert(spark: SparkSession, arc: str, warc: str, min_revisit: int = MIN_REVISIT, strict: bool = True) -> DataFrame:
+    """Converts all ARC files of a folder, each to a WARC file; returns the manifest of those. strict: False leaves out records that can't be read, which ``read_arc`` lists."""
+    index = shared.written(index_arc(spark, arc, min_revisit, strict), "arc-index")
     # the response of each payload that occurs more than once; counts are summed before the exchange
     first = index.groupBy("digest").agg(F.max(F.struct("page_id", "archive", "offset")).alias("of"), F.count("*").alias("n")).where("n > 1 AND of.page_id IS NOT NULL").select("digest", "of")
     others = index.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("of.page_id")))
@@ -313,9 +411,11 @@ def convert(spark: SparkSession, arc: str, warc: str, min_revisit: int = MIN_REV
             for name, path, revisits in zip(*(b.column(c).to_pylist() for c in ("archive", "path", "revisits")), strict=True):
                 refers = {r.pop("offset"): r for r in revisits or ()}
                 fs, at = _fs(path)
-                out = _Archive(warc, re.sub(r"\.arc\.gz$", "", name) + ".warc.gz")
+                out = _Archive(warc, name.removesuffix(".arc.gz") + ".warc.gz")
                 with fs.open_input_stream(at, compression=None) as f:
-                    for r in _parsed(name, f):
+                    for r in _parsed(name, f, strict):
+                        if r["status"] != "ok":
+                            continue
                         out.add(convert_record(r | refers.get(r["offset"], {})), len(r["payload"]))
                 done.append(out.close())
         yield _wrote(done)
