@@ -1,7 +1,8 @@
 """A corpus pipeline: toxic documents go, one of each near-duplicate group stays, benchmark leaks go, the rest is encoded.
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and, but for the last, returns the columns of docs;
-between stages the rows are written as Parquet and read again. Rows with null ids are judged like any other.
+between stages the rows are written as Parquet and read again. Rows with null ids are judged like any other, but for near-duplicates, where they
+all stay (they can't be named); of rows that share an id but not the text, the near-duplicate stage keeps one.
 """
 
 from __future__ import annotations
