@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tokenloom.operators import blocks as B
@@ -51,5 +52,6 @@ def _vectors(spark, tmp_path):
     return str(tmp_path)
 
 
-def test_knn_vote_has_no_row_for_each_pair(spark, tmp_path):
-    assert "Join" not in _plan(catalog.queries()["knn_vote"](spark, _vectors(spark, tmp_path)))
+@pytest.mark.parametrize("name", ["knn_vote", "knn_vote_weighted"])
+def test_neighbours_have_no_row_for_each_pair(spark, tmp_path, name):
+    assert "Join" not in _plan(catalog.queries()[name](spark, _vectors(spark, tmp_path)))
