@@ -52,6 +52,6 @@ def _vectors(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["knn_vote", "knn_vote_weighted", "knn_regress", "knn_exact"])
+@pytest.mark.parametrize("name", ["knn_vote", "knn_vote_weighted", "knn_regress", "knn_exact", "grid_search_knn"])
 def test_neighbours_have_no_row_for_each_pair(spark, tmp_path, name):
     assert "Join" not in _plan(catalog.queries()[name](spark, _vectors(spark, tmp_path)))
