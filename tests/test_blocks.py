@@ -1,0 +1,69 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tokenloom.operators import blocks as B
+from tokenloom.plans import catalog
+
+
+def _distance(a, b):
+    if a is None or b is None or len(a) != len(b) or None in a or None in b:
+        return None
+    total = 0.0
+    for x, y in zip(a, b, strict=True):
+        total += (x - y) * (x - y)
+    return total
+
+
+def _brute(rows, k, apart):
+    out = set()
+    for q, v in rows:
+        if q % 4:
+            continue
+        found = [(_distance(v, w), r) for r, w in rows if apart(q) != apart(r)]
+        found.sort(key=lambda x: (x[0] is None, x[0] is not None and math.isnan(x[0]), 0.0 if x[0] is None or math.isnan(x[0]) else x[0], x[1]))
+        out |= {(q, r, n + 1, repr(d)) for n, (d, r) in enumerate(found[:k])}
+    return out
+
+
+def test_nearest_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(B, "PAIRS", 64)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(-2, 3, 3).astype(float).tolist()) for i in range(60)]  # many ties
+    rows += [(60 + i, (rng.normal(size=3) * 10.0 ** rng.integers(-200, 160)).tolist()) for i in range(20)]
+    rows += [(80, None), (81, [1.0, None, 2.0]), (82, [math.inf, 0.0, 0.0]), (83, [math.nan, 0.0, 0.0]), (84, [math.inf, 1.0, 0.0]), (85, [1.0, 2.0]), (86, [1e-170] * 3), (88, None), (92, [1e200] * 3)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    for apart, by in ((lambda x: x, F.col("id")), (lambda x: x % 3, F.col("id") % 3)):
+        for k in (1, 5, 200):
+            q = df.where("id % 4 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"), by.alias("qa"))
+            got = B.nearest(q, df.withColumn("a", by), "q", "id", ("qv", "v"), ("qa", "a"), k).select("q", "id", "rank", "dist").collect()
+            assert {(r.q, r.id, r["rank"], repr(r.dist)) for r in got} == _brute(rows, k, apart)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _vectors(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    spark.createDataFrame([(i, rng.normal(size=64).astype("float32").tolist(), i % 10) for i in range(100)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["knn_vote", "knn_vote_weighted", "knn_regress", "knn_exact", "grid_search_knn"])
+def test_neighbours_have_no_row_for_each_pair(spark, tmp_path, name):
+    assert "Join" not in _plan(catalog.queries()[name](spark, _vectors(spark, tmp_path)))
+
+@pytest.mark.parametrize(("name", "kind"), [("cosine_matrix", "cosine"), ("rbf_kernel", "rbf")])
+def test_every_pair_is_met_by_blocks(spark, tmp_path, name, kind):
+    df = catalog.queries()[name](spark, _vectors(spark, tmp_path))
+    assert "Join" not in _plan(df) and df.select("a_id", "b_id").distinct().count() == 10_000
+    odd = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, -1.0]), (2, None), (3, [1.0, None]), (4, [1.0]), (5, [0.0, 0.0])], "id long, v array<double>")
+    got = {(r.a, r.b): r.s for r in B.every_pair(odd.toDF("a", "x"), odd.toDF("b", "y"), ("a", "b"), ("x", "y"), kind, "s").collect()}
+    assert len(got) == 36 and all(got[a, b] is None for a, b in got if a != b and {2, 3, 4} & {a, b}) and got[2, 2] is None and got[3, 3] is None
+    if kind == "cosine":
+        assert got[0, 1] == -1.5 / (math.sqrt(5.0) * math.sqrt(1.25)) and got[0, 5] is None
+    else:
+        assert math.isclose(got[0, 1], math.exp(-9.25 / 2)) and got[0, 0] == 1.0
