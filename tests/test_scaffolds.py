@@ -113,3 +113,19 @@ def test_long_strings_and_split(spark):
     assert [got[i][1] for i in range(12)] == ["train"] * 8 + ["test", "valid"] + [None, None]  # of two single ones the later is first
     assert got[10] == ("open ring", None) and got[11] == ("no atoms", None)
     assert W.scaffold_split(df.limit(0), "id", "s").count() == 0
+
+
+@pytest.mark.parametrize("name", ["scaffold_split"])
+def test_queries_read_strings_once(spark, tmp_path, name):
+    from tokenloom.plans import catalog
+
+    spark.range(1, 200).selectExpr("id AS o_orderkey", "id * 7 % 50 AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    plan = catalog.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan
+
+
+def test_cores_are_kept():
+    from tokenloom.operators import scaffolds as W
+
+    before = W._kept_core.cache_info().currsize
+    assert W._kept_core(("C",)) == W._core(["C"]) and W._kept_core.cache_info().currsize == before + 1 <= W.KEPT
