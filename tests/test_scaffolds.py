@@ -115,7 +115,7 @@ def test_long_strings_and_split(spark):
     assert W.scaffold_split(df.limit(0), "id", "s").count() == 0
 
 
-@pytest.mark.parametrize("name", ["scaffold_split"])
+@pytest.mark.parametrize("name", ["scaffold_keys", "scaffold_split"])
 def test_queries_read_strings_once(spark, tmp_path, name):
     from tokenloom.plans import catalog
 
