@@ -45,7 +45,7 @@ def _packed(x: np.ndarray) -> bytes:
 
 
 def _unpacked(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+    return np.frombuffer(b, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
 def _lists(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, bytes, bytes]:
@@ -59,11 +59,12 @@ def _lists(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, bytes, bytes]:
 
 
 def _positions(lengths: bytes, steps: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(list, position) of each entry of vertical lists."""
-    n, total = _unpacked(lengths), np.cumsum(_unpacked(steps))
+    """(list, position) of each entry of vertical lists, in 32 bits: sums over all lists go round, differences come out right."""
+    n, total = _unpacked(lengths).astype(np.int64), np.cumsum(_unpacked(steps), dtype=np.uint32)
     ends = np.cumsum(n)
-    before = np.concatenate([[0], total[ends[:-1] - 1]]) if len(n) else ends
-    return np.repeat(np.arange(len(n)), n), total - np.repeat(before, n)
+    if len(n):
+        total -= np.repeat(np.concatenate([np.zeros(1, np.uint32), total[ends[:-1] - 1]]), n)
+    return np.repeat(np.arange(len(n), dtype=np.int32), n), total
 
 
 class _Words(dict):
@@ -181,8 +182,9 @@ def _merge(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     which, position = _positions(row["lengths"].as_py(), row["steps"].as_py())
     order = np.argsort(position)
     which, position = which[order], position[order]
-    hit = np.flatnonzero(position[1:] == position[:-1] + 1)
-    return which[hit], which[hit + 1], position[hit], row["words"].values.to_numpy()
+    del order
+    hit = np.flatnonzero(position[1:] == position[:-1] + np.uint32(1))
+    return which[hit].astype(np.int64), which[hit + 1], position[hit], row["words"].values.to_numpy()
 
 
 def _candidates(batches):
@@ -226,7 +228,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     def lengths(batches):
         for b in batches:
             for i in range(b.num_rows):
-                words, n = b.column("words")[i].values, _unpacked(b.column("lengths")[i].as_py())
+                words, n = b.column("words")[i].values, _unpacked(b.column("lengths")[i].as_py()).astype(np.int64)
                 same = lambda x, kind: pa.array([x.as_py()] * len(words), kind)
                 yield pa.RecordBatch.from_arrays([same(b.column("block")[i], pa.int64()), same(b.column("lang")[i], pa.string()), words, pa.array(np.arange(len(words), dtype=np.int32)), pa.array(n)], names=["block", "lang", "phrase", "local", "c"])
 
