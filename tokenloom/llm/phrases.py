@@ -194,7 +194,13 @@ def _candidates(batches):
             row = {c: b.column(c)[i] for c in b.schema.names}
             first, last, _, words = _merge(row)
             distinct, local = np.unique(words, return_inverse=True)
-            key, c = np.unique(first * max(1, len(distinct)) + local[last], return_counts=True)
+            first *= max(1, len(distinct))
+            first += local[last]
+            del last, _
+            first.sort()
+            starts = np.flatnonzero(np.append(True, first[1:] != first[:-1])[: len(first)])
+            key, c = first[starts], np.diff(starts, append=len(first))
+            del first, starts
             ids = row["ids"].values.to_numpy()
             cols = [np.full(len(key), row["block"].as_py()), ids[key // max(1, len(distinct))], distinct[key % max(1, len(distinct))], c]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["block", "first", "word", "c"])
