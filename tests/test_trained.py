@@ -5,6 +5,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,3 +219,31 @@ def test_machines_on_edges(spark):
     assert {r.p for r in one.select(m.predicted(m.margins(F.col("v"))).alias("p")).collect()} == {4}
     m = X.fit(one, "y", "v", "regress")
     assert [round(r.p, 2) for r in one.select(m.predicted(m.margins(F.col("v"))).alias("p")).collect()] == [4, 4]
+
+
+def test_vectors_made_in_python_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.arrow_udf("array<double>")
+    def vector(x: pa.Array) -> pa.Array:
+        made.add(len(x))
+        v = np.asarray(x, float)
+        return pa.FixedSizeListArray.from_arrays(pa.array(np.stack([np.sin(v), np.cos(v)], axis=1).ravel()), 2).cast(pa.list_(pa.float64()))
+
+    df = spark.range(0, 300, 1, 3).select((F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 3).cast("int").alias("f"), vector("id").alias("v"))
+    X.grid_search(df, "y", "v", "f", "classify", "roc_auc", [1.0], steps=2).collect()
+    assert made.value == 300
+
+
+@pytest.mark.parametrize(("width", "rows"), [(128, 1024), (2048, 128), (10**7, 1)])
+def test_blocks_of_a_batch_are_bounded(width, rows):
+    v = pa.array([[k, -k] for k in range(3000)], pa.list_(pa.float32())).slice(5)
+    blocks = list(X._blocks(v, width))
+    assert max(len(x) for _, x in blocks) == rows and all(x.dtype == np.float64 for _, x in blocks)
+    assert np.array_equal(np.concatenate([x for _, x in blocks])[:, 0], np.arange(5, 3000)) and blocks[-1][0].stop == 2995
+
+
+def test_features_of_null_and_short_vectors_are_null(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [1.0]), (3, [float("nan"), 1.0]), (4, [1.0, 2.0])], "k int, v array<double>").coalesce(1)
+    z = {r.k: r.z for r in df.select("k", X.fourier("v", 2, 8).alias("z")).collect()}
+    assert z[1] is None and z[2] is None and len(z[0]) == 8 and z[0] == z[4] and np.isnan(z[3]).all()

@@ -10,6 +10,8 @@ from __future__ import annotations
 import dataclasses
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,21 +20,29 @@ from tokenloom.operators import vectors as V
 
 #: Numbers of a parameter matrix at most; half the width of the rounded corners of the absolute loss, as a share of the labels' deviation.
 MOST, CORNER = 4_000_000, 0.01
+#: Rows and numbers of a block at most: what a task's Python holds besides the batch it reads and the one it writes.
+ROWS, NUMBERS = 1024, 1 << 18
 
 
-def _mapped(vector: Column, dims: int, f) -> Column:
-    """f of matrices of vectors, row by row; null for a null vector or one of another length."""
+def _blocks(vectors, width: int):
+    """(place, matrix) of arrow lists of equal lengths, some rows at a time, without an object for each; width: numbers that a row leads to."""
+    step = max(1, min(ROWS, NUMBERS // max(1, width)))
+    for k in range(0, len(vectors), step):
+        x = vectors.slice(k, step)
+        yield slice(k, k + len(x)), x.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(x), -1)
 
-    @F.pandas_udf("array<double>")
-    def run(v):
-        import pandas as pd
 
-        fits = [k for k, x in enumerate(v) if x is not None and len(x) == dims]
-        out = [None] * len(v)
-        if fits:
-            for k, row in zip(fits, f(np.stack([v.iloc[k] for k in fits])), strict=True):
-                out[k] = row
-        return pd.Series(out, index=v.index)
+def _mapped(vector: Column, dims: int, width: int, f) -> Column:
+    """f of matrices of vectors, row by row, to width numbers each; null for a null vector or one of another length."""
+
+    @F.arrow_udf("array<double>")
+    def run(v: pa.Array) -> pa.Array:
+        fits = pc.fill_null(pc.equal(pc.list_value_length(v), dims), False)
+        own, kept = fits.to_numpy(zero_copy_only=False), v.filter(fits)
+        out = np.empty((len(kept), width))
+        for at, x in _blocks(kept, max(dims, width)):
+            out[at] = f(x)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(own * width)]), pa.int32()), pa.array(out.ravel()), mask=pa.array(~own))
 
     return run(vector)
 
@@ -42,7 +52,7 @@ def fourier(vector: str, dims: int, features: int = 256, gamma: float | None = N
     rng = np.random.default_rng(seed)
     w = rng.normal(scale=np.sqrt(2 * (gamma or 1 / dims)), size=(dims, features))
     shift = rng.uniform(0, 2 * np.pi, features)
-    return _mapped(V.doubles(vector), dims, lambda x: np.cos(x @ w + shift) * np.sqrt(2 / features))
+    return _mapped(V.doubles(vector), dims, features, lambda x: np.cos(x @ w + shift) * np.sqrt(2 / features))
 
 
 @dataclasses.dataclass
@@ -57,7 +67,7 @@ class Machines:
     def margins(self, vector: Column) -> Column:
         """array of a value per model; null for a null vector or one of another length."""
         w = self.coefficients
-        return _mapped(vector, len(w) - 1, lambda x: x @ w[:-1] + w[-1])
+        return _mapped(vector, len(w) - 1, w.shape[1], lambda x: x @ w[:-1] + w[-1])
 
     def predicted(self, margins: Column, setting: int = 0) -> Column:
         """The value, or the class with the largest margin (the first of equal ones), of one setting."""
@@ -121,8 +131,24 @@ def fit(df: DataFrame, label: str, vector: str, kind: str, cs: list[float] = (1.
     epsilon, its corners rounded. The objective is |w|**2 / 2 + C * the sum of losses; the intercept isn't penalised. Rows without a label or a finite vector are left out;
     vectors of different lengths, no rows, or more than ``classes`` classes are an error. The rows are kept while it runs.
     """
-    v = df.withColumn("__y", F.col(label)).withColumn("__v", V.doubles(vector)).withColumn("__f", F.col(fold).cast("int") if fold else F.lit(-1))
-    v = v.where(F.col("__y").isNotNull() & F.forall("__v", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))).select("__y", "__v", "__f")
+    kept = _kept(df, label, vector, fold).persist()
+    try:
+        return _fit(_sound(kept), kind, cs, fold, balanced, epsilon, steps, tolerance, classes)
+    finally:
+        kept.unpersist()
+
+
+def _kept(df: DataFrame, label: str, vector: str, fold: str | None) -> DataFrame:
+    """What a fit reads. It is kept before rows are left out: a filter on a vector made in Python would be pushed below it and make the vector twice, in more processes."""
+    sound = F.col(label).isNotNull() & F.forall(V.doubles(vector), lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+    return df.select(F.col(label).alias("__y"), V.doubles(vector).alias("__v"), (F.col(fold).cast("int") if fold else F.lit(-1)).alias("__f"), sound.alias("__ok"))
+
+
+def _sound(kept: DataFrame) -> DataFrame:
+    return kept.where("__ok").select("__y", "__v", "__f")
+
+
+def _fit(v: DataFrame, kind: str, cs: list[float], fold: str | None, balanced: bool = True, epsilon: float = 0.0, steps: int = 60, tolerance: float = 1e-4, classes: int = 1000) -> Machines:
     lengths = [r.d for r in v.select(F.size("__v").alias("d")).distinct().limit(2).collect()]
     if len(lengths) != 1:
         raise ValueError("no rows" if not lengths else "vectors of different lengths")
@@ -168,30 +194,23 @@ def fit(df: DataFrame, label: str, vector: str, kind: str, cs: list[float] = (1.
         g = weight * slope
         return (weight * value).sum(axis=0), np.vstack([x.T @ g, g.sum(axis=0)])
 
-    v = v.persist()
-    try:
-
-        def evaluate(w):
-            def part(batches):
-                import pandas as pd
-
-                total = np.zeros((d + 2, w.shape[1]))
-                for b in batches:
-                    for k in range(0, len(b), 4096):
-                        x = b.iloc[k : k + 4096]
-                        value, g = losses(np.stack(x["__v"].to_numpy()), x["__y"].to_numpy(), x["__f"].to_numpy(), w)
-                        total += np.vstack([value, g])
-                yield pd.DataFrame({"cell": np.arange(total.size), "value": total.ravel()})
-
-            out = np.zeros((d + 2) * w.shape[1])
-            for r in v.mapInPandas(part, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect():
-                out[r["cell"]] = r["value"]
-            out = out.reshape(d + 2, -1)
-            return out[0] + (w[:-1] ** 2).sum(axis=0) / 2, out[1:] + np.vstack([w[:-1], np.zeros(w.shape[1])])
-
-        w, passes = _lbfgs(evaluate, np.zeros((d + 1, len(models))), steps, tolerance)
-    finally:
-        v.unpersist()
+    def evaluate(w):
+        def part(batches):
+            total = np.zeros((d + 2, w.shape[1]))
+            for b in batches:
+                y, of = (b.column(c).to_numpy(zero_copy_only=False) for c in ("__y", "__f"))
+                for at, x in _blocks(b.column("__v"), max(d, w.shape[1])):
+                    value, g = losses(x, y[at], of[at], w)
+                    total += np.vstack([value, g])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["cell", "value"])
+
+        out = np.zeros((d + 2) * w.shape[1])
+        for r in v.mapInArrow(part, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect():
+            out[r["cell"]] = r["value"]
+        out = out.reshape(d + 2, -1)
+        return out[0] + (w[:-1] ** 2).sum(axis=0) / 2, out[1:] + np.vstack([w[:-1], np.zeros(w.shape[1])])
+
+    w, passes = _lbfgs(evaluate, np.zeros((d + 1, len(models))), steps, tolerance)
     return Machines(w, settings, kinds, passes)
 
 
@@ -200,10 +219,12 @@ def grid_search(df: DataFrame, label: str, vector: str, fold: str, kind: str, sc
 
     scoring: "accuracy", "roc_auc" (two classes) or "neg_rmse"; a fold in which it isn't defined is left out. Rows without a label, a fold or a vector count nowhere.
     """
-    rows = df.where(F.col(label).isNotNull() & F.col(fold).isNotNull() & F.forall(V.doubles(vector), lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))))
-    m = fit(rows, label, vector, kind, cs, fold, **more)
-    scored = rows.select(F.col(label).alias("y"), F.col(fold).cast("int").alias("of"), m.margins(V.doubles(vector)).alias("m")).persist()
+    kept = _kept(df.where(F.col(label).isNotNull() & F.col(fold).isNotNull()), label, vector, fold).persist()
+    scored = None
     try:
+        rows = _sound(kept)
+        m = _fit(rows, kind, cs, fold, **more)
+        scored = rows.select(F.col("__y").alias("y"), F.col("__f").alias("of"), m.margins(F.col("__v")).alias("m")).persist()
         if scoring == "roc_auc":
             if m.classes is None or len(m.classes) != 2:
                 raise ValueError("roc_auc needs two classes")
@@ -218,6 +239,8 @@ def grid_search(df: DataFrame, label: str, vector: str, fold: str, kind: str, sc
             score = F.avg((F.col("y") == F.col("p")).cast("double")) if scoring == "accuracy" else -F.sqrt(F.avg((F.col("y") - F.col("p")) * (F.col("y") - F.col("p"))))
             each = df.sparkSession.createDataFrame([tuple(r) for r in judged.groupBy("c", "of").agg(score.alias("s")).collect()], "c double, of int, s double")  # a row per setting
     finally:
-        scored.unpersist()
+        kept.unpersist()
+        if scored is not None:
+            scored.unpersist()
     total = each.groupBy("c").agg(F.avg("s").alias("score"), F.stddev_pop("s").alias("sd"))
     return total.withColumn("rank", F.rank().over(Window.orderBy(F.desc_nulls_last("score"))))
