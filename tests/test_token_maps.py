@@ -1,5 +1,7 @@
 """Checks of a map between the tokens of two notations."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,3 +37,13 @@ def test_long_texts(spark):
     n = 300_000
     df = spark.range(1).select(F.array_repeat(F.lit("C"), n).alias("t"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("pos"), F.lit("[C]").alias("token"), i.alias("at"))).alias("m"))
     assert tuple(df.select(K.map_checks(F.col("t"), F.col("m")).alias("c")).first().c) == (True,) * 4
+
+
+def test_classes_of_the_atom_pattern_match_the_same(spark):
+    rng = random.Random(1)
+    pieces = [*"BrClNOSPFIbcnosp()[].=#-+\\/:~@?*$%0123456789<unk>>a \nHé", "<unk>", "[C@]", "%12", "[]", "]]"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 25))) for _ in range(3000)]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    plain = F.array_remove(F.split(F.regexp_replace("text", K.ATOM_PATTERN, f"{K.FENCE}$1{K.FENCE}"), K.FENCE), "")
+    assert df.where(~plain.eqNullSafe(K.tokenize(F.col("text")))).count() == 0
+    assert K._ATOM_CLASSES.count("|") == 6

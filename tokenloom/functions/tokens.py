@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Atom-level token pattern (a fixed value).
 ATOM_PATTERN = r"(<unk>|\[[^\]]+]|Br?|Cl?|N|O|S|P|F|I|b|c|n|o|s|p|\(|\)|\.|=|#|-|\+|\\|\/|:|~|@|\?|>>?|\*|\$|\%[0-9]{2}|[0-9])"
+#: The same matches: alternatives of one character as a class, which is tried once a place (the others begin with other characters, so their order is free).
+_ATOM_CLASSES = r"([NOSPFIbcnosp().=#\-+\\/:~@?*$0-9]|Br?|Cl?|\[[^\]]+]|>>?|%[0-9]{2}|<unk>)"
 #: Special tokens, in the order of their ids (fixed values).
 SPECIALS = ["<s>", "<pad>", "</s>", "<unk>", "<mask>", "<cls>", "<sep>"]
 #: A token with one of these characters carries structure, not an atom (fixed values).
@@ -16,6 +18,7 @@ FENCE = "\u0001"
 
 def tokenize(text: Column, pattern: str = ATOM_PATTERN) -> Column:
     """Lossless tokens: matches of the pattern, and what lies between them; no empty tokens."""
+    pattern = _ATOM_CLASSES if pattern == ATOM_PATTERN else pattern
     return F.array_remove(F.split(F.regexp_replace(text, pattern, f"{FENCE}$1{FENCE}"), FENCE), "")
 
 
